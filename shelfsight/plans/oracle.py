@@ -13,6 +13,11 @@ def R(x: str) -> str:
     return f"(round(({x}) * 10000.0 + 0.001) / 10000.0)"
 
 
+def B(x: str) -> str:
+    """Flag rendered as exported: 'True' / 'False' / '' for NULL."""
+    return f"(CASE WHEN ({x}) THEN 'True' WHEN NOT ({x}) THEN 'False' ELSE '' END)"
+
+
 # ------------------------------------------------------------------ OOS
 STOCK_FACTS = """
 facts AS (
@@ -117,3 +122,92 @@ SELECT SKU, count(DISTINCT Store) AS n_stores, CAST(sum(OOS_days) AS BIGINT) AS
        {R('sum(total_loss_margin)')} AS total_loss_margin
 FROM report_full GROUP BY SKU HAVING count(DISTINCT Store) >= 2
 """
+
+
+# ----------------------------------------------------------------- Rank
+RANK_BASE = """
+weekly AS (
+  SELECT strftime(l_shipdate, '%G') || 'W' || strftime(l_shipdate, '%V') AS Date,
+         p_brand AS SKU, n_name AS Store, r_name AS Concept_NEW,
+         sum(CASE WHEN l_linenumber = 7 THEN 0.0 ELSE l_extendedprice END) AS NetSales
+  FROM lineitem
+  JOIN part ON l_partkey = p_partkey
+  JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation ON s_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+  GROUP BY 1, 2, 3, 4),
+rw AS (
+  SELECT Date || '/' || Store || '/' || SKU AS "Index", Date, 'RETAIL' AS Company,
+         Concept_NEW AS BusinessUnit, Concept_NEW, 'General' AS Category, Store, SKU, NetSales,
+         CAST(rank() OVER (PARTITION BY Date ORDER BY NetSales DESC) AS DOUBLE) AS rank
+  FROM weekly),
+wk AS (
+  SELECT max(Date) AS w2,
+         (SELECT max(Date) FROM rw WHERE Date < (SELECT max(Date) FROM rw)) AS w1
+  FROM rw),
+flags AS (
+  SELECT r.*,
+    CASE WHEN r.Date = wk.w2 AND NOT EXISTS (
+           SELECT 1 FROM rw x WHERE x.SKU = r.SKU AND x.Store = r.Store AND x.Date = wk.w1)
+         THEN TRUE END AS range_expansion,
+    CASE WHEN r.Date = wk.w1 AND r.NetSales <> 0 AND NOT EXISTS (
+           SELECT 1 FROM rw x WHERE x.SKU = r.SKU AND x.Store = r.Store AND x.Date = wk.w2)
+         THEN TRUE END AS in_W1_not_W2,
+    coalesce((SELECT sum(x.NetSales) FROM rw x
+              WHERE x.SKU = r.SKU AND x.Store = r.Store AND x.Date = wk.w1), 0.0) AS sumSales_oldWeek,
+    coalesce((SELECT avg(x.NetSales) FROM rw x
+              WHERE x.SKU = r.SKU AND x.Concept_NEW = r.Concept_NEW AND x.Date = wk.w2), 0.0)
+      AS avgSales_lastWeek,
+    (EXISTS (SELECT 1 FROM rw x WHERE x.SKU = r.SKU AND x.Store = r.Store AND x.Date = wk.w2
+                                  AND x.rank BETWEEN 1 AND 50)
+     AND NOT EXISTS (SELECT 1 FROM rw x WHERE x.SKU = r.SKU AND x.Store = r.Store
+                                         AND x.Date = wk.w1 AND x.rank BETWEEN 1 AND 50)) AS newcomer
+  FROM rw r CROSS JOIN wk),
+flags2 AS (
+  SELECT *,
+    CASE WHEN sumSales_oldWeek = 0 THEN NULL
+         WHEN sumSales_oldWeek > avgSales_lastWeek AND coalesce(in_W1_not_W2, FALSE) THEN TRUE
+         ELSE FALSE END AS material_change,
+    (NOT coalesce(range_expansion, FALSE) AND NOT coalesce(in_W1_not_W2, FALSE)
+     AND NetSales = 0) AS unaddressed_gap
+  FROM flags)
+"""
+
+RANK_COLS = f""""Index", Date, Company, BusinessUnit, Concept_NEW, Category, Store, SKU,
+       {R('NetSales')} AS NetSales, {R('rank')} AS rank"""
+
+SQL["rank_overall"] = "WITH " + RANK_BASE + f"SELECT {RANK_COLS} FROM rw"
+
+SQL["rank_store"] = "WITH " + RANK_BASE + f"""
+SELECT "Index", Date, Company, BusinessUnit, Concept_NEW, Category, Store, SKU,
+       {R('NetSales')} AS NetSales,
+       CAST(rank() OVER (PARTITION BY Date ORDER BY NetSales DESC) AS INTEGER) AS rank,
+       CAST(rank() OVER (PARTITION BY Date, Store ORDER BY NetSales DESC) AS INTEGER) AS store_rank
+FROM rw
+"""
+
+SQL["rank_concept_avg"] = "WITH " + RANK_BASE + f"""
+SELECT SKU, Concept_NEW, {R('avg(NetSales)')} AS avgSales_lastWeek
+FROM rw WHERE Date = (SELECT w2 FROM wk) GROUP BY SKU, Concept_NEW
+"""
+
+SQL["rank_top50"] = "WITH " + RANK_BASE + f"""
+SELECT SKU, Store, Date, {R('NetSales')} AS NetSales, {R('rank')} AS rank
+FROM rw, wk WHERE Date IN (wk.w1, wk.w2) AND rank BETWEEN 1 AND 50
+"""
+
+SQL["rank_range_expansion"] = "WITH " + RANK_BASE + f"SELECT {RANK_COLS}, {B('range_expansion')} AS range_expansion FROM flags2"
+SQL["rank_lost"] = "WITH " + RANK_BASE + f"SELECT {RANK_COLS}, {B('in_W1_not_W2')} AS in_W1_not_W2 FROM flags2"
+SQL["rank_material_change"] = "WITH " + RANK_BASE + f"""
+SELECT {RANK_COLS}, {B('in_W1_not_W2')} AS in_W1_not_W2, {R('sumSales_oldWeek')} AS sumSales_oldWeek,
+       {R('avgSales_lastWeek')} AS avgSales_lastWeek, {B('material_change')} AS material_change
+FROM flags2"""
+SQL["rank_unaddressed_gap"] = "WITH " + RANK_BASE + f"""
+SELECT {RANK_COLS}, {B('range_expansion')} AS range_expansion, {B('in_W1_not_W2')} AS in_W1_not_W2,
+       {B('unaddressed_gap')} AS unaddressed_gap FROM flags2"""
+SQL["rank_newcomer"] = "WITH " + RANK_BASE + f"SELECT {RANK_COLS}, {B('newcomer')} AS newcomer FROM flags2"
+SQL["rank_report"] = "WITH " + RANK_BASE + f"""
+SELECT DISTINCT {RANK_COLS}, {B('range_expansion')} AS range_expansion,
+       {B('material_change')} AS material_change, {B('unaddressed_gap')} AS unaddressed_gap,
+       {B('newcomer')} AS newcomer
+FROM flags2"""

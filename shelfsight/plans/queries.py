@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfsight.operators import oos
+from shelfsight.operators import oos, rank
 from shelfsight.plans.checked import finalize
 from shelfsight.sources import testdata as td
 
@@ -48,10 +48,68 @@ def q_oos_product_summary(spark, sf_dir):
     return finalize(oos.product_summary(oos_report(spark, sf_dir)))
 
 
+# ----------------------------------------------------------------- Rank
+def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.clean_rank(td.rank_weekly(spark, sf_dir))
+
+
+def q_rank_overall(spark, sf_dir):
+    return finalize(rank_table(spark, sf_dir))
+
+
+def q_rank_store(spark, sf_dir):
+    df = rank_table(spark, sf_dir)
+    return finalize(rank.add_ranks(df.drop("rank"), store_rank=True))
+
+
+def q_rank_concept_avg(spark, sf_dir):
+    df = rank_table(spark, sf_dir)
+    _, w2 = rank.last_two_weeks(df)
+    return finalize(rank.concept_average(df, w2))
+
+
+def q_rank_top50(spark, sf_dir):
+    return finalize(rank.top_n(rank_table(spark, sf_dir)))
+
+
+def q_rank_range_expansion(spark, sf_dir):
+    return finalize(rank.range_expansion(rank_table(spark, sf_dir)))
+
+
+def q_rank_lost(spark, sf_dir):
+    return finalize(rank.in_w1_not_w2(rank_table(spark, sf_dir)))
+
+
+def q_rank_material_change(spark, sf_dir):
+    return finalize(rank.material_change(rank_table(spark, sf_dir)))
+
+
+def q_rank_unaddressed_gap(spark, sf_dir):
+    return finalize(rank.unaddressed_gap(rank_table(spark, sf_dir)))
+
+
+def q_rank_newcomer(spark, sf_dir):
+    return finalize(rank.newcomer(rank_table(spark, sf_dir)))
+
+
+def q_rank_report(spark, sf_dir):
+    return finalize(rank.rank_report(rank_table(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "oos_clean_grid": q_oos_clean_grid,
     "oos_items": q_oos_items,
     "oos_7_days": q_oos_7_days,
     "oos_store_summary": q_oos_store_summary,
     "oos_product_summary": q_oos_product_summary,
+    "rank_overall": q_rank_overall,
+    "rank_store": q_rank_store,
+    "rank_concept_avg": q_rank_concept_avg,
+    "rank_top50": q_rank_top50,
+    "rank_range_expansion": q_rank_range_expansion,
+    "rank_lost": q_rank_lost,
+    "rank_material_change": q_rank_material_change,
+    "rank_unaddressed_gap": q_rank_unaddressed_gap,
+    "rank_newcomer": q_rank_newcomer,
+    "rank_report": q_rank_report,
 }
