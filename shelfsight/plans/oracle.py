@@ -211,3 +211,256 @@ SELECT DISTINCT {RANK_COLS}, {B('range_expansion')} AS range_expansion,
        {B('material_change')} AS material_change, {B('unaddressed_gap')} AS unaddressed_gap,
        {B('newcomer')} AS newcomer
 FROM flags2"""
+
+
+# ------------------------------------------------------------ Inventory
+PERIOD_A = ("2000-04-01", "2000-10-01", "2000-07-01")
+PERIOD_B = ("2000-06-01", "2000-12-01", "2000-09-01")
+
+
+def _cls(cap: str) -> str:
+    return (f"CASE WHEN {cap} > 40 THEN 'A+' WHEN {cap} > 30 THEN 'A' WHEN {cap} > 20 THEN 'B' "
+            f"WHEN {cap} > 10 THEN 'C' ELSE 'D' END")
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
+
+
+def inv_ctes(catalogue: str = "part", period=PERIOD_A, later: bool = False, tag: str = "") -> str:
+    """CTEs sales{tag}, mart{tag}, report{tag}, late{tag}, base{tag}, enriched{tag}."""
+    begin, end, split = period
+    if catalogue == "group":
+        mid = "CAST(l_partkey % 200 AS INTEGER)"
+        groups = f"""
+groups{tag} AS (
+  SELECT CAST(p_partkey % 200 AS INTEGER) AS mid, min(p_type) AS p_type, min(p_brand) AS p_brand,
+         'Part ' || CAST(p_partkey % 200 AS VARCHAR) AS p_name
+  FROM part GROUP BY p_partkey % 200),"""
+        rep_from = f"groups{tag}"
+        facings = "CAST(1 + mid % 5 AS DOUBLE)"
+        capacity = "CAST(1 + mid % 50 AS DOUBLE)"
+        rep_where = "TRUE"
+    else:
+        mid = "CAST(l_partkey AS INTEGER)"
+        groups = f"""
+groups{tag} AS (
+  SELECT CAST(p_partkey AS INTEGER) AS mid, p_type, p_brand, p_name, p_size FROM part),"""
+        rep_from = f"groups{tag}"
+        facings = "CAST(1 + mid % 5 AS DOUBLE)"
+        capacity = "CAST(p_size AS DOUBLE)"
+        rep_where = "NOT starts_with(p_type, 'PROMO')"
+    if later:
+        capacity = (f"greatest(1.0, {capacity} + CASE WHEN mid % 7 = 0 THEN 3.0 "
+                    f"WHEN mid % 7 = 1 THEN -1.0 ELSE 0.0 END)")
+        facings = f"({facings} + CASE WHEN mid % 7 = 2 THEN 1.0 ELSE 0.0 END)"
+    return groups + f"""
+sales{tag} AS (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS Date,
+         'S' || CAST(l_suppkey AS VARCHAR) AS Store,
+         {mid} AS MatID, 'Part ' || CAST({mid} AS VARCHAR) AS SKU,
+         l_extendedprice AS GrossSales,
+         l_extendedprice * (1.0 - l_discount) AS NetSales,
+         l_extendedprice * l_discount AS TotalDiscount,
+         l_quantity AS QtySold,
+         -0.6 * l_extendedprice AS COGS,
+         {_div('l_extendedprice', 'l_quantity')} AS Price,
+         l_extendedprice + (-0.6 * l_extendedprice) AS FrontMargin,
+         l_extendedprice * (1.0 - l_discount) + (-0.6 * l_extendedprice) AS SellMargin,
+         g.p_type AS SubCategory, g.p_brand AS Vendor
+  FROM lineitem LEFT JOIN groups{tag} g ON g.mid = {mid}
+  WHERE l_shipdate >= TIMESTAMP '{begin}' AND l_shipdate < TIMESTAMP '{end}'),
+mart{tag} AS (
+  SELECT CAST(year(Date) AS INTEGER) AS year, CAST(month(Date) AS INTEGER) AS month, Date AS period,
+         MatID, SubCategory, Vendor,
+         avg(NetSales) AS totalMonthlyNetSale, avg(GrossSales) AS totalMonthlyGrossSale,
+         avg(COGS) AS avgCOGS, avg(QtySold) AS totalMonthlyQtySold, avg(Price) AS Price,
+         avg(SellMargin) AS SellMargin, avg(FrontMargin) AS avgFrontMargin
+  FROM sales{tag}
+  WHERE MatID IS NOT NULL AND SubCategory IS NOT NULL AND Vendor IS NOT NULL
+  GROUP BY 1, 2, 3, 4, 5, 6),
+report{tag} AS (
+  SELECT mid AS MatID, CAST(mid AS VARCHAR) || ' ' || p_name AS SKU,
+         {facings} AS Facings, {capacity} AS Capacity, {capacity} / 2.0 AS DaysSupply,
+         {_cls(capacity)} AS Classification, CAST(1 + mid % 3 AS INTEGER) AS POGS
+  FROM {rep_from} WHERE {rep_where}),
+early{tag} AS (SELECT * FROM mart{tag} WHERE period < DATE '{split}'),
+late{tag} AS (SELECT * FROM mart{tag} WHERE period >= DATE '{split}'),
+base{tag} AS (
+  SELECT r.*, l.year, l.month, l.period, l.SubCategory, l.Vendor, l.totalMonthlyNetSale,
+         l.totalMonthlyGrossSale, l.avgCOGS, l.totalMonthlyQtySold, l.Price, l.SellMargin,
+         l.avgFrontMargin,
+         {_div('r.Capacity', 'r.Facings')} AS Depth
+  FROM report{tag} r JOIN late{tag} l ON r.MatID = l.MatID),
+stats{tag} AS (
+  SELECT year, month, SubCategory,
+         exp(avg(CASE WHEN totalMonthlyQtySold > 0 THEN ln(totalMonthlyQtySold) END))
+           AS Qty_GeoMean_by_month_Subcat,
+         exp(avg(CASE WHEN totalMonthlyNetSale > 0 THEN ln(totalMonthlyNetSale) END))
+           AS NS_GeoMean_by_month_Subcat,
+         avg(totalMonthlyQtySold) AS Qty_mean_by_month_Subcat,
+         avg(totalMonthlyNetSale) AS NS_mean_by_month_Subcat,
+         stddev_samp(totalMonthlyQtySold) AS Qty_std_by_month_Subcat,
+         stddev_samp(totalMonthlyNetSale) AS NS_std_by_month_Subcat
+  FROM base{tag} GROUP BY year, month, SubCategory),
+enriched{tag} AS (
+  SELECT b.*, s.Qty_GeoMean_by_month_Subcat, s.NS_GeoMean_by_month_Subcat,
+         s.Qty_mean_by_month_Subcat, s.NS_mean_by_month_Subcat,
+         s.Qty_std_by_month_Subcat, s.NS_std_by_month_Subcat,
+         {_div('b.Capacity', 'b.totalMonthlyQtySold')} AS Capacity_to_qty,
+         {_div('b.Capacity', 'b.totalMonthlyNetSale')} AS Capacity_to_sales,
+         CASE WHEN b.Depth >= 4 THEN 3.0 END AS ProposedDepth,
+         CASE WHEN b.Depth >= 4 THEN 3.0 - b.Depth END AS VarianceDepth
+  FROM base{tag} b LEFT JOIN stats{tag} s
+    ON b.year = s.year AND b.month = s.month AND b.SubCategory = s.SubCategory),
+rows{tag} AS (SELECT * FROM enriched{tag} WHERE totalMonthlyQtySold < Capacity),
+per_item{tag} AS (
+  SELECT MatID, SubCategory, Vendor, avg(totalMonthlyQtySold) AS AvgQtySold,
+         stddev_samp(totalMonthlyQtySold) AS Qty_std_by_SKU
+  FROM enriched{tag} WHERE totalMonthlyNetSale <> 0 GROUP BY MatID, SubCategory, Vendor),
+atl{tag} AS (
+  SELECT r.*, p.AvgQtySold, p.Qty_std_by_SKU,
+         {_div('r.Capacity', 'p.AvgQtySold')} AS Capacity_to_avg_qty,
+         {_div('r.Facings', 'p.AvgQtySold')} AS Facing_to_avg_qty,
+         {_div('p.Qty_std_by_SKU', 'p.AvgQtySold')} AS StdQty_to_AvgQty
+  FROM rows{tag} r LEFT JOIN per_item{tag} p
+    ON r.MatID = p.MatID AND r.SubCategory = p.SubCategory AND r.Vendor = p.Vendor),
+full_ids{tag} AS (
+  SELECT MatID FROM rows{tag}
+  WHERE period IN (DATE '{split}', DATE '{split}' + INTERVAL 1 MONTH, DATE '{split}' + INTERVAL 2 MONTH)
+  GROUP BY MatID HAVING count(DISTINCT period) = 3)
+"""
+
+
+def cols(names: list[str], doubles: set[str], prefix: str = "") -> str:
+    out = []
+    for n in names:
+        ref = f"{prefix}{n}"
+        if n in doubles:
+            out.append(f"{R(ref)} AS {n}")
+        elif n == "period" or n == "Date":
+            out.append(f"strftime({ref}, '%Y-%m-%d') AS {n}")
+        else:
+            out.append(f"{ref} AS {n}")
+    return ", ".join(out)
+
+
+DOUBLES = {"GrossSales", "NetSales", "TotalDiscount", "QtySold", "COGS", "Price", "FrontMargin",
+           "SellMargin", "totalMonthlyNetSale", "totalMonthlyGrossSale", "avgCOGS",
+           "totalMonthlyQtySold", "avgFrontMargin", "Facings", "Capacity", "DaysSupply", "Depth",
+           "ProposedDepth", "VarianceDepth", "Capacity_to_qty", "Capacity_to_sales",
+           "Qty_GeoMean_by_month_Subcat", "NS_GeoMean_by_month_Subcat", "Qty_mean_by_month_Subcat",
+           "NS_mean_by_month_Subcat", "Qty_std_by_month_Subcat", "NS_std_by_month_Subcat",
+           "AvgQtySold", "Qty_std_by_SKU", "Capacity_to_avg_qty", "Facing_to_avg_qty",
+           "StdQty_to_AvgQty"}
+
+SALES_COLS = ["Date", "Store", "MatID", "SKU", "GrossSales", "NetSales", "TotalDiscount", "QtySold",
+              "COGS", "Price", "FrontMargin", "SellMargin", "SubCategory", "Vendor"]
+MART_COLS = ["year", "month", "period", "MatID", "SubCategory", "Vendor", "totalMonthlyNetSale",
+             "totalMonthlyGrossSale", "avgCOGS", "totalMonthlyQtySold", "Price", "SellMargin",
+             "avgFrontMargin"]
+ISSUE_COLS = ["SKU", "MatID", "year", "month", "Price", "POGS", "Facings", "Capacity",
+              "Classification", "SubCategory", "totalMonthlyNetSale", "totalMonthlyQtySold",
+              "SellMargin"]
+RECORD_COLS = ["MatID", "SKU", "Facings", "Capacity", "POGS", "Depth", "DaysSupply",
+               "Classification", "year", "month", "SubCategory", "Vendor",
+               "totalMonthlyNetSale", "totalMonthlyGrossSale", "avgCOGS",
+               "totalMonthlyQtySold", "Price", "SellMargin", "avgFrontMargin"]
+REPORT_COLS = ["MatID", "SKU", "Facings", "Capacity", "DaysSupply", "Classification", "POGS"]
+ENRICHED_COLS = (REPORT_COLS + MART_COLS[:3] + MART_COLS[4:] +
+                 ["Qty_GeoMean_by_month_Subcat", "NS_GeoMean_by_month_Subcat",
+                  "Qty_mean_by_month_Subcat", "NS_mean_by_month_Subcat",
+                  "Qty_std_by_month_Subcat", "NS_std_by_month_Subcat",
+                  "Capacity_to_qty", "Capacity_to_sales", "Depth", "ProposedDepth", "VarianceDepth"])
+ATL_COLS = ["MatID", "SKU", "Vendor", "SubCategory", "Classification", "POGS", "Facings", "Depth",
+            "ProposedDepth", "VarianceDepth", "Capacity", "Capacity_to_avg_qty",
+            "Facing_to_avg_qty", "AvgQtySold", "Qty_std_by_SKU", "StdQty_to_AvgQty"]
+FULL_COLS = ["MatID", "SKU", "year", "month", "Vendor", "SubCategory", "Classification", "POGS",
+             "Facings", "Depth", "Capacity", "ProposedDepth", "VarianceDepth", "Capacity_to_qty",
+             "totalMonthlyNetSale", "totalMonthlyGrossSale", "totalMonthlyQtySold", "Price",
+             "SellMargin", "Qty_GeoMean_by_month_Subcat", "NS_GeoMean_by_month_Subcat",
+             "Qty_mean_by_month_Subcat", "NS_mean_by_month_Subcat", "Qty_std_by_month_Subcat",
+             "NS_std_by_month_Subcat"]
+BAND_COLS = ["MatID", "SKU", "year", "month", "Vendor", "SubCategory", "Classification",
+             "Facings", "Depth", "Capacity", "Capacity_to_qty", "totalMonthlyNetSale",
+             "totalMonthlyGrossSale", "totalMonthlyQtySold", "Price", "SellMargin",
+             "Qty_GeoMean_by_month_Subcat", "NS_GeoMean_by_month_Subcat",
+             "Qty_mean_by_month_Subcat", "NS_mean_by_month_Subcat",
+             "Qty_std_by_month_Subcat", "NS_std_by_month_Subcat", "Capacity_to_sales"]
+OVER_COLS = ["MatID", "SKU", "year", "month", "SubCategory", "Vendor", "Classification",
+             "Facings", "Capacity", "totalMonthlyQtySold", "totalMonthlyNetSale"]
+
+_A = inv_ctes("part", PERIOD_A)
+_G = inv_ctes("group", PERIOD_A)
+_SPLIT_A = PERIOD_A[2]
+
+SQL["inv_sales_clean"] = f"WITH {_A} SELECT {cols(SALES_COLS, DOUBLES)} FROM sales"
+SQL["inv_monthly"] = f"WITH {_A} SELECT {cols(MART_COLS, DOUBLES)} FROM mart"
+SQL["inv_check"] = f"""WITH {_A},
+chk AS (SELECT r.SKU, r.MatID, m.year, m.month, m.Price, r.POGS, r.Facings, r.Capacity,
+               r.Classification, m.SubCategory, m.totalMonthlyNetSale, m.totalMonthlyQtySold,
+               m.SellMargin
+        FROM report r LEFT JOIN mart m ON r.MatID = m.MatID
+        WHERE coalesce(m.totalMonthlyGrossSale, 0) = 0)
+SELECT {cols(ISSUE_COLS, DOUBLES)} FROM chk"""
+SQL["inv_removed"] = f"""WITH {_A},
+act AS (SELECT MatID,
+               bool_or(totalMonthlyGrossSale <> 0 AND period < DATE '{_SPLIT_A}') AS se,
+               bool_or(totalMonthlyGrossSale <> 0 AND period >= DATE '{_SPLIT_A}') AS sl
+        FROM mart GROUP BY MatID),
+rem AS (SELECT r.SKU, r.MatID, m.year, m.month, m.Price, r.POGS, r.Facings, r.Capacity,
+               r.Classification, m.SubCategory, m.totalMonthlyNetSale, m.totalMonthlyQtySold,
+               m.SellMargin
+        FROM report r JOIN early m ON r.MatID = m.MatID
+        WHERE r.MatID IN (SELECT MatID FROM act WHERE se AND NOT coalesce(sl, FALSE)))
+SELECT {cols(ISSUE_COLS, DOUBLES)} FROM rem"""
+SQL["inv_new"] = f"""WITH {_A}
+SELECT {cols(["MatID", "year", "month", "SubCategory", "Vendor", "Price", "totalMonthlyNetSale",
+              "totalMonthlyGrossSale", "totalMonthlyQtySold", "SellMargin"], DOUBLES)}
+FROM late
+WHERE coalesce(totalMonthlyGrossSale, 0) <> 0
+  AND MatID NOT IN (SELECT MatID FROM report WHERE MatID IS NOT NULL)"""
+SQL["inv_bad_record"] = f"WITH {_A} SELECT {cols(RECORD_COLS, DOUBLES)} FROM base WHERE Depth > 6"
+SQL["inv_depth_lt2"] = f"WITH {_A} SELECT {cols(RECORD_COLS, DOUBLES)} FROM base WHERE Depth < 2"
+SQL["inv_issue_counts"] = f"""WITH {_A},
+act AS (SELECT MatID,
+               bool_or(totalMonthlyGrossSale <> 0 AND period < DATE '{_SPLIT_A}') AS se,
+               bool_or(totalMonthlyGrossSale <> 0 AND period >= DATE '{_SPLIT_A}') AS sl
+        FROM mart GROUP BY MatID),
+chk AS (SELECT r.MatID FROM report r LEFT JOIN mart m ON r.MatID = m.MatID
+        WHERE coalesce(m.totalMonthlyGrossSale, 0) = 0),
+rem AS (SELECT r.MatID FROM report r JOIN early m ON r.MatID = m.MatID
+        WHERE r.MatID IN (SELECT MatID FROM act WHERE se AND NOT coalesce(sl, FALSE))),
+nw AS (SELECT MatID FROM late WHERE coalesce(totalMonthlyGrossSale, 0) <> 0
+         AND MatID NOT IN (SELECT MatID FROM report WHERE MatID IS NOT NULL))
+SELECT 'check' AS issue, count(*) AS n_rows, count(DISTINCT MatID) AS n_items FROM chk
+UNION ALL SELECT 'removed', count(*), count(DISTINCT MatID) FROM rem
+UNION ALL SELECT 'new', count(*), count(DISTINCT MatID) FROM nw
+UNION ALL SELECT 'bad_record', count(*), count(DISTINCT MatID) FROM base WHERE Depth > 6
+UNION ALL SELECT 'depth_lt2', count(*), count(DISTINCT MatID) FROM base WHERE Depth < 2"""
+SQL["inv_enriched"] = f"WITH {_A} SELECT {cols(ENRICHED_COLS, DOUBLES)} FROM enriched"
+SQL["inv_at_least_one"] = f"WITH {_A} SELECT DISTINCT {cols(ATL_COLS, DOUBLES)} FROM atl"
+SQL["inv_unadjusted_buckets"] = f"""WITH {_A},
+items AS (SELECT DISTINCT {', '.join(ATL_COLS)} FROM atl),
+b AS (SELECT *, CASE WHEN Capacity_to_avg_qty < 3 THEN 'lessThan3'
+                     WHEN Capacity_to_avg_qty < 9 THEN 'between3And9'
+                     WHEN Capacity_to_avg_qty >= 9 THEN 'moreThan9' END AS bucket
+      FROM items WHERE Depth < 4)
+SELECT {cols(ATL_COLS, DOUBLES)}, bucket FROM b WHERE bucket IS NOT NULL"""
+SQL["inv_full_month"] = f"""WITH {_G}
+SELECT DISTINCT {cols(FULL_COLS, DOUBLES)} FROM rows WHERE MatID IN (SELECT MatID FROM full_ids)"""
+SQL["inv_over_spaced_x2"] = f"""WITH {_G},
+flag AS (SELECT * FROM base WHERE totalMonthlyQtySold * 2.0 < Capacity),
+ids AS (SELECT MatID FROM flag
+        WHERE period IN (DATE '{_SPLIT_A}', DATE '{_SPLIT_A}' + INTERVAL 1 MONTH,
+                         DATE '{_SPLIT_A}' + INTERVAL 2 MONTH)
+        GROUP BY MatID HAVING count(DISTINCT period) = 3)
+SELECT {cols(OVER_COLS, DOUBLES)} FROM flag WHERE MatID IN (SELECT MatID FROM ids)"""
+SQL["inv_bands"] = f"""WITH {_A},
+bd AS (SELECT *, CASE WHEN totalMonthlyQtySold >= Capacity THEN 0
+                      WHEN totalMonthlyQtySold * 2 >= Capacity THEN 1
+                      WHEN totalMonthlyQtySold * 3 >= Capacity THEN 2
+                      WHEN totalMonthlyQtySold * 4 >= Capacity THEN 3
+                      WHEN totalMonthlyQtySold * 4 < Capacity THEN 4 END AS band
+       FROM enriched)
+SELECT DISTINCT {cols(BAND_COLS, DOUBLES)}, band FROM bd WHERE band IS NOT NULL"""

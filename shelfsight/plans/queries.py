@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfsight.operators import inventory as inv
 from shelfsight.operators import oos, rank
 from shelfsight.plans.checked import finalize
 from shelfsight.sources import testdata as td
@@ -96,6 +97,115 @@ def q_rank_report(spark, sf_dir):
     return finalize(rank.rank_report(rank_table(spark, sf_dir)))
 
 
+# ------------------------------------------------------------ Inventory
+# Analysis windows (job parameters): six months, split after three.
+PERIOD_A = {"begin": "2000-04-01", "end": "2000-10-01", "split": "2000-07-01"}
+PERIOD_B = {"begin": "2000-06-01", "end": "2000-12-01", "split": "2000-09-01"}
+
+
+def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
+               period: dict = PERIOD_A, later_report: bool = False):
+    """(sales, mart, report) for one analysis window."""
+    sub = inv.clean_lookup(td.subcategory_info(spark, sf_dir, catalogue), "SubCategory")
+    ven = inv.clean_lookup(td.vendor_info(spark, sf_dir, catalogue), "Vendor")
+    sales = inv.clean_sales(td.sales_monthly(spark, sf_dir, catalogue), sub, ven,
+                            store=None, begin=period["begin"], end=period["end"])
+    mart = inv.monthly_mart(sales)
+    report = inv.clean_report(td.dist_report(spark, sf_dir, catalogue, later=later_report))
+    return sales, mart, report
+
+
+def inv_enriched(spark, sf_dir, catalogue="part", period=PERIOD_A, later_report=False):
+    _, mart, report = inv_inputs(spark, sf_dir, catalogue, period, later_report)
+    _, late = inv.split_periods(mart, period["split"])
+    return inv.enrich(inv.analysis_base(late, report))
+
+
+def q_inv_sales_clean(spark, sf_dir):
+    return finalize(inv_inputs(spark, sf_dir)[0])
+
+
+def q_inv_monthly(spark, sf_dir):
+    return finalize(inv_inputs(spark, sf_dir)[1])
+
+
+def q_inv_check(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    return finalize(inv.check_items(mart, report))
+
+
+def q_inv_removed(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    early, late = inv.split_periods(mart, PERIOD_A["split"])
+    return finalize(inv.removed_items(early, late, report, PERIOD_A["split"]))
+
+
+def q_inv_new(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    return finalize(inv.new_items(late, report))
+
+
+def q_inv_bad_record(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    return finalize(inv.bad_records(inv.analysis_base(late, report)))
+
+
+def q_inv_depth_lt2(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    return finalize(inv.shallow_items(inv.analysis_base(late, report)))
+
+
+def q_inv_issue_counts(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir)
+    split = PERIOD_A["split"]
+    early, late = inv.split_periods(mart, split)
+    base = inv.analysis_base(late, report)
+    return finalize(inv.issue_counts({
+        "check": inv.check_items(mart, report),
+        "removed": inv.removed_items(early, late, report, split),
+        "new": inv.new_items(late, report),
+        "bad_record": inv.bad_records(base),
+        "depth_lt2": inv.shallow_items(base),
+    }))
+
+
+def q_inv_enriched(spark, sf_dir):
+    return finalize(inv_enriched(spark, sf_dir))
+
+
+def q_inv_at_least_one(spark, sf_dir):
+    return finalize(inv.at_least_one_month(inv_enriched(spark, sf_dir))["items"])
+
+
+def q_inv_unadjusted_buckets(spark, sf_dir):
+    res = inv.at_least_one_month(inv_enriched(spark, sf_dir))
+    return finalize(inv.depth_buckets(res["unadjusted"]))
+
+
+def q_inv_full_month(spark, sf_dir):
+    res = inv.at_least_one_month(inv_enriched(spark, sf_dir, catalogue="group"))
+    return finalize(inv.full_month(res["rows"], PERIOD_A["split"]))
+
+
+OVER_SPACED_COLUMNS = ["MatID", "SKU", "year", "month", "SubCategory", "Vendor", "Classification",
+                       "Facings", "Capacity", "totalMonthlyQtySold", "totalMonthlyNetSale"]
+
+
+def q_inv_over_spaced_x2(spark, sf_dir):
+    _, mart, report = inv_inputs(spark, sf_dir, catalogue="group")
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    flagged = inv.over_spaced(inv.analysis_base(late, report), "Capacity", 2)
+    ids = inv.full_month_ids(flagged, PERIOD_A["split"])
+    return finalize(flagged.join(ids, "MatID", "left_semi").select(*OVER_SPACED_COLUMNS))
+
+
+def q_inv_bands(spark, sf_dir):
+    return finalize(inv.demand_bands(inv_enriched(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "oos_clean_grid": q_oos_clean_grid,
     "oos_items": q_oos_items,
@@ -112,4 +222,18 @@ QUERIES: dict[str, Query] = {
     "rank_unaddressed_gap": q_rank_unaddressed_gap,
     "rank_newcomer": q_rank_newcomer,
     "rank_report": q_rank_report,
+    "inv_sales_clean": q_inv_sales_clean,
+    "inv_monthly": q_inv_monthly,
+    "inv_check": q_inv_check,
+    "inv_removed": q_inv_removed,
+    "inv_new": q_inv_new,
+    "inv_bad_record": q_inv_bad_record,
+    "inv_depth_lt2": q_inv_depth_lt2,
+    "inv_issue_counts": q_inv_issue_counts,
+    "inv_enriched": q_inv_enriched,
+    "inv_at_least_one": q_inv_at_least_one,
+    "inv_unadjusted_buckets": q_inv_unadjusted_buckets,
+    "inv_full_month": q_inv_full_month,
+    "inv_over_spaced_x2": q_inv_over_spaced_x2,
+    "inv_bands": q_inv_bands,
 }
