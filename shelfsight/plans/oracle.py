@@ -464,3 +464,135 @@ bd AS (SELECT *, CASE WHEN totalMonthlyQtySold >= Capacity THEN 0
                       WHEN totalMonthlyQtySold * 4 < Capacity THEN 4 END AS band
        FROM enriched)
 SELECT DISTINCT {cols(BAND_COLS, DOUBLES)}, band FROM bd WHERE band IS NOT NULL"""
+
+
+# -------------------------------------------------------------- Compare
+_CA = inv_ctes("group", PERIOD_A, later=False, tag="_a")
+_CB = inv_ctes("group", PERIOD_B, later=True, tag="_b")
+_FULL_SEL = ", ".join(FULL_COLS)
+CMP_BASE = f"""{_CA}, {_CB},
+full_a AS (SELECT DISTINCT {_FULL_SEL} FROM rows_a WHERE MatID IN (SELECT MatID FROM full_ids_a)),
+full_b AS (SELECT DISTINCT {_FULL_SEL} FROM rows_b WHERE MatID IN (SELECT MatID FROM full_ids_b)),
+diff AS (
+  SELECT a.MatID, a.SKU, a.POGS AS POGS_first, a.Facings AS Facings_first,
+         a.Capacity AS Capacity_first, b.POGS AS POGS_later, b.Facings AS Facings_later,
+         b.Capacity AS Capacity_later,
+         (a.Capacity IS DISTINCT FROM b.Capacity OR a.Facings IS DISTINCT FROM b.Facings) AS changed,
+         coalesce(a.Capacity > b.Capacity, FALSE) AS capacity_decreased,
+         coalesce(a.Capacity < b.Capacity, FALSE) AS capacity_increased
+  FROM report_a a JOIN report_b b ON a.MatID = b.MatID AND a.SKU = b.SKU),
+ids_a AS (SELECT DISTINCT MatID, SKU FROM full_a),
+ids_b AS (SELECT DISTINCT MatID, SKU FROM full_b),
+common AS (SELECT MatID, SKU FROM ids_a INTERSECT SELECT MatID, SKU FROM ids_b),
+persist AS (
+  SELECT u.*, ra.StdQty_to_AvgQty AS StdQty_to_AvgQty_first, rb.StdQty_to_AvgQty AS StdQty_to_AvgQty_later
+  FROM (SELECT *, '2000-07' AS period_label FROM full_a
+        UNION ALL SELECT *, '2000-09' AS period_label FROM full_b) u
+  LEFT JOIN (SELECT DISTINCT MatID, StdQty_to_AvgQty FROM atl_a) ra ON u.MatID = ra.MatID
+  LEFT JOIN (SELECT DISTINCT MatID, StdQty_to_AvgQty FROM atl_b) rb ON u.MatID = rb.MatID
+  WHERE (u.MatID, u.SKU) IN (SELECT (MatID, SKU) FROM common))
+"""
+
+SQL["cmp_report_diff"] = f"""WITH {CMP_BASE}
+SELECT MatID, SKU, POGS_first, {R('Facings_first')} AS Facings_first,
+       {R('Capacity_first')} AS Capacity_first, POGS_later, {R('Facings_later')} AS Facings_later,
+       {R('Capacity_later')} AS Capacity_later, {B('changed')} AS changed,
+       {B('capacity_decreased')} AS capacity_decreased, {B('capacity_increased')} AS capacity_increased
+FROM diff WHERE changed"""
+
+SQL["cmp_capacity_vs_full"] = f"""WITH {CMP_BASE},
+d AS (SELECT diff.MatID, diff.SKU,
+             CASE WHEN capacity_decreased THEN 'decreased' WHEN capacity_increased THEN 'increased' END
+               AS direction,
+             ids_a.MatID IS NOT NULL AS in_first, common.MatID IS NOT NULL AS in_both
+      FROM diff
+      LEFT JOIN ids_a ON diff.MatID = ids_a.MatID AND diff.SKU = ids_a.SKU
+      LEFT JOIN common ON diff.MatID = common.MatID AND diff.SKU = common.SKU
+      WHERE changed)
+SELECT direction, count(*) AS n_items,
+       count(DISTINCT CASE WHEN in_first THEN MatID END) AS n_full_month_first,
+       count(DISTINCT CASE WHEN in_both THEN MatID END) AS n_full_month_both
+FROM d WHERE direction IS NOT NULL GROUP BY direction"""
+
+SQL["cmp_persistent"] = f"""WITH {CMP_BASE}
+SELECT {cols(FULL_COLS, DOUBLES)}, period_label,
+       {R('StdQty_to_AvgQty_first')} AS StdQty_to_AvgQty_first,
+       {R('StdQty_to_AvgQty_later')} AS StdQty_to_AvgQty_later
+FROM persist"""
+
+SQL["cmp_obs_check"] = f"""WITH {CMP_BASE}
+SELECT MatID, SKU, count(*) AS n_obs, {B('count(*) = 6')} AS ok FROM persist GROUP BY MatID, SKU"""
+
+SQL["cmp_only_one_period"] = f"""WITH {CMP_BASE}
+SELECT MatID, SKU, '2000-07' AS only_in FROM (SELECT * FROM ids_a EXCEPT SELECT * FROM ids_b)
+UNION ALL
+SELECT MatID, SKU, '2000-09' AS only_in FROM (SELECT * FROM ids_b EXCEPT SELECT * FROM ids_a)"""
+
+
+# -------------------------------------------------------------- Profile
+def _describe(columns, by=None):
+    key = f"{by}, " if by else ""
+    parts = []
+    for c in columns:
+        parts.append(f"""SELECT {key}'{c}' AS "column", count({c}) AS "count", {R(f'avg({c})')} AS mean,
+       {R(f'stddev_samp({c})')} AS std, {R(f'min({c})')} AS "min", {R(f'max({c})')} AS "max"
+FROM enriched{' GROUP BY ' + by if by else ''}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["profile_summary"] = f"WITH {_A}\n" + _describe(
+    ["Facings", "Capacity", "totalMonthlyQtySold", "SellMargin"])
+SQL["profile_by_class"] = f"WITH {_A}\n" + _describe(["Price", "SellMargin"], "Classification")
+SQL["profile_corr"] = f"""WITH {_A}
+SELECT {R('corr(totalMonthlyNetSale, totalMonthlyGrossSale)')} AS corr_net_gross,
+       {R('corr(Facings, totalMonthlyQtySold)')} AS corr_facings_qty, count(*) AS n_rows
+FROM enriched"""
+SQL["profile_share"] = f"""WITH {_A}
+SELECT SubCategory, {R('sum(totalMonthlyQtySold)')} AS total, {R('avg(totalMonthlyQtySold)')} AS mean,
+       {R('sum(totalMonthlyQtySold) / (SELECT sum(totalMonthlyQtySold) FROM enriched) * 100')} AS share_pct,
+       {R('avg(totalMonthlyQtySold) / (SELECT avg(totalMonthlyQtySold) FROM enriched) * 100')} AS mean_pct
+FROM enriched GROUP BY SubCategory"""
+SQL["profile_margin_rate"] = f"""WITH {_A}
+SELECT Classification, {R('sum(SellMargin)')} AS sell_margin, {R('sum(totalMonthlyNetSale)')} AS net_sales,
+       {R(_div('sum(SellMargin)', 'sum(totalMonthlyNetSale)'))} AS margin_rate
+FROM enriched GROUP BY Classification"""
+SQL["profile_class_month"] = f"""WITH {_A}
+SELECT Classification, year, month, {R('sum(SellMargin)')} AS total, {R('avg(SellMargin)')} AS mean,
+       count(*) AS n_rows
+FROM enriched GROUP BY Classification, year, month"""
+SQL["profile_geo_means"] = f"""WITH {_A}
+SELECT SubCategory, year, month, {R('avg(Qty_GeoMean_by_month_Subcat)')} AS qty_geo_mean,
+       {R('avg(NS_GeoMean_by_month_Subcat)')} AS NS_geo_mean
+FROM enriched GROUP BY SubCategory, year, month"""
+SQL["profile_class_counts"] = f"""WITH {_A}
+SELECT Classification, count(*) AS n_rows, count(DISTINCT MatID) AS n_items
+FROM enriched GROUP BY Classification"""
+SQL["profile_margin_bands"] = f"""WITH {_A},
+m AS (SELECT *, {_div('SellMargin', 'totalMonthlyNetSale')} AS margin_ratio FROM enriched),
+b AS (SELECT *, CASE WHEN margin_ratio >= 0.8 THEN 'high' WHEN margin_ratio < 0.4 THEN 'low' END
+              AS margin_band FROM m)
+SELECT MatID, SKU, year, month, Classification, {R('SellMargin')} AS SellMargin,
+       {R('totalMonthlyNetSale')} AS totalMonthlyNetSale, {R('margin_ratio')} AS margin_ratio,
+       margin_band
+FROM b WHERE margin_band IS NOT NULL"""
+SQL["profile_selected_share"] = f"""WITH {_G},
+fm AS (SELECT DISTINCT {_FULL_SEL} FROM rows WHERE MatID IN (SELECT MatID FROM full_ids)),
+sel AS (SELECT Classification, count(DISTINCT MatID) AS n_items, sum(SellMargin) AS selected_margin,
+               sum(totalMonthlyNetSale) AS selected_net_sales FROM fm GROUP BY Classification),
+allm AS (SELECT Classification, sum(SellMargin) AS class_margin FROM enriched GROUP BY Classification)
+SELECT s.Classification, s.n_items, {R('s.selected_margin')} AS selected_margin,
+       {R('s.selected_net_sales')} AS selected_net_sales, {R('a.class_margin')} AS class_margin,
+       {R(_div('s.selected_margin', 'a.class_margin') + ' * 100')} AS margin_share_pct
+FROM sel s LEFT JOIN allm a ON s.Classification = a.Classification"""
+SQL["profile_histogram"] = f"""WITH {_A},
+bnd AS (SELECT min(Price) AS lo, max(Price) AS hi FROM enriched),
+h AS (SELECT Price, CASE WHEN hi = lo THEN 1
+                         ELSE least(10, CAST(floor({_div('Price - lo', 'hi - lo')} * 10) AS BIGINT) + 1) END AS bin
+      FROM enriched, bnd WHERE Price IS NOT NULL)
+SELECT bin, count(*) AS n, {R('min(Price)')} AS bin_min, {R('max(Price)')} AS bin_max FROM h GROUP BY bin"""
+# percentile_approx is exact below ``accuracy`` rows per group, where it
+# returns the same element as quantile_disc.
+SQL["profile_quartiles"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
+    f"""SELECT Classification, '{c}' AS "column", {R(f'quantile_disc({c}, 0.25)')} AS p25,
+       {R(f'quantile_disc({c}, 0.5)')} AS p50, {R(f'quantile_disc({c}, 0.75)')} AS p75
+FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))

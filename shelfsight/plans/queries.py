@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.operators import inventory as inv
-from shelfsight.operators import oos, rank
+from shelfsight.operators import compare as cmp
+from shelfsight.operators import oos, profile, rank
 from shelfsight.plans.checked import finalize
 from shelfsight.sources import testdata as td
 
@@ -206,6 +207,105 @@ def q_inv_bands(spark, sf_dir):
     return finalize(inv.demand_bands(inv_enriched(spark, sf_dir)))
 
 
+# -------------------------------------------------------------- Compare
+LABEL_A, LABEL_B = "2000-07", "2000-09"
+
+
+def cmp_inputs(spark: SparkSession, sf_dir: str):
+    """Full-month over-spaced rows and at-least-one-month items of the two
+    periods; each period is analysed with its own report."""
+    out = []
+    for period, later in ((PERIOD_A, False), (PERIOD_B, True)):
+        res = inv.at_least_one_month(inv_enriched(spark, sf_dir, "group", period, later))
+        out.append((inv.full_month(res["rows"], period["split"]), res["items"]))
+    (full_a, items_a), (full_b, items_b) = out
+    return full_a, full_b, items_a, items_b
+
+
+def cmp_reports(spark: SparkSession, sf_dir: str):
+    first = inv.clean_report(td.dist_report(spark, sf_dir, "group", later=False))
+    later = inv.clean_report(td.dist_report(spark, sf_dir, "group", later=True))
+    return first, later
+
+
+def q_cmp_report_diff(spark, sf_dir):
+    return finalize(cmp.report_diff(*cmp_reports(spark, sf_dir)))
+
+
+def q_cmp_capacity_vs_full(spark, sf_dir):
+    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir)
+    return finalize(cmp.capacity_vs_full(cmp.report_diff(*cmp_reports(spark, sf_dir)), full_a, full_b))
+
+
+def q_cmp_persistent(spark, sf_dir):
+    full_a, full_b, items_a, items_b = cmp_inputs(spark, sf_dir)
+    return finalize(cmp.persistent_items(full_a, full_b, items_a, items_b, LABEL_A, LABEL_B))
+
+
+def q_cmp_obs_check(spark, sf_dir):
+    full_a, full_b, items_a, items_b = cmp_inputs(spark, sf_dir)
+    return finalize(cmp.observation_check(
+        cmp.persistent_items(full_a, full_b, items_a, items_b, LABEL_A, LABEL_B)))
+
+
+def q_cmp_only_one_period(spark, sf_dir):
+    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir)
+    return finalize(cmp.only_one_period(full_a, full_b, LABEL_A, LABEL_B))
+
+
+# -------------------------------------------------------------- Profile
+def q_profile_summary(spark, sf_dir):
+    return finalize(profile.describe(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_by_class(spark, sf_dir):
+    return finalize(profile.describe(inv_enriched(spark, sf_dir), profile.CLASS_COLUMNS,
+                                     by=["Classification"]))
+
+
+def q_profile_quartiles(spark, sf_dir):
+    return finalize(profile.quartiles(inv_enriched(spark, sf_dir), by=["Classification"]))
+
+
+def q_profile_corr(spark, sf_dir):
+    return finalize(profile.correlations(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_share(spark, sf_dir):
+    return finalize(profile.class_share(inv_enriched(spark, sf_dir), "totalMonthlyQtySold",
+                                        by="SubCategory"))
+
+
+def q_profile_margin_rate(spark, sf_dir):
+    return finalize(profile.margin_rate(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_class_month(spark, sf_dir):
+    return finalize(profile.class_month(inv_enriched(spark, sf_dir), "SellMargin"))
+
+
+def q_profile_geo_means(spark, sf_dir):
+    return finalize(profile.geo_mean_summary(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_class_counts(spark, sf_dir):
+    return finalize(profile.class_counts(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_margin_bands(spark, sf_dir):
+    return finalize(profile.margin_bands(inv_enriched(spark, sf_dir)))
+
+
+def q_profile_selected_share(spark, sf_dir):
+    enr = inv_enriched(spark, sf_dir, "group")
+    full = inv.full_month(inv.at_least_one_month(enr)["rows"], PERIOD_A["split"])
+    return finalize(profile.selected_share(enr, full))
+
+
+def q_profile_histogram(spark, sf_dir):
+    return finalize(profile.histogram(inv_enriched(spark, sf_dir), "Price", 10))
+
+
 QUERIES: dict[str, Query] = {
     "oos_clean_grid": q_oos_clean_grid,
     "oos_items": q_oos_items,
@@ -236,4 +336,21 @@ QUERIES: dict[str, Query] = {
     "inv_full_month": q_inv_full_month,
     "inv_over_spaced_x2": q_inv_over_spaced_x2,
     "inv_bands": q_inv_bands,
+    "cmp_report_diff": q_cmp_report_diff,
+    "cmp_capacity_vs_full": q_cmp_capacity_vs_full,
+    "cmp_persistent": q_cmp_persistent,
+    "cmp_obs_check": q_cmp_obs_check,
+    "cmp_only_one_period": q_cmp_only_one_period,
+    "profile_summary": q_profile_summary,
+    "profile_by_class": q_profile_by_class,
+    "profile_quartiles": q_profile_quartiles,
+    "profile_corr": q_profile_corr,
+    "profile_share": q_profile_share,
+    "profile_margin_rate": q_profile_margin_rate,
+    "profile_class_month": q_profile_class_month,
+    "profile_geo_means": q_profile_geo_means,
+    "profile_class_counts": q_profile_class_counts,
+    "profile_margin_bands": q_profile_margin_bands,
+    "profile_selected_share": q_profile_selected_share,
+    "profile_histogram": q_profile_histogram,
 }
