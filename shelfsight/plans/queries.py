@@ -4,6 +4,12 @@ Every query reads the driver's generated tables through the adapters in
 ``sources.testdata`` (whole tables), runs the library operators, and ends in
 ``finalize`` (rounding/rendering only) so that it can be compared with the
 SQL in ``plans.oracle``.
+
+The derived tables that an operator reads more than once (the daily facts,
+the weekly ranked table, the monthly mart, the analysis table) are written
+once to the checkpoint directory (``materialize``): later branches read the
+written table instead of re-deriving it, and the lineage is cut, so a lost
+executor does not send the job back to the raw scan.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from shelfsight.operators import inventory as inv
 from shelfsight.operators import compare as cmp
 from shelfsight.operators import oos, profile, rank
 from shelfsight.plans.checked import finalize
+from shelfsight.plans.execution import materialize
 from shelfsight.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # ------------------------------------------------------------------ OOS
 def oos_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oos.clean_stock(td.stock_daily(spark, sf_dir), td.closed_stores(spark, sf_dir))
+    return materialize(oos.clean_stock(td.stock_daily(spark, sf_dir), td.closed_stores(spark, sf_dir)))
 
 
 def oos_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ def q_oos_product_summary(spark, sf_dir):
 
 # ----------------------------------------------------------------- Rank
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.clean_rank(td.rank_weekly(spark, sf_dir))
+    return materialize(rank.clean_rank(td.rank_weekly(spark, sf_dir)))
 
 
 def q_rank_overall(spark, sf_dir):
@@ -111,7 +118,7 @@ def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
     ven = inv.clean_lookup(td.vendor_info(spark, sf_dir, catalogue), "Vendor")
     sales = inv.clean_sales(td.sales_monthly(spark, sf_dir, catalogue), sub, ven,
                             store=None, begin=period["begin"], end=period["end"])
-    mart = inv.monthly_mart(sales)
+    mart = materialize(inv.monthly_mart(sales))
     report = inv.clean_report(td.dist_report(spark, sf_dir, catalogue, later=later_report))
     return sales, mart, report
 
@@ -119,7 +126,7 @@ def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
 def inv_enriched(spark, sf_dir, catalogue="part", period=PERIOD_A, later_report=False):
     _, mart, report = inv_inputs(spark, sf_dir, catalogue, period, later_report)
     _, late = inv.split_periods(mart, period["split"])
-    return inv.enrich(inv.analysis_base(late, report))
+    return materialize(inv.enrich(inv.analysis_base(late, report)))
 
 
 def q_inv_sales_clean(spark, sf_dir):
