@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double
+from shelfsight.plans.execution import materialize
 from shelfsight.sources.schemas import RANK_WEEKLY_RENAME
 
 COLUMNS = ["Index", "Date", "Company", "BusinessUnit", "Concept_NEW", "Category",
@@ -51,14 +52,44 @@ def clean_rank(raw: DataFrame) -> DataFrame:
     ).select(*COLUMNS)
 
 
+def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
+              partitions: int | None = None) -> DataFrame:
+    """Exact ``rank()`` of ``value`` (descending, NULLs last) within each
+    ``group``, without putting a whole group into one task.
+
+    Rows are range-partitioned on (group, value desc), so every partition
+    holds a contiguous slice of one or more groups and equal keys never
+    straddle partitions. Each row's rank is its rank inside its
+    (group, partition) slice plus the number of rows of the same group in
+    earlier partitions (all of them rank higher). The offsets table has at
+    most ``partitions + number of groups`` rows, a bound fixed by the plan,
+    so it is broadcast.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(value).desc_nulls_last()
+    # Range bounds come from a sample, so two evaluations of the exchange may
+    # cut differently; the tagged rows are written once (reliable checkpoint)
+    # and both the slice ranks and the slice sizes read that one copy.
+    keyed = materialize(df.repartitionByRange(n, *[F.col(g).asc() for g in group], order)
+                          .withColumn("_pid", F.spark_partition_id()))
+    local = keyed.withColumn("_local", F.rank().over(
+        Window.partitionBy(*group, "_pid").orderBy(order)))
+    sizes = keyed.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_pid",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = local.join(F.broadcast(offsets), [*group, "_pid"], "inner")
+    return (ranked.withColumn(out, (_c("_off") + _c("_local")).cast("int"))
+                  .select(*df.columns, out))
+
+
 def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:
     """Overall rank of each row within its week by sales (ties share a rank),
     and optionally the rank within (week, store)."""
-    out = df.withColumn("rank", F.rank().over(
-        Window.partitionBy("Date").orderBy(F.desc("NetSales"))))
+    out = rank_desc(df, ["Date"], "NetSales", "rank")
     if store_rank:
-        out = out.withColumn("store_rank", F.rank().over(
-            Window.partitionBy("Date", "Store").orderBy(F.desc("NetSales"))))
+        out = rank_desc(out, ["Date", "Store"], "NetSales", "store_rank")
     return out
 
 

@@ -256,7 +256,7 @@ groups{tag} AS (
         facings = f"({facings} + CASE WHEN mid % 7 = 2 THEN 1.0 ELSE 0.0 END)"
     return groups + f"""
 sales{tag} AS (
-  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS Date,
+  SELECT CAST(l_shipdate AS DATE) AS Date,
          'S' || CAST(l_suppkey AS VARCHAR) AS Store,
          {mid} AS MatID, 'Part ' || CAST({mid} AS VARCHAR) AS SKU,
          l_extendedprice AS GrossSales,
@@ -271,7 +271,8 @@ sales{tag} AS (
   FROM lineitem LEFT JOIN groups{tag} g ON g.mid = {mid}
   WHERE l_shipdate >= TIMESTAMP '{begin}' AND l_shipdate < TIMESTAMP '{end}'),
 mart{tag} AS (
-  SELECT CAST(year(Date) AS INTEGER) AS year, CAST(month(Date) AS INTEGER) AS month, Date AS period,
+  SELECT CAST(year(Date) AS INTEGER) AS year, CAST(month(Date) AS INTEGER) AS month,
+         CAST(date_trunc('month', Date) AS DATE) AS period,
          MatID, SubCategory, Vendor,
          avg(NetSales) AS totalMonthlyNetSale, avg(GrossSales) AS totalMonthlyGrossSale,
          avg(COGS) AS avgCOGS, avg(QtySold) AS totalMonthlyQtySold, avg(Price) AS Price,

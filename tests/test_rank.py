@@ -112,3 +112,20 @@ def test_report_has_no_helper_columns_and_no_duplicates(spark):
     out = rank.rank_report(frame(spark, rows))
     assert "in_W1_not_W2" not in out.columns and "sumSales_oldWeek" not in out.columns
     assert out.count() == 2
+
+
+def test_distributed_rank_equals_window_rank(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    random.seed(3)
+    rows = [(f"W{random.randint(1, 4)}", f"S{random.randint(1, 3)}", float(random.choice([0, 1, 2, 5, 5, 7, None or 3])) if random.random() > 0.05 else None)
+            for _ in range(3000)]
+    df = spark.createDataFrame(rows, "Date string, Store string, NetSales double")
+    got = rank.rank_desc(df.withColumn("id", F.monotonically_increasing_id()), ["Date"], "NetSales", "r", partitions=7)
+    want = df.withColumn("id", F.monotonically_increasing_id()).withColumn(
+        "r", F.rank().over(Window.partitionBy("Date").orderBy(F.col("NetSales").desc_nulls_last())))
+    a = sorted((r["Date"], r["NetSales"] if r["NetSales"] is not None else -1, r["r"]) for r in got.collect())
+    b = sorted((r["Date"], r["NetSales"] if r["NetSales"] is not None else -1, r["r"]) for r in want.collect())
+    assert a == b
