@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.columns import as_double, day_of
+from shelfsight.functions.columns import as_double, day_of, snap_to_zero
 from shelfsight.plans.execution import broadcast_if_small
 from shelfsight.sources.schemas import DAY_FORMAT, STOCK_DAILY_RENAME
 
@@ -42,12 +42,15 @@ def _col(n: str) -> Column:
     return F.col(n)
 
 
-def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None) -> DataFrame:
+def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
+                snap_small_stock: bool = False) -> DataFrame:
     """Rename business headers, cast measures to DOUBLE, parse the day,
     drop closed stores and rows without a store.
 
     ``closed_stores`` needs a ``Store`` column; it is de-duplicated and
-    broadcast only when its size is checked to be small."""
+    broadcast only when its size is checked to be small.
+    ``snap_small_stock`` (off by default, as in the reference) sets stock
+    values strictly between -1 and 1 to 0."""
     ren = {k: v for k, v in STOCK_DAILY_RENAME.items() if k in raw.columns}
     df = raw.withColumnsRenamed(ren) if ren else raw
     df = df.select(
@@ -55,6 +58,8 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None) -> DataF
         day_of(df, "Date", DAY_FORMAT).alias("Date"),
         *[as_double(df, m).alias(m) for m in MEASURES],
     ).where(_col("Store").isNotNull())
+    if snap_small_stock:
+        df = df.withColumn("StockQty", snap_to_zero(_col("StockQty")))
     if closed_stores is not None:
         closed = closed_stores.select("Store").where(_col("Store").isNotNull()).distinct()
         df = df.join(broadcast_if_small(closed), "Store", "left_anti")

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses this library rebuilds are batch jobs over complete periods (a
+30-day stock window, two weeks of ranks, six months of sales); they have no
+watermark, trigger, late-data or state handling to carry over. The batch
+jobs in ``shelfsight.plans.jobs`` are the unit of scheduling.
+"""

@@ -75,3 +75,18 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert {r["MatID"] for r in res["issued/removed"].collect()} == {2}
     assert {r["MatID"] for r in res["full_month"].collect()} == {1}
     assert os.path.isdir(tmp_path / "inv" / "at_least_one_month" / "unadjusted")
+
+
+def test_column_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from shelfsight.functions import columns as C
+    df = spark.createDataFrame([("AULS498076-Shepherds Hut", "NZDF12345-Tea", "1,333.5", 0.5, "2018-12-31")],
+                               "a string, b string, c string, d double, e string")
+    r = df.select(C.name_of(F.col("a")).alias("short"), C.mat_id(F.col("b")).alias("mid"),
+                  C.as_double(df, "c").alias("num"), C.snap_to_zero(F.col("d")).alias("snap"),
+                  C.iso_week(F.to_date("e")).alias("wk"),
+                  C.name_of(F.lit("nodash")).alias("none"),
+                  C.ratio(F.lit(1.0), F.lit(0.0)).alias("div0")).collect()[0]
+    assert r["short"] == "Shepherds Hut" and r["mid"] == 12345 and r["num"] == 1333.5
+    assert r["snap"] == 0.0 and r["wk"] == "2019W01" and r["none"] is None and r["div0"] is None
