@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,14 +71,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="shelfsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    path = tempfile.mkdtemp(prefix="shelfsight-ckpt-", dir=os.environ.get("TMPDIR") or "/tmp")
     sc.setCheckpointDir(path)
     return path
 
 
+_PARQUET_BAD = set(" ,;{}()\n\t=")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: writes ``df`` to the shared checkpoint directory
-    and cuts its lineage, so an intermediate that several outputs read is
-    computed once and survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a parquet table under the shared checkpoint
+    directory and return a frame that reads it back.
+
+    The lineage is cut (a lost executor re-reads the table instead of
+    re-running the plan), the plan runs exactly once (an eager RDD
+    checkpoint runs it twice: once to count, once to write), and later
+    reads get column pruning and filter pushdown. Frames whose column names
+    parquet cannot hold fall back to a reliable ``checkpoint()``."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    if any(ch in _PARQUET_BAD for name in df.columns for ch in name):
+        return df.checkpoint(eager=True)
+    path = f"{root.rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
