@@ -58,6 +58,27 @@ def quartiles(df: DataFrame, columns=None, by: list[str] | None = None,
     return _long(one, columns, ["p25", "p50", "p75"], by)
 
 
+def eight_number_summary(df: DataFrame, columns=None, by: list[str] | None = None,
+                         accuracy: int = 10000) -> DataFrame:
+    """count, mean, sample std, min, quartiles (approximate, see
+    ``quartiles``) and max per column and group, from one aggregate."""
+    columns = columns or CLASS_COLUMNS
+    by = by or []
+    aggs = []
+    for c in columns:
+        x = _c(c).cast("double")
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
+                 F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
+                 F.max(x).alias(f"{c}__max")]
+    one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    for c in columns:
+        one = (one.withColumn(f"{c}__p25", _c(f"{c}__q")[0])
+                  .withColumn(f"{c}__p50", _c(f"{c}__q")[1])
+                  .withColumn(f"{c}__p75", _c(f"{c}__q")[2]))
+    return _long(one, columns, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"], by)
+
+
 def correlations(df: DataFrame) -> DataFrame:
     """Pearson correlation of net vs gross sales and of facings vs quantity."""
     return df.agg(

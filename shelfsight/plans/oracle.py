@@ -597,3 +597,22 @@ SQL["profile_quartiles"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
     f"""SELECT Classification, '{c}' AS "column", {R(f'quantile_disc({c}, 0.25)')} AS p25,
        {R(f'quantile_disc({c}, 0.5)')} AS p50, {R(f'quantile_disc({c}, 0.75)')} AS p75
 FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))
+
+SQL["inv_adjusted"] = f"""WITH {_A},
+items AS (SELECT DISTINCT {', '.join(ATL_COLS)} FROM atl)
+SELECT {cols(ATL_COLS, DOUBLES)} FROM items WHERE ProposedDepth = 3"""
+
+SQL["inv_over_spaced_facings"] = f"""WITH {_G},
+flag AS (SELECT * FROM base WHERE totalMonthlyQtySold * 1.0 < Facings),
+ids AS (SELECT MatID FROM flag
+        WHERE period IN (DATE '{_SPLIT_A}', DATE '{_SPLIT_A}' + INTERVAL 1 MONTH,
+                         DATE '{_SPLIT_A}' + INTERVAL 2 MONTH)
+        GROUP BY MatID HAVING count(DISTINCT period) = 3)
+SELECT {cols(OVER_COLS, DOUBLES)} FROM flag WHERE MatID IN (SELECT MatID FROM ids)"""
+
+SQL["profile_eight_number"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
+    f"""SELECT Classification, '{c}' AS "column", count({c}) AS "count", {R(f'avg({c})')} AS mean,
+       {R(f'stddev_samp({c})')} AS std, {R(f'min({c})')} AS "min",
+       {R(f'quantile_disc({c}, 0.25)')} AS p25, {R(f'quantile_disc({c}, 0.5)')} AS p50,
+       {R(f'quantile_disc({c}, 0.75)')} AS p75, {R(f'max({c})')} AS "max"
+FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))

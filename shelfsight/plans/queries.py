@@ -112,33 +112,42 @@ PERIOD_B = {"begin": "2000-06-01", "end": "2000-12-01", "split": "2000-09-01"}
 
 
 def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
-               period: dict = PERIOD_A, later_report: bool = False):
-    """(sales, mart, report) for one analysis window."""
+               period: dict = PERIOD_A, later_report: bool = False, keep_mart: bool = True):
+    """(sales, mart, report) for one analysis window.
+
+    ``keep_mart`` writes the mart once when several branches read it (the
+    branches prune it differently, so Spark could not share one exchange and
+    would aggregate the sales twice)."""
     sub = inv.clean_lookup(td.subcategory_info(spark, sf_dir, catalogue), "SubCategory")
     ven = inv.clean_lookup(td.vendor_info(spark, sf_dir, catalogue), "Vendor")
     sales = inv.clean_sales(td.sales_monthly(spark, sf_dir, catalogue), sub, ven,
                             store=None, begin=period["begin"], end=period["end"])
-    mart = materialize(inv.monthly_mart(sales))
+    mart = inv.monthly_mart(sales)
+    if keep_mart:
+        mart = materialize(mart)
     report = inv.clean_report(td.dist_report(spark, sf_dir, catalogue, later=later_report))
     return sales, mart, report
 
 
-def inv_enriched(spark, sf_dir, catalogue="part", period=PERIOD_A, later_report=False):
+def inv_enriched(spark, sf_dir, catalogue="part", period=PERIOD_A, later_report=False,
+                 keep: bool = False):
+    """The analysis table; ``keep`` writes it once for multi-branch readers."""
     _, mart, report = inv_inputs(spark, sf_dir, catalogue, period, later_report)
     _, late = inv.split_periods(mart, period["split"])
-    return materialize(inv.enrich(inv.analysis_base(late, report)))
+    enriched = inv.enrich(inv.analysis_base(late, report))
+    return materialize(enriched) if keep else enriched
 
 
 def q_inv_sales_clean(spark, sf_dir):
-    return finalize(inv_inputs(spark, sf_dir)[0])
+    return finalize(inv_inputs(spark, sf_dir, keep_mart=False)[0])
 
 
 def q_inv_monthly(spark, sf_dir):
-    return finalize(inv_inputs(spark, sf_dir)[1])
+    return finalize(inv_inputs(spark, sf_dir, keep_mart=False)[1])
 
 
 def q_inv_check(spark, sf_dir):
-    _, mart, report = inv_inputs(spark, sf_dir)
+    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
     return finalize(inv.check_items(mart, report))
 
 
@@ -149,19 +158,19 @@ def q_inv_removed(spark, sf_dir):
 
 
 def q_inv_new(spark, sf_dir):
-    _, mart, report = inv_inputs(spark, sf_dir)
+    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
     _, late = inv.split_periods(mart, PERIOD_A["split"])
     return finalize(inv.new_items(late, report))
 
 
 def q_inv_bad_record(spark, sf_dir):
-    _, mart, report = inv_inputs(spark, sf_dir)
+    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
     _, late = inv.split_periods(mart, PERIOD_A["split"])
     return finalize(inv.bad_records(inv.analysis_base(late, report)))
 
 
 def q_inv_depth_lt2(spark, sf_dir):
-    _, mart, report = inv_inputs(spark, sf_dir)
+    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
     _, late = inv.split_periods(mart, PERIOD_A["split"])
     return finalize(inv.shallow_items(inv.analysis_base(late, report)))
 
@@ -185,16 +194,20 @@ def q_inv_enriched(spark, sf_dir):
 
 
 def q_inv_at_least_one(spark, sf_dir):
-    return finalize(inv.at_least_one_month(inv_enriched(spark, sf_dir))["items"])
+    return finalize(inv.at_least_one_month(inv_enriched(spark, sf_dir, keep=True))["items"])
 
 
 def q_inv_unadjusted_buckets(spark, sf_dir):
-    res = inv.at_least_one_month(inv_enriched(spark, sf_dir))
+    res = inv.at_least_one_month(inv_enriched(spark, sf_dir, keep=True))
     return finalize(inv.depth_buckets(res["unadjusted"]))
 
 
+def q_inv_adjusted(spark, sf_dir):
+    return finalize(inv.at_least_one_month(inv_enriched(spark, sf_dir, keep=True))["adjusted"])
+
+
 def q_inv_full_month(spark, sf_dir):
-    res = inv.at_least_one_month(inv_enriched(spark, sf_dir, catalogue="group"))
+    res = inv.at_least_one_month(inv_enriched(spark, sf_dir, catalogue="group", keep=True))
     return finalize(inv.full_month(res["rows"], PERIOD_A["split"]))
 
 
@@ -210,6 +223,15 @@ def q_inv_over_spaced_x2(spark, sf_dir):
     return finalize(flagged.join(ids, "MatID", "left_semi").select(*OVER_SPACED_COLUMNS))
 
 
+def q_inv_over_spaced_facings(spark, sf_dir):
+    """Rule 1: facings above the monthly quantity, in every late month."""
+    _, mart, report = inv_inputs(spark, sf_dir, catalogue="group")
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    flagged = inv.over_spaced(inv.analysis_base(late, report), "Facings", 1)
+    ids = inv.full_month_ids(flagged, PERIOD_A["split"])
+    return finalize(flagged.join(ids, "MatID", "left_semi").select(*OVER_SPACED_COLUMNS))
+
+
 def q_inv_bands(spark, sf_dir):
     return finalize(inv.demand_bands(inv_enriched(spark, sf_dir)))
 
@@ -223,7 +245,7 @@ def cmp_inputs(spark: SparkSession, sf_dir: str):
     periods; each period is analysed with its own report."""
     out = []
     for period, later in ((PERIOD_A, False), (PERIOD_B, True)):
-        res = inv.at_least_one_month(inv_enriched(spark, sf_dir, "group", period, later))
+        res = inv.at_least_one_month(inv_enriched(spark, sf_dir, "group", period, later, keep=True))
         out.append((inv.full_month(res["rows"], period["split"]), res["items"]))
     (full_a, items_a), (full_b, items_b) = out
     return full_a, full_b, items_a, items_b
@@ -274,6 +296,10 @@ def q_profile_quartiles(spark, sf_dir):
     return finalize(profile.quartiles(inv_enriched(spark, sf_dir), by=["Classification"]))
 
 
+def q_profile_eight_number(spark, sf_dir):
+    return finalize(profile.eight_number_summary(inv_enriched(spark, sf_dir), by=["Classification"]))
+
+
 def q_profile_corr(spark, sf_dir):
     return finalize(profile.correlations(inv_enriched(spark, sf_dir)))
 
@@ -304,7 +330,7 @@ def q_profile_margin_bands(spark, sf_dir):
 
 
 def q_profile_selected_share(spark, sf_dir):
-    enr = inv_enriched(spark, sf_dir, "group")
+    enr = inv_enriched(spark, sf_dir, "group", keep=True)
     full = inv.full_month(inv.at_least_one_month(enr)["rows"], PERIOD_A["split"])
     return finalize(profile.selected_share(enr, full))
 
@@ -340,8 +366,10 @@ QUERIES: dict[str, Query] = {
     "inv_enriched": q_inv_enriched,
     "inv_at_least_one": q_inv_at_least_one,
     "inv_unadjusted_buckets": q_inv_unadjusted_buckets,
+    "inv_adjusted": q_inv_adjusted,
     "inv_full_month": q_inv_full_month,
     "inv_over_spaced_x2": q_inv_over_spaced_x2,
+    "inv_over_spaced_facings": q_inv_over_spaced_facings,
     "inv_bands": q_inv_bands,
     "cmp_report_diff": q_cmp_report_diff,
     "cmp_capacity_vs_full": q_cmp_capacity_vs_full,
@@ -351,6 +379,7 @@ QUERIES: dict[str, Query] = {
     "profile_summary": q_profile_summary,
     "profile_by_class": q_profile_by_class,
     "profile_quartiles": q_profile_quartiles,
+    "profile_eight_number": q_profile_eight_number,
     "profile_corr": q_profile_corr,
     "profile_share": q_profile_share,
     "profile_margin_rate": q_profile_margin_rate,
