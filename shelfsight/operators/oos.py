@@ -68,7 +68,13 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
 
 def pair_summary(facts: DataFrame) -> DataFrame:
     """One row per (SKU, Store) that passes rules 1 and 2, with the period
-    statistics the later rules need."""
+    statistics the later rules need.
+
+    Two steps: a hash aggregate per (SKU, Store, Category) does all the
+    numeric work with map-side partial aggregation; the per-pair step then
+    runs over about one row per pair and picks the category of the latest
+    dated row. (A string-valued ``max_by`` over the raw rows would force a
+    sort-based aggregate over every fact row.)"""
     valid = _col("Date").isNotNull()
     stock = F.coalesce(_col("StockQty"), F.lit(0.0))
     on_stock = valid & (stock != 0)
@@ -76,20 +82,28 @@ def pair_summary(facts: DataFrame) -> DataFrame:
     def on_stock_sum(m: str) -> Column:
         return F.sum(F.when(on_stock, F.coalesce(_col(m), F.lit(0.0))))
 
-    return (facts.groupBy(*KEYS)
-                 .agg(F.sum("NetSales").alias("sum_net_sales"),
-                      F.sum("StockQty").alias("sum_stock"),
-                      F.min(F.when(valid, _col("Date"))).alias("first_day"),
-                      F.max(F.when(valid, _col("Date"))).alias("last_day"),
-                      F.min(F.when(on_stock, _col("Date"))).alias("first_stock_day"),
-                      F.max(F.when(valid, stock > 0)).alias("ever_positive"),
-                      F.count(F.when(on_stock, 1)).alias("stock_days"),
-                      on_stock_sum("QtySold").alias("qty_on_stock"),
-                      on_stock_sum("NetSales").alias("net_on_stock"),
-                      on_stock_sum("Margin").alias("margin_on_stock"),
-                      F.max_by("Category", F.when(valid & _col("Category").isNotNull(),
-                                                  _col("Date"))).alias("category"))
-                 .where((_col("sum_net_sales") != 0) & (_col("sum_stock") != 0)))
+    per_cat = (facts.groupBy(*KEYS, "Category")
+                    .agg(F.sum("NetSales").alias("sum_net_sales"),
+                         F.sum("StockQty").alias("sum_stock"),
+                         F.min(F.when(valid, _col("Date"))).alias("first_day"),
+                         F.max(F.when(valid, _col("Date"))).alias("last_day"),
+                         F.min(F.when(on_stock, _col("Date"))).alias("first_stock_day"),
+                         F.max(F.when(valid, stock > 0)).alias("ever_positive"),
+                         F.count(F.when(on_stock, 1)).alias("stock_days"),
+                         on_stock_sum("QtySold").alias("qty_on_stock"),
+                         on_stock_sum("NetSales").alias("net_on_stock"),
+                         on_stock_sum("Margin").alias("margin_on_stock")))
+    sums = ["sum_net_sales", "sum_stock", "stock_days", "qty_on_stock", "net_on_stock",
+            "margin_on_stock"]
+    return (per_cat.groupBy(*KEYS)
+                   .agg(*[F.sum(c).alias(c) for c in sums],
+                        F.min("first_day").alias("first_day"),
+                        F.max("last_day").alias("last_day"),
+                        F.min("first_stock_day").alias("first_stock_day"),
+                        F.max("ever_positive").alias("ever_positive"),
+                        F.max_by("Category", F.when(_col("Category").isNotNull(),
+                                                    _col("last_day"))).alias("category"))
+                   .where((_col("sum_net_sales") != 0) & (_col("sum_stock") != 0)))
 
 
 def period_bounds(pairs: DataFrame) -> DataFrame:
