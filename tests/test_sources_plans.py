@@ -21,9 +21,9 @@ def test_closed_store_list_with_bom_and_crlf(spark, tmp_path):
 
 
 def test_params():
-    p = params.inventory_params("Distribution Report - Auckland Departures - July19.csv", "2019-04-01")
+    p = params.inventory_params("reports/dist-Departures-2019-07.csv", "2019-04-01")
     assert (p.store, p.begin, p.end, p.split_month) == ("NZDF.AKL108", "2019-04-01", "2019-10-01", 7)
-    p = params.inventory_params("Distribution Report-AKL Arrivals-Jan 2020.csv", "2019-06-01")
+    p = params.inventory_params("reports/dist-Arrivals-2020-01.csv", "2019-06-01")
     assert (p.store, p.end, p.split) == ("NZDF.AKL109", "2019-12-01", "2019-09-01")
     with pytest.raises(ValueError):
         params.inventory_params("report.csv", "2019-04-01")
