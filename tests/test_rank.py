@@ -129,3 +129,19 @@ def test_distributed_rank_equals_window_rank(spark):
     a = sorted((r["Date"], r["NetSales"] if r["NetSales"] is not None else -1, r["r"]) for r in got.collect())
     b = sorted((r["Date"], r["NetSales"] if r["NetSales"] is not None else -1, r["r"]) for r in want.collect())
     assert a == b
+
+
+def test_hot_week_is_split_across_slices(spark):
+    """One week holds 90% of the rows: it must span several range slices
+    and still get exact ranks."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 == 0, F.lit("2019W01")).otherwise(F.lit("2019W02")).alias("Date"),
+        (F.col("id") % 997).cast("double").alias("NetSales"))
+    tagged = rank.rank_desc(df, ["Date"], "NetSales", "r", partitions=8)
+    want = df.withColumn("r", F.rank().over(Window.partitionBy("Date").orderBy(F.desc("NetSales"))))
+    assert tagged.exceptAll(want).count() == 0 and want.exceptAll(tagged).count() == 0
+    keyed = (df.repartitionByRange(8, F.col("Date"), F.col("NetSales").desc_nulls_last())
+               .withColumn("_pid", F.spark_partition_id()))
+    assert keyed.where("Date = '2019W02'").select("_pid").distinct().count() >= 4
