@@ -15,8 +15,9 @@ Rules (per SKU/Store pair):
 
 Plan shape: no row loop, no window, no grid for the report. One grouped
 aggregate per pair over the whole period (partial aggregation on the map
-side) gives the rules 1, 2, 5, 6 inputs and the first-stock day; the global
-calendar bounds are a scalar subquery over those pair rows; a second,
+side) gives the rules 1, 2, 5, 6 inputs and the first-stock day; it is
+written once, and the global calendar bounds are a scalar subquery over
+those pair rows; a second,
 much smaller aggregate over the last ``window_days`` days lists each pair's
 zero days, bounded by ``window_days`` entries per pair; missing days come
 from ``array_except(sequence(start, last), present_days)``. The dense grid
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double, day_of, snap_to_zero
-from shelfsight.plans.execution import broadcast_if_small
+from shelfsight.plans.execution import broadcast_if_small, materialize
 from shelfsight.sources.schemas import DAY_FORMAT, STOCK_DAILY_RENAME
 
 KEYS = ["SKU", "Store"]
@@ -117,7 +118,7 @@ def clean_grid(facts: DataFrame) -> DataFrame:
     """Calendar-complete facts of the kept pairs: every pair has one row per
     day of the period (days without facts get 0 measures, NULL category);
     duplicate input days stay duplicated."""
-    summary = pair_summary(facts)
+    summary = materialize(pair_summary(facts))
     pairs = summary.select(*KEYS)
     b = period_bounds(summary)
     d0 = b.select("first_day").scalar()
@@ -130,8 +131,11 @@ def clean_grid(facts: DataFrame) -> DataFrame:
 
 
 def detect_oos(facts: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """Out-of-stock report, one row per reported (SKU, Store)."""
-    pairs = pair_summary(facts)
+    """Out-of-stock report, one row per reported (SKU, Store).
+
+    The pair summary (about one row per pair) is written once: the period
+    bounds and the report both read it, so the facts are aggregated once."""
+    pairs = materialize(pair_summary(facts))
     last = period_bounds(pairs).select("last_day").scalar()
     since = F.date_sub(last, window_days - 1)
 
