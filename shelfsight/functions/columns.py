@@ -101,5 +101,6 @@ def round4(c: Column) -> Column:
     Spark result and the SQL oracle apply the identical double arithmetic.
     The small shift moves the rounding boundary off exact decimal halves
     (common with cent-valued data), where last-bit differences from
-    summation order would otherwise flip the rounded digit."""
-    return F.round(c * F.lit(10000.0) + F.lit(0.001), 0) / F.lit(10000.0)
+    summation order would otherwise flip the rounded digit. The final
+    ``+ 0.0`` turns a negative zero into zero."""
+    return F.round(c * F.lit(10000.0) + F.lit(0.001), 0) / F.lit(10000.0) + F.lit(0.0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 
 def R(x: str) -> str:
-    return f"(round(({x}) * 10000.0 + 0.001) / 10000.0)"
+    return f"(round(({x}) * 10000.0 + 0.001) / 10000.0 + 0.0)"
 
 
 def B(x: str) -> str:
