@@ -62,8 +62,10 @@ def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
     straddle partitions. Each row's rank is its rank inside its
     (group, partition) slice plus the number of rows of the same group in
     earlier partitions (all of them rank higher). The offsets table has at
-    most ``partitions + number of groups`` rows, a bound fixed by the plan,
-    so it is broadcast.
+    most ``partitions + number of groups`` rows; it is joined on
+    (group, partition), the key the slice ranks are already partitioned by,
+    so the large side is not shuffled again (AQE may broadcast the offsets
+    when their measured size is small).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -79,7 +81,7 @@ def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_pid",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = local.join(F.broadcast(offsets), [*group, "_pid"], "inner")
+    ranked = local.join(offsets, [*group, "_pid"], "inner")
     return (ranked.withColumn(out, (_c("_off") + _c("_local")).cast("int"))
                   .select(*df.columns, out))
 

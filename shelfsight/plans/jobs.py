@@ -54,11 +54,11 @@ def run_rank_job(spark: SparkSession, rank_path: str, out_path: str | None = Non
     return report
 
 
-def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
-                      subcategory_path: str, vendor_path: str, params: InventoryParams,
-                      out_dir: str | None = None, fmt: str = "csv") -> dict[str, DataFrame]:
-    """Issue lists, analysis table, at-least-one-month and full-month
-    over-spaced items for one store and window."""
+def load_inventory(spark: SparkSession, sales_path: str, report_path: str,
+                   subcategory_path: str, vendor_path: str,
+                   params: InventoryParams) -> dict[str, DataFrame]:
+    """Read and clean the four exports; return the monthly mart (written
+    once), its early and late parts, and the cleaned report."""
     report = inv.clean_report(rd.read_dist_report(spark, report_path))
     sub = inv.clean_lookup(rd.read_subcategory(spark, subcategory_path), "SubCategory")
     ven = inv.clean_lookup(rd.read_vendor(spark, vendor_path), "Vendor")
@@ -66,6 +66,16 @@ def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
                             store=params.store, begin=params.begin, end=params.end)
     mart = materialize(inv.monthly_mart(sales))
     early, late = inv.split_periods(mart, params.split)
+    return {"mart": mart, "early": early, "late": late, "report": report}
+
+
+def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
+                      subcategory_path: str, vendor_path: str, params: InventoryParams,
+                      out_dir: str | None = None, fmt: str = "csv") -> dict[str, DataFrame]:
+    """Issue lists, analysis table, at-least-one-month and full-month
+    over-spaced items for one store and window."""
+    data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params)
+    mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
     base = inv.analysis_base(late, report)
     enriched = materialize(inv.enrich(base))
     res = inv.at_least_one_month(enriched)
