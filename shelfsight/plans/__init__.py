@@ -3,6 +3,5 @@ from shelfsight.plans.execution import (  # noqa: F401
     ensure_checkpoint_dir,
     local_session,
     materialize,
-    one_row,
     session_defaults,
 )

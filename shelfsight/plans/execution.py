@@ -55,28 +55,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global (no grouping key) aggregate for broadcast.
-
-    A global aggregate has exactly one row whatever the input size, so the
-    broadcast is bounded by construction."""
-    return F.broadcast(df)
+_LOCAL_ROOT: str | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint directory from ``spark.checkpoint.dir``; a local scratch
-    folder is created only when the session names none (tests, local runs)."""
+    """Shared folder for written intermediates: ``spark.checkpoint.dir``
+    from the session. Only when the session names none (tests, local runs)
+    is a local scratch folder created, once per process."""
+    global _LOCAL_ROOT
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if conf:
-        sc.setCheckpointDir(conf)
         return conf
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="shelfsight-ckpt-", dir=os.environ.get("TMPDIR") or "/tmp")
-    sc.setCheckpointDir(path)
-    return path
+    if _LOCAL_ROOT is None:
+        _LOCAL_ROOT = tempfile.mkdtemp(prefix="shelfsight-ckpt-",
+                                       dir=os.environ.get("TMPDIR") or "/tmp")
+    return _LOCAL_ROOT
+
+
+def _rdd_checkpoint(df: DataFrame, root: str) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
 
 
 _PARQUET_BAD = set(" ,;{}()\n\t=")
@@ -94,7 +94,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     if any(ch in _PARQUET_BAD for name in df.columns for ch in name):
-        return df.checkpoint(eager=True)
+        return _rdd_checkpoint(df, root)
     path = f"{root.rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
