@@ -90,3 +90,15 @@ def test_column_helpers(spark):
                   C.ratio(F.lit(1.0), F.lit(0.0)).alias("div0")).collect()[0]
     assert r["short"] == "Shepherds Hut" and r["mid"] == 12345 and r["num"] == 1333.5
     assert r["snap"] == 0.0 and r["wk"] == "2019W01" and r["none"] is None and r["div0"] is None
+
+
+def test_command_line_rank_job(spark, tmp_path):
+    from shelfsight.__main__ import main
+    src = write(tmp_path / "rank.csv",
+                "Index,Date Detail,Company,Business Unit,Concept_NEW,Product Category,"
+                "Company and Cost Centre,SKU,POS Net Sales,Rank Total\n"
+                "1,2019W01,C,B,K,X,S1,A,5,1\n2,2019W02,C,B,K,X,S2,A,5,1\n")
+    out = str(tmp_path / "out")
+    assert main(["--local", "2", "rank", "--input", src, "--out", out]) == 0
+    back = spark.read.option("header", True).csv(out).collect()
+    assert sorted(r["range_expansion"] for r in back) == [None, "True"]
