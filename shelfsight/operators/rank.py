@@ -15,7 +15,7 @@ W2 is the latest week in the data, W1 the week before it (week keys
 * ``newcomer``         the pair is in the top 50 (rank 1..50) in W2 and not in W1;
                        set on every row of the pair, False otherwise
 
-Plan shape: the two period keys are scalar subqueries (one row each); all
+Plan shape: the two period keys come from one scalar subquery; all
 pair-level facts come from one grouped aggregate over the rows of W1 and W2
 (partial aggregation; one row per pair), the concept average from a second
 small aggregate over W2; both are joined back once. Every join key is
@@ -96,10 +96,13 @@ def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:
 
 
 def last_two_weeks(df: DataFrame) -> tuple[Column, Column]:
-    """(W1, W2) as scalar subqueries: the latest week and the one before."""
-    w2 = df.select(F.max("Date")).scalar()
-    w1 = df.where(_c("Date") < w2).select(F.max("Date")).scalar()
-    return w1, w2
+    """(W1, W2): the week before the latest, and the latest week.
+
+    One scalar subquery returns both keys (the distinct week keys it
+    gathers are bounded by the calendar, not by the data volume); every
+    reference to W1 or W2 reuses that one subquery."""
+    weeks = df.select(F.slice(F.sort_array(F.collect_set("Date"), asc=False), 1, 2)).scalar()
+    return F.get(weeks, 1), F.get(weeks, 0)
 
 
 def _in_top(rank: Column, n: int = TOP_N) -> Column:
