@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double, day_of, snap_to_zero
-from shelfsight.plans.execution import broadcast_if_small, materialize
+from shelfsight.plans.execution import materialize
 from shelfsight.sources.schemas import DAY_FORMAT, STOCK_DAILY_RENAME
 
 KEYS = ["SKU", "Store"]
@@ -49,7 +49,9 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
     drop closed stores and rows without a store.
 
     ``closed_stores`` needs a ``Store`` column; it is de-duplicated and
-    broadcast only when its size is checked to be small.
+    anti-joined. No broadcast hint is set here: AQE broadcasts the list when
+    its measured size is small and keeps a shuffle join otherwise (callers
+    holding a small list file can pass ``broadcast_if_small(list)``).
     ``snap_small_stock`` (off by default, as in the reference) sets stock
     values strictly between -1 and 1 to 0."""
     ren = {k: v for k, v in STOCK_DAILY_RENAME.items() if k in raw.columns}
@@ -63,7 +65,7 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
         df = df.withColumn("StockQty", snap_to_zero(_col("StockQty")))
     if closed_stores is not None:
         closed = closed_stores.select("Store").where(_col("Store").isNotNull()).distinct()
-        df = df.join(broadcast_if_small(closed), "Store", "left_anti")
+        df = df.join(closed, "Store", "left_anti")
     return df.select("SKU", "Store", "Category", "Date", *MEASURES)
 
 

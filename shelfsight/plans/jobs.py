@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.operators import inventory as inv
 from shelfsight.operators import oos, rank
-from shelfsight.plans.execution import materialize
+from shelfsight.plans.execution import broadcast_if_small, materialize
 from shelfsight.plans.params import InventoryParams
 from shelfsight.sources import readers as rd
 from shelfsight.sources import writers as wr
@@ -32,7 +32,8 @@ def run_oos_job(spark: SparkSession, stock_path: str, closed_path: str | None,
                 out_dir: str | None = None, fmt: str = "csv",
                 window_days: int = oos.WINDOW_DAYS) -> dict[str, DataFrame]:
     raw = rd.read_stock_daily(spark, stock_path)
-    closed = rd.read_closed_stores(spark, closed_path) if closed_path else None
+    # the list file is small: broadcast it behind a row-count check
+    closed = broadcast_if_small(rd.read_closed_stores(spark, closed_path)) if closed_path else None
     facts = materialize(oos.clean_stock(raw, closed))
     report = materialize(oos.detect_oos(facts, window_days))
     out = {
