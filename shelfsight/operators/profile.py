@@ -90,8 +90,8 @@ def correlations(df: DataFrame) -> DataFrame:
 def class_share(df: DataFrame, column: str, by: str = "Classification") -> DataFrame:
     """Per class: total and mean of ``column``, the class's share (%) of the
     overall total and its mean relative to the overall mean (%)."""
-    total = df.select(F.sum(column)).scalar()
-    mean = df.select(F.avg(column)).scalar()
+    overall = df.select(F.struct(F.sum(column).alias("t"), F.avg(column).alias("m"))).scalar()
+    total, mean = overall["t"], overall["m"]
     g = df.groupBy(by).agg(F.sum(column).alias("total"), F.avg(column).alias("mean"))
     return g.select(by, "total", "mean",
                     (F.try_divide(_c("total"), total) * 100).alias("share_pct"),
@@ -150,9 +150,9 @@ def selected_share(df: DataFrame, selected: DataFrame, by: str = "Classification
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram of ``column`` between its min and max (the max
-    falls in the last bin); bounds are scalar subqueries."""
-    lo = df.select(F.min(column)).scalar()
-    hi = df.select(F.max(column)).scalar()
+    falls in the last bin); both bounds come from one scalar subquery."""
+    bounds = df.select(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     x = _c(column)
     b = F.least(F.lit(bins).cast("long"),
                 F.floor(F.try_divide(x - lo, hi - lo) * bins) + 1)
