@@ -52,10 +52,20 @@ def clean_rank(raw: DataFrame) -> DataFrame:
     ).select(*COLUMNS)
 
 
+# A window puts each group into one task; below this many rows per group
+# that is cheap and is used once the group sizes have been checked.
+WINDOW_MAX_GROUP_ROWS = 1_000_000
+
+
 def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None,
+              window_below: int | None = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
     """Exact ``rank()`` of ``value`` (descending, NULLs last) within each
-    ``group``, without putting a whole group into one task.
+    ``group``, without putting a large group into one task.
+
+    With ``window_below`` set, one aggregate first finds the largest group;
+    when it has at most ``window_below`` rows a plain window is used (one
+    task per group is then bounded). Otherwise, or with ``window_below=None``:
 
     Rows are range-partitioned on (group, value desc), so every partition
     holds a contiguous slice of one or more groups and equal keys never
@@ -68,11 +78,15 @@ def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
     when their measured size is small).
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc_nulls_last()
+    if window_below is not None:
+        largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+        if largest is None or largest <= window_below:
+            return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(order)))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds come from a sample, so two evaluations of the exchange may
-    # cut differently; the tagged rows are written once (reliable checkpoint)
-    # and both the slice ranks and the slice sizes read that one copy.
+    # cut differently; the tagged rows are written once (``materialize``) and
+    # both the slice ranks and the slice sizes read that one copy.
     keyed = materialize(df.repartitionByRange(n, *[F.col(g).asc() for g in group], order)
                           .withColumn("_pid", F.spark_partition_id()))
     local = keyed.withColumn("_local", F.rank().over(

@@ -123,7 +123,8 @@ def test_distributed_rank_equals_window_rank(spark):
     rows = [(f"W{random.randint(1, 4)}", f"S{random.randint(1, 3)}", float(random.choice([0, 1, 2, 5, 5, 7, None or 3])) if random.random() > 0.05 else None)
             for _ in range(3000)]
     df = spark.createDataFrame(rows, "Date string, Store string, NetSales double")
-    got = rank.rank_desc(df.withColumn("id", F.monotonically_increasing_id()), ["Date"], "NetSales", "r", partitions=7)
+    got = rank.rank_desc(df.withColumn("id", F.monotonically_increasing_id()), ["Date"], "NetSales", "r",
+                         partitions=7, window_below=None)
     want = df.withColumn("id", F.monotonically_increasing_id()).withColumn(
         "r", F.rank().over(Window.partitionBy("Date").orderBy(F.col("NetSales").desc_nulls_last())))
     a = sorted((r["Date"], r["NetSales"] if r["NetSales"] is not None else -1, r["r"]) for r in got.collect())
@@ -139,7 +140,9 @@ def test_hot_week_is_split_across_slices(spark):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 10 == 0, F.lit("2019W01")).otherwise(F.lit("2019W02")).alias("Date"),
         (F.col("id") % 997).cast("double").alias("NetSales"))
-    tagged = rank.rank_desc(df, ["Date"], "NetSales", "r", partitions=8)
+    tagged = rank.rank_desc(df, ["Date"], "NetSales", "r", partitions=8, window_below=None)
+    small = rank.rank_desc(df, ["Date"], "NetSales", "r")          # checked: groups are small
+    assert small.exceptAll(tagged).count() == 0
     want = df.withColumn("r", F.rank().over(Window.partitionBy("Date").orderBy(F.desc("NetSales"))))
     assert tagged.exceptAll(want).count() == 0 and want.exceptAll(tagged).count() == 0
     keyed = (df.repartitionByRange(8, F.col("Date"), F.col("NetSales").desc_nulls_last())
