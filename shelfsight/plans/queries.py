@@ -240,12 +240,14 @@ def q_inv_bands(spark, sf_dir):
 LABEL_A, LABEL_B = "2000-07", "2000-09"
 
 
-def cmp_inputs(spark: SparkSession, sf_dir: str):
+def cmp_inputs(spark: SparkSession, sf_dir: str, with_items: bool = True):
     """Full-month over-spaced rows and at-least-one-month items of the two
-    periods; each period is analysed with its own report."""
+    periods; each period is analysed with its own report. The analysis table
+    is written once only when the items (a second reader) are wanted."""
     out = []
     for period, later in ((PERIOD_A, False), (PERIOD_B, True)):
-        res = inv.at_least_one_month(inv_enriched(spark, sf_dir, "group", period, later, keep=True))
+        enr = inv_enriched(spark, sf_dir, "group", period, later, keep=with_items)
+        res = inv.at_least_one_month(enr)
         out.append((inv.full_month(res["rows"], period["split"]), res["items"]))
     (full_a, items_a), (full_b, items_b) = out
     return full_a, full_b, items_a, items_b
@@ -262,7 +264,7 @@ def q_cmp_report_diff(spark, sf_dir):
 
 
 def q_cmp_capacity_vs_full(spark, sf_dir):
-    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir)
+    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir, with_items=False)
     return finalize(cmp.capacity_vs_full(cmp.report_diff(*cmp_reports(spark, sf_dir)), full_a, full_b))
 
 
@@ -278,7 +280,7 @@ def q_cmp_obs_check(spark, sf_dir):
 
 
 def q_cmp_only_one_period(spark, sf_dir):
-    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir)
+    full_a, full_b, _, _ = cmp_inputs(spark, sf_dir, with_items=False)
     return finalize(cmp.only_one_period(full_a, full_b, LABEL_A, LABEL_B))
 
 
