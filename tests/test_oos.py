@@ -135,3 +135,14 @@ def test_invariants_of_report(spark):
         assert all((last - d).days <= 6 for d in r["date_list"])
         assert r["total_loss_net_sale"] == pytest.approx(r["avg_loss_net_sale"] * r["OOS_days"])
     assert len({(r["SKU"], r["Store"]) for r in rows}) == len(rows)
+
+
+def test_fixture_anchors(spark):
+    """Counts of the fixture design at sf0.001 (facts after the closed-store
+    filter, grid rows, reported pairs, out on the last day, out all 7 days)."""
+    from shelfsight.plans import queries as Q
+    d = "/root/testdata/sf0.001"
+    rep = Q.oos_report(spark, d)
+    assert Q.oos_facts(spark, d).count() == 688
+    assert Q.q_oos_clean_grid(spark, d).count() == 1950
+    assert (rep.count(), rep.where("OOS_lastDay = 1").count(), rep.where("OOS_days = 7").count()) == (65, 36, 4)
