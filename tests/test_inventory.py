@@ -150,3 +150,50 @@ def test_buckets(spark):
                                "MatID int, Capacity_to_avg_qty double")
     got = {r["MatID"]: r["bucket"] for r in inv.depth_buckets(df).collect()}
     assert got == {1: "lessThan3", 2: "between3And9", 3: "between3And9", 4: "moreThan9"}
+
+
+def test_fixture_anchors(spark):
+    """The fixture design of the inventory analysis at sf0.001: one store
+    (even suppliers, selected by the store filter), window Apr-Sep 2000 with
+    split July, report without parts whose key is a multiple of 10."""
+    from pyspark.sql import functions as F
+
+    from shelfsight.sources import testdata as td
+    d = "/root/testdata/sf0.001"
+    li = td.table(spark, d, "lineitem")
+    raw = li.select(
+        F.to_date("l_shipdate").alias("Date"),
+        F.when(F.col("l_suppkey") % 2 == 0, "EVEN").otherwise("ODD").alias("Store"),
+        F.concat(F.lit("NZDF"), F.col("l_partkey").cast("string"), F.lit("-P")).alias("item"),
+        F.col("l_extendedprice").alias("POS Gross Sales"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("POS Net Sales"),
+        F.lit(0.0).alias("POS Total Discount"),
+        F.col("l_quantity").alias("POS Qty Sold"),
+        (F.lit(-0.6) * F.col("l_extendedprice")).alias("POS COGS (INV)"))
+    part = td.table(spark, d, "part")
+    key = F.concat(F.lit("NZDF"), F.col("p_partkey").cast("string"), F.lit("-x")).alias("SKU")
+    sub = inv.clean_lookup(part.select(key, F.concat(F.lit("1-"), "p_type").alias("SubCategory")), "SubCategory")
+    ven = inv.clean_lookup(part.select(key, F.concat(F.lit("1-"), "p_brand").alias("Vendor")), "Vendor")
+    mart = inv.monthly_mart(inv.clean_sales(raw, sub, ven, store="EVEN", begin="2000-04-01", end="2000-10-01"))
+    report = inv.clean_report(part.where(F.col("p_partkey") % 10 != 0).select(
+        F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_name").alias("Name"),
+        (1 + F.col("p_partkey") % 5).cast("double").alias("Facings"),
+        F.col("p_size").cast("double").alias("Capacity"), F.lit(1.0).alias("Days Supply"),
+        F.lit("A").alias("Classification"), F.col("p_partkey").cast("int").alias("Mat ID"),
+        F.lit(1).alias("# POGs")))
+    split = "2000-07-01"
+    early, late = inv.split_periods(mart, split)
+    base = inv.analysis_base(late, report)
+    enr = inv.enrich(base)
+    rows = inv.at_least_one_month(enr)["rows"]
+    bands = {r["band"]: r["n"] for r in
+             inv.demand_bands(enr).groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert (mart.count(), mart.select("MatID").distinct().count(), late.count()) == (190, 130, 87)
+    assert inv.check_items(mart, report).count() == 62
+    assert inv.new_items(late, report).count() == 5
+    assert inv.removed_items(early, late, report, split).select("MatID").distinct().count() == 49
+    assert (inv.bad_records(base).count(), inv.shallow_items(base).count()) == (47, 15)
+    assert (rows.count(), rows.select("MatID").distinct().count()) == (38, 32)
+    assert [bands.get(b, 0) for b in (1, 2, 3, 4)] == [19, 8, 4, 7]
+    assert enr.where("totalMonthlyQtySold = Capacity").count() == 1
+    assert enr.where("Depth >= 3 AND Depth < 4").count() == 5
