@@ -151,9 +151,10 @@ def test_hot_week_is_split_across_slices(spark):
 
 
 def test_fixture_anchors(spark):
-    """The fixture design's weekly table (first half of 2001, plain sums):
-    rows in W2/W1, and range expansion / lost / material change rows and
-    newcomer pairs, at sf0.001."""
+    """The fixture design's weekly table (first half of 2001) at sf0.001:
+    zero-sales rows and unaddressed gaps of the zero-sales variant; rows in
+    W2/W1, range expansion / lost / material change rows and newcomer pairs
+    with plain sums."""
     from pyspark.sql import functions as F
 
     from shelfsight.functions.columns import iso_week
@@ -164,16 +165,26 @@ def test_fixture_anchors(spark):
     li = t("lineitem").where((F.col("l_shipdate") >= "2001-01-01") & (F.col("l_shipdate") < "2001-07-02"))
     geo = (t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
            .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")))
-    w = (li.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-           .join(geo, F.col("l_suppkey") == F.col("s_suppkey"))
-           .groupBy(iso_week(F.to_date("l_shipdate")).alias("Date"), F.col("p_brand").alias("SKU"),
-                    F.col("s_nationkey").cast("string").alias("Store"), F.col("r_name").alias("Concept_NEW"))
-           .agg(F.sum("l_extendedprice").alias("NetSales")))
-    w = rank.add_ranks(w, store_rank=False).select(
-        F.concat_ws("/", "Date", "Store", "SKU").alias("Index"), "Date", F.lit("C").alias("Company"),
-        F.lit("B").alias("BusinessUnit"), "Concept_NEW", F.lit("X").alias("Category"), "Store", "SKU",
-        "NetSales", F.col("rank").cast("double").alias("rank"))
-    f = rank.assortment_flags(w).cache()
+
+    def weekly(sales):
+        w = (li.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+               .join(geo, F.col("l_suppkey") == F.col("s_suppkey"))
+               .groupBy(iso_week(F.to_date("l_shipdate")).alias("Date"), F.col("p_brand").alias("SKU"),
+                        F.col("s_nationkey").cast("string").alias("Store"),
+                        F.col("r_name").alias("Concept_NEW"))
+               .agg(F.sum(sales).alias("NetSales")))
+        return rank.add_ranks(w, store_rank=False).select(
+            F.concat_ws("/", "Date", "Store", "SKU").alias("Index"), "Date", F.lit("C").alias("Company"),
+            F.lit("B").alias("BusinessUnit"), "Concept_NEW", F.lit("X").alias("Category"), "Store", "SKU",
+            "NetSales", F.col("rank").cast("double").alias("rank"))
+
+    # zero-sales variant: line 7 counts as 0
+    z = rank.assortment_flags(weekly(F.when(F.col("l_linenumber") == 7, 0.0)
+                                      .otherwise(F.col("l_extendedprice"))))
+    assert z.where("NetSales = 0").count() == 68
+    assert z.where("unaddressed_gap").count() == 65
+    assert z.where("unaddressed_gap AND Date IN ('2001W25', '2001W26')").count() == 4
+    f = rank.assortment_flags(weekly(F.col("l_extendedprice"))).cache()
     assert f.where("Date = '2001W26'").count() == 14 and f.where("Date = '2001W25'").count() == 18
     assert f.where("range_expansion").count() == 14
     assert f.where("in_W1_not_W2").count() == 18
