@@ -398,12 +398,13 @@ _SPLIT_A = PERIOD_A[2]
 SQL["inv_sales_clean"] = f"WITH {_A} SELECT {cols(SALES_COLS, DOUBLES)} FROM sales"
 SQL["inv_monthly"] = f"WITH {_A} SELECT {cols(MART_COLS, DOUBLES)} FROM mart"
 SQL["inv_check"] = f"""WITH {_A},
-chk AS (SELECT r.SKU, r.MatID, m.year, m.month, m.Price, r.POGS, r.Facings, r.Capacity,
+chk AS (SELECT r.SKU, r.MatID, CAST(m.year AS DOUBLE) AS year, CAST(m.month AS DOUBLE) AS month,
+               m.Price, r.POGS, r.Facings, r.Capacity,
                r.Classification, m.SubCategory, m.totalMonthlyNetSale, m.totalMonthlyQtySold,
                m.SellMargin
         FROM report r LEFT JOIN mart m ON r.MatID = m.MatID
         WHERE coalesce(m.totalMonthlyGrossSale, 0) = 0)
-SELECT {cols(ISSUE_COLS, DOUBLES)} FROM chk"""
+SELECT {cols(ISSUE_COLS, DOUBLES | {"year", "month"})} FROM chk"""
 SQL["inv_removed"] = f"""WITH {_A},
 act AS (SELECT MatID,
                bool_or(totalMonthlyGrossSale <> 0 AND period < DATE '{_SPLIT_A}') AS se,

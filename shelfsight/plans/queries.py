@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfsight.operators import inventory as inv
 from shelfsight.operators import compare as cmp
@@ -148,7 +149,11 @@ def q_inv_monthly(spark, sf_dir):
 
 def q_inv_check(spark, sf_dir):
     _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
-    return finalize(inv.check_items(mart, report))
+    out = inv.check_items(mart, report)
+    # year/month are NULL for items without any sales row; as DOUBLE the
+    # NULLs read the same way in both engines' pandas form
+    return finalize(out.withColumn("year", F.col("year").cast("double"))
+                       .withColumn("month", F.col("month").cast("double")))
 
 
 def q_inv_removed(spark, sf_dir):
