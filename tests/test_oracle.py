@@ -36,6 +36,8 @@ def test_query_matches_oracle(spark, con, name, capsys):
         pytest.skip("no oracle")
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
+    # same pandas form on both sides (a NULL integer would not be)
+    assert {c: str(t) for c, t in got.dtypes.items()} == {c: str(t) for c, t in want.dtypes.items()}
     assert len(got) == len(want)
     assert norm(got) == norm(want)
 
