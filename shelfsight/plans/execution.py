@@ -97,4 +97,27 @@ def materialize(df: DataFrame) -> DataFrame:
         return _rdd_checkpoint(df, root)
     path = f"{root.rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+# Paths of the tables ``materialize`` wrote in this process, oldest first.
+WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables ``materialize`` wrote from position ``since`` of
+    ``WRITTEN`` on; returns how many were deleted. Call it only once nothing
+    reads them any more (after the outputs are written)."""
+    paths = WRITTEN[since:]
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is None:
+        return 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).delete(path, True):
+            done += 1
+    del WRITTEN[since:]
+    return done

@@ -4,7 +4,10 @@ Each job returns its outputs as DataFrames as well (for tests and for
 callers that chain further work). Intermediates read by several outputs are
 written once to the checkpoint directory (``materialize``), so each source
 is scanned once and a lost executor does not restart the job from the raw
-files. Writers run on all tasks; nothing is collected to the driver.
+files. Once the outputs are written, the job deletes those intermediates
+(``cleanup``); the returned frames read them, so they stay usable only with
+``cleanup=False`` or without an output directory.
+Writers run on all tasks; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.operators import inventory as inv
 from shelfsight.operators import oos, rank
+from shelfsight.plans import execution
 from shelfsight.plans.execution import broadcast_if_small, materialize
 from shelfsight.plans.params import InventoryParams
 from shelfsight.sources import readers as rd
@@ -30,7 +34,8 @@ def _write(df: DataFrame, path: str | None, fmt: str, partition_by=None) -> None
 
 def run_oos_job(spark: SparkSession, stock_path: str, closed_path: str | None,
                 out_dir: str | None = None, fmt: str = "csv",
-                window_days: int = oos.WINDOW_DAYS) -> dict[str, DataFrame]:
+                window_days: int = oos.WINDOW_DAYS, cleanup: bool = True) -> dict[str, DataFrame]:
+    mark = len(execution.WRITTEN)
     raw = rd.read_stock_daily(spark, stock_path)
     # the list file is small: broadcast it behind a row-count check
     closed = broadcast_if_small(rd.read_closed_stores(spark, closed_path)) if closed_path else None
@@ -44,14 +49,19 @@ def run_oos_job(spark: SparkSession, stock_path: str, closed_path: str | None,
     }
     for name, df in out.items():
         _write(df, f"{out_dir}/{name}" if out_dir else None, fmt)
+    if out_dir and cleanup:
+        execution.drop_written(spark, mark)
     return out
 
 
 def run_rank_job(spark: SparkSession, rank_path: str, out_path: str | None = None,
-                 fmt: str = "csv") -> DataFrame:
+                 fmt: str = "csv", cleanup: bool = True) -> DataFrame:
+    mark = len(execution.WRITTEN)
     table = materialize(rank.clean_rank(rd.read_rank_weekly(spark, rank_path)))
     report = rank.rank_report(table)
     _write(report, out_path, fmt)
+    if out_path and cleanup:
+        execution.drop_written(spark, mark)
     return report
 
 
@@ -72,9 +82,11 @@ def load_inventory(spark: SparkSession, sales_path: str, report_path: str,
 
 def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
                       subcategory_path: str, vendor_path: str, params: InventoryParams,
-                      out_dir: str | None = None, fmt: str = "csv") -> dict[str, DataFrame]:
+                      out_dir: str | None = None, fmt: str = "csv",
+                      cleanup: bool = True) -> dict[str, DataFrame]:
     """Issue lists, analysis table, at-least-one-month and full-month
     over-spaced items for one store and window."""
+    mark = len(execution.WRITTEN)
     data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params)
     mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
     base = inv.analysis_base(late, report)
@@ -95,4 +107,6 @@ def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
     for name, df in out.items():
         part = ["bucket"] if name.endswith("unadjusted") else None
         _write(df, f"{out_dir}/{name}" if out_dir else None, fmt, part)
+    if out_dir and cleanup:
+        execution.drop_written(spark, mark)
     return out

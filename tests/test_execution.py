@@ -38,3 +38,14 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     d = X.ensure_checkpoint_dir(spark)
     conf = spark.conf.get("spark.checkpoint.dir", None)
     assert d and (conf is None or d == conf)
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+    mark = len(X.WRITTEN)
+    X.materialize(spark.range(0, 10))
+    path = X.WRITTEN[-1]
+    local = path.replace("file:", "")
+    assert os.path.isdir(local)
+    assert X.drop_written(spark, mark) == 1
+    assert not os.path.exists(local) and len(X.WRITTEN) == mark

@@ -48,7 +48,7 @@ def test_jobs_end_to_end(spark, tmp_path):
                   + "".join(f"B,S1,Drinks,202401{d:02d},5,1,1,3\n" for d in range(1, 11))
                   + "A,S2,Drinks,20240101,5,1,1,3\n")
     closed = write(tmp_path / "closed.csv", "Store,Status\nS2,Closed\n")
-    out = run_oos_job(spark, stock, closed, str(tmp_path / "oos"))
+    out = run_oos_job(spark, stock, closed, str(tmp_path / "oos"), cleanup=False)
     rows = out["oos_items"].collect()
     assert [(r["SKU"], r["Store"], r["OOS_days"]) for r in rows] == [("A", "S1", 7)]
     assert os.path.isdir(tmp_path / "oos" / "oos_items")
@@ -57,7 +57,7 @@ def test_jobs_end_to_end(spark, tmp_path):
                      "Index,Date Detail,Company,Business Unit,Concept_NEW,Product Category,"
                      "Company and Cost Centre,SKU,POS Net Sales,Rank Total\n"
                      "1,2019W01,C,B,K,X,S1,A,5,1\n2,2019W02,C,B,K,X,S2,A,5,1\n")
-    rep = run_rank_job(spark, rank_csv, str(tmp_path / "rank_out"))
+    rep = run_rank_job(spark, rank_csv, str(tmp_path / "rank_out"), cleanup=False)
     assert rep.where("range_expansion").count() == 1
 
     sales = write(tmp_path / "sales.csv",
@@ -71,11 +71,19 @@ def test_jobs_end_to_end(spark, tmp_path):
     sub = write(tmp_path / "sub.csv", "SKU,SubCategory\nNZDF1-Tea,1-Drinks\nNZDF2-Gum,2-Sweets\n")
     ven = write(tmp_path / "ven.csv", "SKU,Vendor\nNZDF1-Tea,1-Acme\nNZDF2-Gum,2-Bolt\n")
     p = params.inventory_params(dist, "2019-04-01")
-    res = run_inventory_job(spark, sales, dist, sub, ven, p, str(tmp_path / "inv"))
+    res = run_inventory_job(spark, sales, dist, sub, ven, p, str(tmp_path / "inv"), cleanup=False)
     assert {r["MatID"] for r in res["issued/removed"].collect()} == {2}
     assert {r["MatID"] for r in res["full_month"].collect()} == {1}
     assert os.path.isdir(tmp_path / "inv" / "at_least_one_month" / "unadjusted")
 
+    # with clean-up (the default) the job leaves no intermediate behind
+    from shelfsight.plans import execution
+    mark = len(execution.WRITTEN)
+    run_inventory_job(spark, sales, dist, sub, ven, p, str(tmp_path / "inv2"))
+    assert len(execution.WRITTEN) == mark
+    back = spark.read.option("header", True).csv(str(tmp_path / "inv2" / "full_month")).collect()
+    assert {r["MatID"] for r in back} == {"1"}
+
 
 def test_column_helpers(spark):
     from pyspark.sql import functions as F
