@@ -146,3 +146,12 @@ def test_fixture_anchors(spark):
     assert Q.oos_facts(spark, d).count() == 688
     assert Q.q_oos_clean_grid(spark, d).count() == 1950
     assert (rep.count(), rep.where("OOS_lastDay = 1").count(), rep.where("OOS_days = 7").count()) == (65, 36, 4)
+
+
+def test_window_length_is_a_parameter(spark):
+    cal = [("Z", "S9", d, 1, 1, 1, 1) for d in days(D(2024, 1, 1), 10)]
+    rows = cal + [("A", "S1", D(2024, 1, 1), 5, 1, 1, 3)]
+    out = {(r["SKU"], r["Store"]): r for r in oos.detect_oos(facts(spark, rows), window_days=3).collect()}
+    assert out[("A", "S1")]["date_list"] == days(D(2024, 1, 8), 3)
+    seven = {(r["SKU"], r["Store"]) for r in oos.oos_7_days(oos.detect_oos(facts(spark, rows), 3), 3).collect()}
+    assert seven == {("A", "S1")}

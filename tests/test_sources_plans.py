@@ -110,3 +110,16 @@ def test_command_line_rank_job(spark, tmp_path):
     assert main(["--local", "2", "rank", "--input", src, "--out", out]) == 0
     back = spark.read.option("header", True).csv(out).collect()
     assert sorted(str(r["range_expansion"]) for r in back) == ["None", "True"]
+
+
+def test_malformed_cells_become_null(spark, tmp_path):
+    from shelfsight.operators import oos
+    p = write(tmp_path / "stock.csv",
+              "SKU,Store,Category,Date,POS Net Sales,POS Qty Sold,POS Margin on Net Sales,Stock Balance Qty\n"
+              "A,S1,Drinks,20240101,5,1,1,3\n"
+              "A,S1,Drinks,2024-13-45,n/a,1,1,3\n"
+              "A,S1,Drinks,20240102,\"1,250.5\",x,1,\n")
+    rows = sorted(oos.clean_stock(readers.read_stock_daily(spark, p)).collect(),
+                  key=lambda r: (r["Date"] is not None, str(r["Date"])))
+    assert rows[0]["Date"] is None and rows[0]["NetSales"] is None
+    assert rows[2]["NetSales"] == 1250.5 and rows[2]["QtySold"] is None and rows[2]["StockQty"] is None
