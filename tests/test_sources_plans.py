@@ -123,3 +123,15 @@ def test_malformed_cells_become_null(spark, tmp_path):
                   key=lambda r: (r["Date"] is not None, str(r["Date"])))
     assert rows[0]["Date"] is None and rows[0]["NetSales"] is None
     assert rows[2]["NetSales"] == 1250.5 and rows[2]["QtySold"] is None and rows[2]["StockQty"] is None
+
+
+def test_report_subset_and_reread(spark, tmp_path):
+    p = write(tmp_path / "dist.csv", "Name,Facings,Capacity,Days Supply,Classification,Mat ID,# POGs\n"
+                                     "Tea,1,12,3,A,1,1\n")
+    sub = readers.read_dist_report(spark, p, columns=["Mat ID", "Name", "# POGs", "Facings", "Capacity"])
+    assert sub.columns == ["Mat ID", "Name", "# POGs", "Facings", "Capacity"]
+    out = str(tmp_path / "t")
+    writers.write_parquet(sub.withColumnRenamed("Mat ID", "MatID").withColumnRenamed("# POGs", "POGS"), out)
+    back = readers.read_table(spark, out).collect()[0]
+    assert (back["MatID"], back["Name"], back["Capacity"]) == ("1", "Tea", "12")
+    assert readers.read_table(spark, p, fmt="csv").count() == 1
