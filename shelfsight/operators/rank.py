@@ -210,6 +210,14 @@ def top_n(df: DataFrame, n: int = TOP_N) -> DataFrame:
               .select("SKU", "Store", "Date", "NetSales", "rank"))
 
 
+def duplicate_keys(df: DataFrame) -> DataFrame:
+    """Data-quality check: (SKU, Store, week) keys with more than one row,
+    and how many. The flags expect these keys to be unique; with duplicates
+    the pair aggregates sum the week's rows instead of multiplying rows."""
+    return (df.groupBy("SKU", "Store", "Date").agg(F.count(F.lit(1)).alias("n_rows"))
+              .where(_c("n_rows") > 1))
+
+
 def rank_report(df: DataFrame, distinct: bool = True) -> DataFrame:
     """The published report: the ten columns and four flags, without the
     helper columns; exact duplicate rows removed."""

@@ -191,3 +191,13 @@ def test_fixture_anchors(spark):
     assert f.where("material_change").count() == 18
     assert f.where("newcomer").select("SKU", "Store").distinct().count() == 14
     f.unpersist()
+
+
+def test_duplicate_keys_check(spark):
+    rows = [("1", "2019W01", "C", "B", "K", "", "S1", "A", 1.0, 1),
+            ("2", "2019W01", "C", "B", "K", "", "S1", "A", 2.0, 2),
+            ("3", "2019W02", "C", "B", "K", "", "S1", "A", 1.0, 1)]
+    got = [(r["SKU"], r["Store"], r["Date"], r["n_rows"]) for r in rank.duplicate_keys(frame(spark, rows)).collect()]
+    assert got == [("A", "S1", "2019W01", 2)]
+    # the flags do not multiply rows: one output row per input row
+    assert rank.assortment_flags(frame(spark, rows)).count() == 3
