@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from shelfsight.functions.columns import as_double, as_int, day_of, mat_id, name_of, ratio
 from shelfsight.sources.schemas import DIST_REPORT_RENAME, MONTH_FORMAT, SALES_MONTHLY_RENAME
 
-MONTH_KEYS = ["year", "month", "period"]
 MART_MEASURES = {
     "totalMonthlyNetSale": "NetSales",
     "totalMonthlyGrossSale": "GrossSales",
@@ -35,7 +34,6 @@ MART_MEASURES = {
     "SellMargin": "SellMargin",
     "avgFrontMargin": "FrontMargin",
 }
-REPORT_COLUMNS = ["MatID", "SKU", "Facings", "Capacity", "DaysSupply", "Classification", "POGS"]
 
 # fixed values: output column lists of the issue files
 ISSUE_COLUMNS = ["SKU", "MatID", "year", "month", "Price", "POGS", "Facings", "Capacity",
