@@ -17,13 +17,15 @@ import sys
 from pyspark.sql import SparkSession
 
 
-def _session(local: int | None) -> SparkSession:
-    from shelfsight.plans.execution import local_session, session_defaults
+def _session(local: int | None, input_gb: float | None, cores: int | None) -> SparkSession:
+    from shelfsight.plans.execution import cluster_settings, local_session, session_defaults
 
     if local:
         return local_session(local, shuffle_partitions=local)
+    conf = (cluster_settings(input_gb * 1024 ** 3, cores) if input_gb and cores
+            else session_defaults())
     b = SparkSession.builder.appName("shelfsight")
-    for k, v in session_defaults().items():
+    for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
@@ -32,6 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="shelfsight")
     p.add_argument("--local", type=int, default=None, help="run on local[N]")
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    p.add_argument("--input-gb", type=float, default=None,
+                   help="input size, to size partitions (with --cores)")
+    p.add_argument("--cores", type=int, default=None, help="total executor cores of the cluster")
     sub = p.add_subparsers(dest="job", required=True)
     o = sub.add_parser("oos", help="out-of-stock report")
     o.add_argument("--stock", required=True)
@@ -49,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     from shelfsight.plans import jobs
     from shelfsight.plans.params import inventory_params
 
-    spark = _session(args.local)
+    spark = _session(args.local, args.input_gb, args.cores)
     if args.job == "oos":
         jobs.run_oos_job(spark, args.stock, args.closed, args.out, args.format, args.window_days)
     elif args.job == "rank":

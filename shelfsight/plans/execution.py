@@ -30,6 +30,31 @@ def session_defaults() -> dict[str, str]:
     }
 
 
+def cluster_settings(input_bytes: float, total_cores: int,
+                     target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits of ``target_partition_bytes`` (``maxPartitionBytes``) keep a
+    task's input well inside executor memory. The initial shuffle partition
+    count starts at one partition per target size of input (at least three
+    waves of the cluster's cores), so the widest shuffle (the first
+    aggregate over the facts, before its map-side combine shrinks it) has
+    partitions of about the target size; AQE then coalesces smaller
+    shuffles towards the advisory size and splits skewed join partitions.
+    """
+    by_size = int(input_bytes // target_partition_bytes) + 1
+    partitions = max(by_size, 3 * total_cores)
+    return {
+        **session_defaults(),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "shelfsight") -> SparkSession:
     """Session for tests and local benchmarking."""

@@ -49,3 +49,13 @@ def test_written_tables_can_be_dropped(spark):
     assert os.path.isdir(local)
     assert X.drop_written(spark, mark) == 1
     assert not os.path.exists(local) and len(X.WRITTEN) == mark
+
+
+def test_cluster_settings_scale_with_input():
+    tb = 1024 ** 4
+    big = X.cluster_settings(100 * tb, total_cores=8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * tb // (256 * 1024 ** 2) + 1   # ~409,601
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
+    small = X.cluster_settings(10 * 1024 ** 2, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24                                 # 3 waves
+    assert small["spark.sql.adaptive.enabled"] == "true"
