@@ -48,8 +48,7 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
     """Rename business headers, cast measures to DOUBLE, parse the day,
     drop closed stores and rows without a store.
 
-    ``closed_stores`` needs a ``Store`` column; it is de-duplicated and
-    anti-joined. No broadcast hint is set here: AQE broadcasts the list when
+    ``closed_stores`` needs a ``Store`` column; it is anti-joined. No broadcast hint is set here: AQE broadcasts the list when
     its measured size is small and keeps a shuffle join otherwise (callers
     holding a small list file can pass ``broadcast_if_small(list)``).
     ``snap_small_stock`` (off by default, as in the reference) sets stock
@@ -64,7 +63,9 @@ def clean_stock(raw: DataFrame, closed_stores: DataFrame | None = None,
     if snap_small_stock:
         df = df.withColumn("StockQty", snap_to_zero(_col("StockQty")))
     if closed_stores is not None:
-        closed = closed_stores.select("Store").where(_col("Store").isNotNull()).distinct()
+        # an anti join needs no de-duplicated right side; projection and
+        # filter keep a caller's broadcast hint intact
+        closed = closed_stores.select("Store").where(_col("Store").isNotNull())
         df = df.join(closed, "Store", "left_anti")
     return df.select("SKU", "Store", "Category", "Date", *MEASURES)
 

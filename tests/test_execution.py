@@ -59,3 +59,23 @@ def test_cluster_settings_scale_with_input():
     small = X.cluster_settings(10 * 1024 ** 2, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 24                                 # 3 waves
     assert small["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_checked_broadcast_reaches_the_closed_store_join(spark, tmp_path):
+    from shelfsight.operators import oos
+    from shelfsight.sources import readers
+    p = tmp_path / "closed.csv"
+    p.write_text("Store,Status\nS2,Closed\nS2,Closed\n")
+    raw = spark.createDataFrame([("A", "S1", "X", "20240101", "1", "1", "1", "1"),
+                                 ("A", "S2", "X", "20240101", "1", "1", "1", "1")],
+                                ["SKU", "Store", "Category", "Date", "POS Net Sales", "POS Qty Sold",
+                                 "POS Margin on Net Sales", "Stock Balance Qty"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        closed = X.broadcast_if_small(readers.read_closed_stores(spark, str(p)))
+        out = oos.clean_stock(raw, closed)
+        text = plan(out)
+        assert "BroadcastHashJoin" in text and "LeftAnti" in text
+        assert [r["Store"] for r in out.collect()] == ["S1"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
