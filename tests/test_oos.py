@@ -155,3 +155,14 @@ def test_window_length_is_a_parameter(spark):
     assert out[("A", "S1")]["date_list"] == days(D(2024, 1, 8), 3)
     seven = {(r["SKU"], r["Store"]) for r in oos.oos_7_days(oos.detect_oos(facts(spark, rows), 3), 3).collect()}
     assert seven == {("A", "S1")}
+
+
+def test_grid_rows_are_pairs_times_days(spark):
+    from shelfsight.plans import queries as Q
+    facts = Q.oos_facts(spark, "/root/testdata/sf0.001")
+    summary = oos.pair_summary(facts)
+    b = oos.period_bounds(summary).collect()[0]
+    grid = oos.clean_grid(facts)
+    assert grid.count() == summary.count() * b["n_days"]
+    days_seen = grid.agg({"Date": "min"}).collect()[0][0], grid.agg({"Date": "max"}).collect()[0][0]
+    assert days_seen == (b["first_day"], b["last_day"])
