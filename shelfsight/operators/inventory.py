@@ -132,11 +132,15 @@ def clean_sales(raw: DataFrame, subcategory: DataFrame | None, vendor: DataFrame
     return df
 
 
-def monthly_mart(sales: DataFrame) -> DataFrame:
+def monthly_mart(sales: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per (year, month, MatID, SubCategory, Vendor): the average of each
     measure over the month's sales rows. Rows with a NULL key are left out
-    (an equi-join on them would never match)."""
-    keys = ["MatID", "SubCategory", "Vendor"]
+    (an equi-join on them would never match).
+
+    ``by`` adds grouping keys, e.g. ``("Store",)`` to analyse every store in
+    one job instead of one job per store; the later steps take the same
+    ``by``."""
+    keys = [*by, "MatID", "SubCategory", "Vendor"]
     df = sales.where(_c("Date").isNotNull())
     for k in keys:
         df = df.where(_c(k).isNotNull())
@@ -161,37 +165,46 @@ def check_items(mart: DataFrame, report: DataFrame) -> DataFrame:
              .select(*ISSUE_COLUMNS))
 
 
-def item_activity(mart: DataFrame, split: str) -> DataFrame:
+def _report_keys(report: DataFrame, by: tuple[str, ...]) -> list[str]:
+    """Join keys with the report: the material, plus those ``by`` keys the
+    report carries (a report without a store column applies to every store)."""
+    return [k for k in by if k in report.columns] + ["MatID"]
+
+
+def item_activity(mart: DataFrame, split: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per material: sold (non-zero gross) before / from the split."""
     s = F.to_date(F.lit(split))
     sold = _c("totalMonthlyGrossSale") != 0
-    return (mart.groupBy("MatID")
+    return (mart.groupBy(*by, "MatID")
                 .agg(F.max(sold & (_c("period") < s)).alias("sold_early"),
                      F.max(sold & (_c("period") >= s)).alias("sold_late")))
 
 
-def removed_items(early: DataFrame, late: DataFrame, report: DataFrame, split: str) -> DataFrame:
+def removed_items(early: DataFrame, late: DataFrame, report: DataFrame, split: str,
+                  by: tuple[str, ...] = ()) -> DataFrame:
     """Report items sold in the early months and not sold in the late ones;
     their early monthly rows."""
-    act = item_activity(early.unionByName(late), split)
-    gone = act.where(_c("sold_early") & ~F.coalesce(_c("sold_late"), F.lit(False))).select("MatID")
-    return (report.join(early, "MatID", "inner")
-                  .join(gone, "MatID", "left_semi")
-                  .select(*ISSUE_COLUMNS))
+    act = item_activity(early.unionByName(late), split, by)
+    gone = (act.where(_c("sold_early") & ~F.coalesce(_c("sold_late"), F.lit(False)))
+               .select(*by, "MatID"))
+    return (report.join(early, _report_keys(report, by), "inner")
+                  .join(gone, [*by, "MatID"], "left_semi")
+                  .select(*by, *ISSUE_COLUMNS))
 
 
-def new_items(late: DataFrame, report: DataFrame) -> DataFrame:
+def new_items(late: DataFrame, report: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Late monthly rows with gross sales of materials not on the report."""
     sold = late.where(F.coalesce(_c("totalMonthlyGrossSale"), F.lit(0.0)) != 0)
-    out = sold.join(report.select("MatID").where(_c("MatID").isNotNull()), "MatID", "left_anti")
-    return out.select("MatID", "year", "month", "SubCategory", "Vendor", "Price",
+    keys = _report_keys(report, by)
+    out = sold.join(report.select(*keys).where(_c("MatID").isNotNull()), keys, "left_anti")
+    return out.select(*by, "MatID", "year", "month", "SubCategory", "Vendor", "Price",
                       "totalMonthlyNetSale", "totalMonthlyGrossSale", "totalMonthlyQtySold",
                       "SellMargin")
 
 
-def analysis_base(late: DataFrame, report: DataFrame) -> DataFrame:
+def analysis_base(late: DataFrame, report: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Report joined with the late monthly rows (materials in both)."""
-    return report.join(late, "MatID", "inner")
+    return report.join(late, _report_keys(report, by), "inner")
 
 
 def with_depth(df: DataFrame) -> DataFrame:
@@ -204,16 +217,16 @@ def with_depth(df: DataFrame) -> DataFrame:
               .withColumn("VarianceDepth", F.when(deep, F.lit(3.0) - depth)))
 
 
-def bad_records(base: DataFrame, threshold: float = 6.0) -> DataFrame:
+def bad_records(base: DataFrame, threshold: float = 6.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Suspicious capacity records: Capacity / Facings above ``threshold``."""
     d = with_depth(base)
-    return d.where(_c("Depth") > threshold).select(*RECORD_COLUMNS)
+    return d.where(_c("Depth") > threshold).select(*by, *RECORD_COLUMNS)
 
 
-def shallow_items(base: DataFrame, threshold: float = 2.0) -> DataFrame:
+def shallow_items(base: DataFrame, threshold: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Depth below ``threshold`` (capacity under twice the facings)."""
     d = with_depth(base)
-    return d.where(_c("Depth") < threshold).select(*RECORD_COLUMNS)
+    return d.where(_c("Depth") < threshold).select(*by, *RECORD_COLUMNS)
 
 
 def issue_counts(lists: dict[str, DataFrame]) -> DataFrame:
@@ -229,14 +242,14 @@ def issue_counts(lists: dict[str, DataFrame]) -> DataFrame:
 
 
 # ------------------------------------------------------------ statistics
-def enrich(base: DataFrame) -> DataFrame:
+def enrich(base: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Add per (month, SubCategory) geometric means, means and sample
     standard deviations of quantity and net sales; capacity ratios; depths.
 
     The geometric mean is exp(avg(ln x)) over x > 0 (other values drop out).
     All six statistics come from one aggregate, joined back once."""
     qty, ns = _c(QTY), _c("totalMonthlyNetSale")
-    keys = ["year", "month", "SubCategory"]
+    keys = [*by, "year", "month", "SubCategory"]
     stats = base.groupBy(*keys).agg(
         F.exp(F.avg(F.when(qty > 0, F.ln(qty)))).alias("Qty_GeoMean_by_month_Subcat"),
         F.exp(F.avg(F.when(ns > 0, F.ln(ns)))).alias("NS_GeoMean_by_month_Subcat"),
@@ -250,7 +263,7 @@ def enrich(base: DataFrame) -> DataFrame:
     return with_depth(out)
 
 
-def at_least_one_month(enriched: DataFrame) -> dict[str, DataFrame]:
+def at_least_one_month(enriched: DataFrame, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Materials whose monthly quantity is below capacity in at least one
     month, with their mean and sample std of monthly quantity over months
     with sales, and the capacity/facings-to-demand ratios.
@@ -260,15 +273,16 @@ def at_least_one_month(enriched: DataFrame) -> dict[str, DataFrame]:
     """
     qty = _c(QTY)
     rows = enriched.where(qty < _c("Capacity"))
+    item = [*by, "MatID", "SubCategory", "Vendor"]
     per_item = (enriched.where(_c("totalMonthlyNetSale") != 0)
-                        .groupBy("MatID", "SubCategory", "Vendor")
+                        .groupBy(*item)
                         .agg(F.avg(qty).alias("AvgQtySold"),
                              F.stddev_samp(qty).alias("Qty_std_by_SKU")))
-    j = rows.join(per_item, ["MatID", "SubCategory", "Vendor"], "left")
+    j = rows.join(per_item, item, "left")
     j = (j.withColumn("Capacity_to_avg_qty", ratio(_c("Capacity"), _c("AvgQtySold")))
           .withColumn("Facing_to_avg_qty", ratio(_c("Facings"), _c("AvgQtySold")))
           .withColumn("StdQty_to_AvgQty", ratio(_c("Qty_std_by_SKU"), _c("AvgQtySold"))))
-    items = j.select(*AT_LEAST_ONE_COLUMNS).dropDuplicates()
+    items = j.select(*by, *AT_LEAST_ONE_COLUMNS).dropDuplicates()
     return {
         "rows": rows,
         "items": items,
@@ -290,22 +304,23 @@ def months_from(split: str, n: int = 3) -> list[Column]:
     return [F.add_months(s, i) for i in range(n)]
 
 
-def full_month_ids(rows: DataFrame, split: str, n: int = 3) -> DataFrame:
+def full_month_ids(rows: DataFrame, split: str, n: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Materials present in each of the ``n`` months from ``split``."""
     months = months_from(split, n)
     return (rows.where(_c("period").isin(*months))
-                .groupBy("MatID")
+                .groupBy(*by, "MatID")
                 .agg(F.count_distinct("period").alias("_n"))
                 .where(_c("_n") == n)
-                .select("MatID"))
+                .select(*by, "MatID"))
 
 
-def full_month(rows: DataFrame, split: str, columns=None, n: int = 3) -> DataFrame:
+def full_month(rows: DataFrame, split: str, columns=None, n: int = 3,
+               by: tuple[str, ...] = ()) -> DataFrame:
     """Flagged monthly rows of materials flagged in every one of the ``n``
     months from ``split`` (distinct)."""
-    ids = full_month_ids(rows, split, n)
-    cols = columns or FULL_MONTH_COLUMNS
-    return rows.join(ids, "MatID", "left_semi").select(*cols).dropDuplicates()
+    ids = full_month_ids(rows, split, n, by)
+    cols = [*by, *(columns or FULL_MONTH_COLUMNS)]
+    return rows.join(ids, [*by, "MatID"], "left_semi").select(*cols).dropDuplicates()
 
 
 def over_spaced(df: DataFrame, column: str = "Capacity", times: float = 1.0) -> DataFrame:
@@ -313,7 +328,8 @@ def over_spaced(df: DataFrame, column: str = "Capacity", times: float = 1.0) ->
     return df.where(_c(QTY) * F.lit(float(times)) < _c(column))
 
 
-def demand_bands(enriched: DataFrame, column: str = "Capacity") -> DataFrame:
+def demand_bands(enriched: DataFrame, column: str = "Capacity",
+                 by: tuple[str, ...] = ()) -> DataFrame:
     """Band of ``column`` against monthly quantity q:
     0: q >= column; 1: q < column <= 2q; 2: 2q < column <= 3q;
     3: 3q < column <= 4q; 4: column > 4q. Rows where either is NULL get no
@@ -326,5 +342,5 @@ def demand_bands(enriched: DataFrame, column: str = "Capacity") -> DataFrame:
              .when(q * 4 < c, 4))
     return (enriched.withColumn("band", band.cast("int"))
                     .where(_c("band").isNotNull())
-                    .select(*BAND_COLUMNS, "band")
+                    .select(*by, *BAND_COLUMNS, "band")
                     .dropDuplicates())

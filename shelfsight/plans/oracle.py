@@ -617,3 +617,48 @@ SQL["profile_eight_number"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
        {R(f'quantile_disc({c}, 0.25)')} AS p25, {R(f'quantile_disc({c}, 0.5)')} AS p50,
        {R(f'quantile_disc({c}, 0.75)')} AS p75, {R(f'max({c})')} AS "max"
 FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))
+
+# every supplier is a store; the report applies to all stores
+SQL["inv_store_at_least_one"] = f"""WITH
+parts AS (SELECT CAST(p_partkey AS INTEGER) AS mid, p_type, p_brand, p_name, p_size FROM part),
+sales AS (
+  SELECT CAST(l_shipdate AS DATE) AS Date, 'S' || CAST(l_suppkey AS VARCHAR) AS Store,
+         CAST(l_partkey AS INTEGER) AS MatID,
+         l_extendedprice AS GrossSales, l_extendedprice * (1.0 - l_discount) AS NetSales,
+         -0.6 * l_extendedprice AS COGS, l_quantity AS QtySold,
+         {_div('l_extendedprice', 'l_quantity')} AS Price,
+         l_extendedprice + (-0.6 * l_extendedprice) AS FrontMargin,
+         l_extendedprice * (1.0 - l_discount) + (-0.6 * l_extendedprice) AS SellMargin,
+         g.p_type AS SubCategory, g.p_brand AS Vendor
+  FROM lineitem LEFT JOIN parts g ON g.mid = CAST(l_partkey AS INTEGER)
+  WHERE l_shipdate >= TIMESTAMP '{PERIOD_A[0]}' AND l_shipdate < TIMESTAMP '{PERIOD_A[1]}'),
+mart AS (
+  SELECT Store, CAST(year(Date) AS INTEGER) AS year, CAST(month(Date) AS INTEGER) AS month,
+         CAST(date_trunc('month', Date) AS DATE) AS period, MatID, SubCategory, Vendor,
+         avg(NetSales) AS totalMonthlyNetSale, avg(QtySold) AS totalMonthlyQtySold
+  FROM sales WHERE MatID IS NOT NULL AND SubCategory IS NOT NULL AND Vendor IS NOT NULL
+  GROUP BY 1, 2, 3, 4, 5, 6, 7),
+report AS (
+  SELECT mid AS MatID, CAST(mid AS VARCHAR) || ' ' || p_name AS SKU,
+         CAST(1 + mid % 5 AS DOUBLE) AS Facings, CAST(p_size AS DOUBLE) AS Capacity,
+         {_cls('CAST(p_size AS DOUBLE)')} AS Classification, CAST(1 + mid % 3 AS INTEGER) AS POGS
+  FROM parts WHERE NOT starts_with(p_type, 'PROMO')),
+base AS (
+  SELECT r.*, m.Store, m.year, m.month, m.SubCategory, m.Vendor, m.totalMonthlyNetSale,
+         m.totalMonthlyQtySold, {_div('r.Capacity', 'r.Facings')} AS Depth
+  FROM report r JOIN mart m ON r.MatID = m.MatID WHERE m.period >= DATE '{PERIOD_A[2]}'),
+rows AS (SELECT * FROM base WHERE totalMonthlyQtySold < Capacity),
+per_item AS (
+  SELECT Store, MatID, SubCategory, Vendor, avg(totalMonthlyQtySold) AS AvgQtySold,
+         stddev_samp(totalMonthlyQtySold) AS Qty_std_by_SKU
+  FROM base WHERE totalMonthlyNetSale <> 0 GROUP BY Store, MatID, SubCategory, Vendor),
+atl AS (
+  SELECT r.*, CASE WHEN r.Depth >= 4 THEN 3.0 END AS ProposedDepth,
+         CASE WHEN r.Depth >= 4 THEN 3.0 - r.Depth END AS VarianceDepth,
+         p.AvgQtySold, p.Qty_std_by_SKU,
+         {_div('r.Capacity', 'p.AvgQtySold')} AS Capacity_to_avg_qty,
+         {_div('r.Facings', 'p.AvgQtySold')} AS Facing_to_avg_qty,
+         {_div('p.Qty_std_by_SKU', 'p.AvgQtySold')} AS StdQty_to_AvgQty
+  FROM rows r LEFT JOIN per_item p
+    ON r.Store = p.Store AND r.MatID = p.MatID AND r.SubCategory = p.SubCategory AND r.Vendor = p.Vendor)
+SELECT DISTINCT Store, {cols(ATL_COLS, DOUBLES)} FROM atl"""

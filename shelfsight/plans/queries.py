@@ -211,6 +211,21 @@ def q_inv_adjusted(spark, sf_dir):
     return finalize(inv.at_least_one_month(inv_enriched(spark, sf_dir, keep=True))["adjusted"])
 
 
+def q_inv_store_at_least_one(spark, sf_dir):
+    """At-least-one-month over-spaced items of every store in one job
+    (stores keyed through mart, statistics and item averages)."""
+    by = ("Store",)
+    sub = inv.clean_lookup(td.subcategory_info(spark, sf_dir), "SubCategory")
+    ven = inv.clean_lookup(td.vendor_info(spark, sf_dir), "Vendor")
+    sales = inv.clean_sales(td.sales_monthly(spark, sf_dir), sub, ven,
+                            begin=PERIOD_A["begin"], end=PERIOD_A["end"])
+    mart = materialize(inv.monthly_mart(sales, by))
+    report = inv.clean_report(td.dist_report(spark, sf_dir))
+    _, late = inv.split_periods(mart, PERIOD_A["split"])
+    enriched = materialize(inv.enrich(inv.analysis_base(late, report, by), by))
+    return finalize(inv.at_least_one_month(enriched, by)["items"])
+
+
 def q_inv_full_month(spark, sf_dir):
     res = inv.at_least_one_month(inv_enriched(spark, sf_dir, catalogue="group", keep=True))
     return finalize(inv.full_month(res["rows"], PERIOD_A["split"]))
@@ -386,6 +401,7 @@ QUERIES: dict[str, Query] = {
     "inv_at_least_one": q_inv_at_least_one,
     "inv_unadjusted_buckets": q_inv_unadjusted_buckets,
     "inv_adjusted": q_inv_adjusted,
+    "inv_store_at_least_one": q_inv_store_at_least_one,
     "inv_full_month": q_inv_full_month,
     "inv_over_spaced_x2": q_inv_over_spaced_x2,
     "inv_over_spaced_facings": q_inv_over_spaced_facings,
