@@ -49,6 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("inventory", help="shelf-space analysis")
     for a in ("--sales", "--report", "--subcategory", "--vendor", "--start", "--out"):
         i.add_argument(a, required=True)
+    i.add_argument("--all-stores", action="store_true", help="every store in one job")
     args = p.parse_args(argv)
 
     from shelfsight.plans import jobs
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         params = inventory_params(args.report, args.start)
         jobs.run_inventory_job(spark, args.sales, args.report, args.subcategory, args.vendor,
-                               params, args.out, args.format)
+                               params, args.out, args.format, all_stores=args.all_stores)
     return 0
 
 

@@ -67,15 +67,19 @@ def run_rank_job(spark: SparkSession, rank_path: str, out_path: str | None = Non
 
 def load_inventory(spark: SparkSession, sales_path: str, report_path: str,
                    subcategory_path: str, vendor_path: str,
-                   params: InventoryParams) -> dict[str, DataFrame]:
+                   params: InventoryParams, all_stores: bool = False) -> dict[str, DataFrame]:
     """Read and clean the four exports; return the monthly mart (written
-    once), its early and late parts, and the cleaned report."""
+    once), its early and late parts, and the cleaned report. With
+    ``all_stores`` the store filter is dropped and the mart is keyed by
+    store."""
+    by = ("Store",) if all_stores else ()
     report = inv.clean_report(rd.read_dist_report(spark, report_path))
     sub = inv.clean_lookup(rd.read_subcategory(spark, subcategory_path), "SubCategory")
     ven = inv.clean_lookup(rd.read_vendor(spark, vendor_path), "Vendor")
     sales = inv.clean_sales(rd.read_sales_monthly(spark, sales_path), sub, ven,
-                            store=params.store, begin=params.begin, end=params.end)
-    mart = materialize(inv.monthly_mart(sales))
+                            store=None if all_stores else params.store,
+                            begin=params.begin, end=params.end)
+    mart = materialize(inv.monthly_mart(sales, by))
     early, late = inv.split_periods(mart, params.split)
     return {"mart": mart, "early": early, "late": late, "report": report}
 
@@ -83,26 +87,30 @@ def load_inventory(spark: SparkSession, sales_path: str, report_path: str,
 def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
                       subcategory_path: str, vendor_path: str, params: InventoryParams,
                       out_dir: str | None = None, fmt: str = "csv",
-                      cleanup: bool = True) -> dict[str, DataFrame]:
+                      cleanup: bool = True, all_stores: bool = False) -> dict[str, DataFrame]:
     """Issue lists, analysis table, at-least-one-month and full-month
-    over-spaced items for one store and window."""
+    over-spaced items for one store and window, or with ``all_stores`` for
+    every store in one job (outputs keyed by store; the check-item list
+    stays chain-wide)."""
     mark = len(execution.WRITTEN)
-    data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params)
+    by = ("Store",) if all_stores else ()
+    data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params,
+                          all_stores)
     mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
-    base = inv.analysis_base(late, report)
-    enriched = materialize(inv.enrich(base))
-    res = inv.at_least_one_month(enriched)
+    base = inv.analysis_base(late, report, by)
+    enriched = materialize(inv.enrich(base, by))
+    res = inv.at_least_one_month(enriched, by)
     out = {
         "issued/checked": inv.check_items(mart, report),
-        "issued/removed": inv.removed_items(early, late, report, params.split),
-        "issued/new": inv.new_items(late, report),
-        "issued/incorrect_record": inv.bad_records(base),
-        "issued/depth_lt2": inv.shallow_items(base),
+        "issued/removed": inv.removed_items(early, late, report, params.split, by),
+        "issued/new": inv.new_items(late, report, by),
+        "issued/incorrect_record": inv.bad_records(base, by=by),
+        "issued/depth_lt2": inv.shallow_items(base, by=by),
         "analysis_table": enriched,
         "at_least_one_month/all": res["items"],
         "at_least_one_month/adjusted": res["adjusted"],
         "at_least_one_month/unadjusted": inv.depth_buckets(res["unadjusted"]),
-        "full_month": inv.full_month(res["rows"], params.split),
+        "full_month": inv.full_month(res["rows"], params.split, by=by),
     }
     for name, df in out.items():
         part = ["bucket"] if name.endswith("unadjusted") else None

@@ -76,6 +76,11 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert {r["MatID"] for r in res["full_month"].collect()} == {1}
     assert os.path.isdir(tmp_path / "inv" / "at_least_one_month" / "unadjusted")
 
+    # every store in one job: the other store's sales are analysed too
+    both = run_inventory_job(spark, sales, dist, sub, ven, p, None, all_stores=True)
+    assert {(r["Store"], r["MatID"]) for r in both["issued/new"].collect()} == set()
+    assert {r["Store"] for r in both["analysis_table"].collect()} == {"NZDF.AKL108", "NZDF.AKL109"}
+
     # with clean-up (the default) the job leaves no intermediate behind
     from shelfsight.plans import execution
     mark = len(execution.WRITTEN)
