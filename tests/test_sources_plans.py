@@ -140,3 +140,20 @@ def test_report_subset_and_reread(spark, tmp_path):
     back = readers.read_table(spark, out).collect()[0]
     assert (back["MatID"], back["Name"], back["Capacity"]) == ("1", "Tea", "12")
     assert readers.read_table(spark, p, fmt="csv").count() == 1
+
+
+def test_command_line_inventory_all_stores(spark, tmp_path):
+    from shelfsight.__main__ import main
+    sales = write(tmp_path / "sales.csv",
+                  "Date,Store,item,POS Gross Sales,POS Net Sales,POS Total Discount,POS Qty Sold,POS COGS (INV)\n"
+                  + "".join(f"2019{m:02d},NZDF.AKL108,NZDF1-Tea,10,9,0,1,-5\n" for m in range(4, 10))
+                  + "".join(f"2019{m:02d},NZDF.AKL109,NZDF1-Tea,10,9,0,1,-5\n" for m in range(7, 10)))
+    dist = write(tmp_path / "dist-Departures.csv",
+                 "Name,Facings,Capacity,Days Supply,Classification,Mat ID,# POGs\nTea,1,12,3,A,1,1\n")
+    sub = write(tmp_path / "sub.csv", "SKU,SubCategory\nNZDF1-Tea,1-Drinks\n")
+    ven = write(tmp_path / "ven.csv", "SKU,Vendor\nNZDF1-Tea,1-Acme\n")
+    out = str(tmp_path / "out")
+    assert main(["--local", "2", "inventory", "--sales", sales, "--report", dist, "--subcategory", sub,
+                 "--vendor", ven, "--start", "2019-04-01", "--out", out, "--all-stores"]) == 0
+    full = spark.read.option("header", True).csv(f"{out}/full_month").collect()
+    assert sorted({r["Store"] for r in full}) == ["NZDF.AKL108", "NZDF.AKL109"]
