@@ -156,8 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
     that AQE can split at a hot centre."""
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                 .where("u <> v").distinct())
-    mark = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -165,11 +164,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
-                e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-        mark = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
+        e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u (each component a star)."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+        e.select("v", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where(
+        "out > 1 OR out = 1 AND in = 1")
+    return not bad.limit(1).count()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
