@@ -17,10 +17,11 @@ Method
      and every pair under the distance shares at least one key. A pair with
      similarity 0.75 shares none with probability 0.262 ** 10 = 1.5e-6.
   3. Candidates of a key are compared in a star: every member with the key's
-     smallest document. Members of one key that are then still in different
-     components are compared with each other (size ratio and signature
-     distance first), so no link between components is lost and no bucket
-     emits all its pairs. Each candidate pair is confirmed on full sets.
+     smallest document, on full sets. Members of one star that are then still
+     in different components may be linked past the centre: ``unsettled``
+     names those pairs by exact bounds (shared part of the centre, shared
+     additions), and they too are confirmed on full sets. So no link between
+     components is lost, and no bucket emits all its pairs.
   4. Components come from alternating large-star / small-star rounds over
      tables in the checkpoint folder; only counts reach the driver.
 
@@ -33,21 +34,19 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shelfsight.llm import wordhash as wh
 from shelfsight.llm.common import text_rows, written
 
 CHUNKS, SLOTS, CHUNK_ERRORS = 10, 4, 1
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-# Signature distance beyond which a pair of one bucket is not confirmed in
-# the second comparison: a pair at similarity 0.75 exceeds it with
-# probability below 1e-6 (binomial, 40 slots, 1/4).
-SECOND_DISTANCE = 24
 _CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
 
 
@@ -124,28 +123,77 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def _distance(a: str, b: str):
-    """Number of 16-bit slots in which two signatures differ."""
-    total = F.lit(0)
-    for c in _CHUNK_COLUMNS:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        for s in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets meet the similarity."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, i, n, m): common shingles and both sizes of every pair."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-    n, m = F.size("su"), F.size("sv")
-    both = pairs.join(a, "u").join(b, "v").where(
-        100 * F.least(n, m) >= percent * F.greatest(n, m))
-    common = F.size(F.array_intersect("su", "sv")).cast("long")
-    return (both.select("u", "v", common.alias("i"), (n + m).cast("long").alias("t"))
-                .where(100 * F.col("i") >= percent * (F.col("t") - F.col("i")))
-                .select("u", "v"))
+    return pairs.join(a, "u").join(b, "v").select(
+        "u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"),
+        F.size("su").cast("long").alias("n"), F.size("sv").cast("long").alias("m"))
+
+
+def _linked(percent: int):
+    return 100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))
+
+
+def _band(n):
+    """Size band: sizes of one band differ by a tenth at most."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
+
+
+def unsettled(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one star whose documents are in different components
+    and may still be linked.
+
+    A document x shares ``i`` shingles with the centre c and adds ``a`` of its
+    own. Two documents x, y of a star have at most min(i_x, i_y) common
+    shingles of the centre's, so they are linked only if
+      (1) that alone is enough for the similarity, or
+      (2) they share added shingles, at least ``a_x - (1 - s) * n_x`` of them.
+    (1) is a join on the centre and the size band; (2) a prefix-filter join on
+    single added shingles, rarest in the star first: of each document only
+    the first ``(1 - s) * n + 1`` are needed. Both bounds are exact."""
+    s, t = percent, 100 + percent
+    star = stars.select(F.col("v").alias("c"), F.col("u").alias("x"), "i", "n")
+    centre = stars.select(F.col("v").alias("c"), F.col("v").alias("x"), F.col("m").alias("i"), F.col("m").alias("n"))
+    star = star.union(centre.distinct())
+    star = star.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+    mixed = star.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                  F.max(F.when(F.col("x") == F.col("c"), F.col("label"))).alias("home"))
+    star = written(star.join(mixed.where("lo < hi").select("c", "home"), "c")
+                   .withColumn("astray", F.col("label") != F.col("home")))
+
+    y = star.select("c", F.col("x").alias("y"), F.col("i").alias("iy"), F.col("n").alias("ny"),
+                    F.col("label").alias("ly"), _band(F.col("n")).alias("band"))
+    top = F.least(F.floor(100 * F.col("n") / s), F.floor(t * F.col("i") / s) - F.col("n"))
+    low = F.ceil(s * F.col("n") / 100)
+    x = star.where("astray").withColumn("top", top).withColumn("low", low).where("top >= low AND low > 0")
+    by_size = (x.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("top"))))).join(y, ["c", "band"])
+               .where((F.col("label") != F.col("ly"))
+                      & (t * F.least("i", "iy") >= s * (F.col("n") + F.col("ny"))))
+               .select("x", "y"))
+
+    own = star.where("n > i").join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").join(
+        sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("sc")), "c")
+    added = written(own.select("c", "x", "n", "i", "label", "astray",
+                               F.explode(F.array_except("sx", "sc")).alias("sh")))
+    often = added.groupBy("c", "sh").agg(F.count("*").alias("f")).where("f > 1")
+    first = W.partitionBy("c", "x").orderBy("f", "sh")
+    # an unshared shingle (f = 1) cannot match, but it takes a prefix place
+    shared = added.join(often, ["c", "sh"]).withColumn("place", F.row_number().over(first)).withColumn(
+        "k", F.count("*").over(W.partitionBy("c", "x")))
+    # so the k shared ones of n - i added ones are at the end
+    shared = shared.withColumn("place", F.col("place") + F.col("n") - F.col("i") - F.col("k")).where(
+        F.col("place") <= F.floor((100 - s) * F.col("n") / 100) + 1)
+    shared = written(shared.select("c", "sh", "x", "n", "i", "label", "astray",
+                                   (F.col("n") - F.col("i") - F.col("place") + 1).alias("left")))
+    z = shared.select("c", "sh", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"),
+                      F.col("label").alias("ly"), F.col("left").alias("lefty"))
+    # at the first addition two documents share, no more than ``left`` follow
+    by_own = shared.where("astray").join(z, ["c", "sh"]).where(
+        (F.col("label") != F.col("ly")) & (100 * F.least("n", "ny") >= s * F.greatest("n", "ny"))
+        & (t * (F.least("i", "iy") + F.least("left", "lefty")) >= s * (F.col("n") + F.col("ny")))).select("x", "y")
+    return by_size.union(by_own).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,34 +235,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
 
     keys = bucket_keys(nodes)
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    members = written(keys.join(shared.select("key", "pivot"), "key").select("key", "id", "pivot"))
-    star = written(members.where("id <> pivot").groupBy(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    star = written(keys.join(shared.select("key", "pivot"), "key").where("id <> pivot")
+                   .groupBy(F.col("id").alias("u"), F.col("pivot").alias("v"))
                    .agg(F.count("*").alias("n_keys")).select("u", "v"))
 
     needed = star.select(F.col("u").alias("doc_id")).union(star.select(F.col("v").alias("doc_id"))).distinct()
     # repeated rows of one document are read once
     wanted = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = written(shingle_sets(wanted, shingle))
-    links = written(confirm(star, sets, percent))
+    stars = written(overlaps(star, sets))
+    links = stars.where(_linked(percent)).select("u", "v")
     label = components(links)
-
-    # buckets whose members are still in several components
-    named = members.select("key", "id").join(label, "id", "left").select(
-        "key", "id", F.coalesce("label", "id").alias("label"))
-    named = written(named)
-    mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo < hi").select("key"))
-    rest = named.join(mixed, "key", "left_semi").join(
-        nodes.select("id", "n", *_CHUNK_COLUMNS), "id")
-    rest = written(rest)
-    a, b = rest.alias("a"), rest.alias("b")
-    second = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")))
-              .where(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-              .where(_distance("a", "b") <= SECOND_DISTANCE)
-              .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-              .join(star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"))
-    more = written(confirm(second, sets, percent))
+    open_pairs = written(unsettled(stars, label, sets, percent).join(star, ["u", "v"], "left_anti"))
+    more = written(overlaps(open_pairs, sets).where(_linked(percent)).select("u", "v"))
     if more.limit(1).count():
+        # components of the first round and the new links between them
         label = components(links.union(more))
 
     named = nodes.select("f1", "f2", "id", "copies").join(label, "id", "left").where(
