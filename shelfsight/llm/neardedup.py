@@ -160,7 +160,8 @@ def unsettled(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     star = star.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     mixed = star.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                   F.max(F.when(F.col("x") == F.col("c"), F.col("label"))).alias("home"))
-    star = written(star.join(mixed.where("lo < hi").select("c", "home"), "c")
+    mixed = written(mixed.where("lo < hi").select("c", "home"))
+    star = written(star.join(mixed, "c")
                    .withColumn("astray", F.col("label") != F.col("home")))
 
     y = star.select("c", F.col("x").alias("y"), F.col("i").alias("iy"), F.col("n").alias("ny"),
@@ -235,6 +236,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
 
     keys = bucket_keys(nodes)
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    # written, so that both sides of the join are exchanged and a hot key can
+    # be split
+    shared = written(shared)
     star = written(keys.join(shared.select("key", "pivot"), "key").where("id <> pivot")
                    .groupBy(F.col("id").alias("u"), F.col("pivot").alias("v"))
                    .agg(F.count("*").alias("n_keys")).select("u", "v"))

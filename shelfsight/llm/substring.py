@@ -134,6 +134,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = _windows(candidates, length)
     first = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
                                                     ).where("first < last").select("anchor", "window", "first")
+    # written, so that both sides of the join are exchanged and a window that
+    # very many documents hold can be split
+    first = written(first)
     late = windows.join(first, ["anchor", "window"]).where("first < doc_id")
     starts = late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     cut = written(_cut(candidates.join(starts, "doc_id"), length).dropDuplicates(["doc_id", "sha"]))

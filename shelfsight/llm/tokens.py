@@ -28,8 +28,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +43,11 @@ from pyspark.sql import functions as F
 from shelfsight.llm import wordhash as wh
 from shelfsight.llm.common import text_rows
 
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how this vocabulary cuts text before byte pairs are merged.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Entries of a worker's table of known words; a full table is started anew.
+MAX_KNOWN = 1_000_000
 SEQ_LEN, PER_SHARD, KEY, ROUNDS = 256, 8192, 20240229, 6
 HEADER = 16
 
@@ -77,33 +83,97 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 # ------------------------------------------------------------------- tokens
 class Tokens:
-    """A sentencepiece model whose ids fit 16 bits."""
-
-    def __init__(self, model: bytes):
-        from sentencepiece import SentencePieceProcessor
-        self.model = SentencePieceProcessor(model_proto=model)
-        if self.model.vocab_size() > 1 << 16:
+    """A byte-pair vocabulary (lines: base64 of the bytes, rank) whose ids
+    and one end token fit 16 bits.
+
+    A space before a non-space starts a new piece of the cutting pattern, so
+    a text is encoded word by word. The words of a slice are told apart by
+    64-bit hashes, each distinct word is encoded once (a bounded table keeps
+    words over slices) and the ids are laid out by index arithmetic. Texts in
+    which spaces stand side by side or at the end are encoded as a whole:
+    there a cut could fall inside a piece."""
+
+    _FIRST = np.uint64(0x2545F4914F6CDD1D)  # marks a word without a space before it
+
+    def __init__(self, vocabulary: bytes):
+        import tiktoken
+        ranks = {base64.b64decode(w): int(r) for w, r in map(bytes.split, vocabulary.splitlines())}
+        self.end = max(ranks.values()) + 1
+        if self.end >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.end = self.model.eos_id()
-        self.pad = max(0, self.model.unk_id())
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        ids = self.model.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
-        return [np.append(np.asarray(x, np.uint16), np.uint16(self.end)) for x in ids]
-
-
-def _encoded(it, model: bytes):
-    """(doc_ids, id arrays) of slices of a partition, in row order."""
-    tokens = Tokens(model)
-    for batch in wh.batches(it, 4 << 20):
+        self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._piece = self.model._encode_single_piece
+        self.known: dict[int, bytes] = {}  # ids as 16-bit numbers
+
+    def whole(self, text: bytes) -> list[int]:
+        return self.model.encode_ordinary(text.decode("utf-8", "replace"))
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word with its leading space. Letters with sentence marks
+        behind them are two pieces; anything else is cut by the pattern."""
+        letters = word.rstrip(".,;:!?")
+        if letters.removeprefix(" ").isalpha():
+            out = self._piece(letters.encode())
+            return out + self._piece(word[len(letters):].encode()) if len(letters) < len(word) else out
+        return self.model.encode_ordinary(word)
+
+    def _distinct(self, buf, hashes, starts, ends, first):
+        """Ids of the distinct words, and which of them each word is."""
+        known = self.known
+        if len(known) > MAX_KNOWN:
+            known.clear()
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = []
+        for h, i in zip(distinct.tolist(), at.tolist(), strict=True):
+            ids = known.get(h)
+            if ids is None:
+                word = buf[starts[i]:ends[i]].tobytes().decode("utf-8", "replace")
+                ids = known[h] = np.array(self._word(word if first[i] else " " + word), np.uint16).tobytes()
+            rows.append(ids)
+        return rows, which
+
+    def slice(self, column: pa.Array, count_only: bool = False):
+        """Per document of a slice its ids and the end token, or their number."""
+        buf, offsets = wh.buffers(column)
+        hashes, starts, ends, bounds = wh.hash_words(buf, offsets, lower=False, gap=wh.BLANK)
+        first = np.isin(starts, offsets)
+        rows, which = self._distinct(buf, hashes ^ np.where(first, self._FIRST, np.uint64(0)), starts, ends, first)
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 2
+        word_size = size[which]
+        word_end = np.concatenate([[0], np.cumsum(word_size)])
+        texts = column.to_pylist()
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if b"  " in t or t.endswith(b" ")}
+        if count_only:
+            n = word_end[bounds[1:]] - word_end[bounds[:-1]]
+            return [len(whole[i]) + 1 if i in whole else int(x) + 1 for i, x in enumerate(n)]
+        flat = np.frombuffer(b"".join(rows), np.uint16)
+        begin = (np.cumsum(size) - size)[which] - word_end[:-1]
+        ids = flat[np.arange(word_end[-1]) + np.repeat(begin, word_size)]
+        end = np.uint16(self.end)
+        return [np.append(np.array(whole[i], np.uint16) if i in whole else ids[word_end[a]:word_end[b]], end)
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+
+
+@lru_cache(maxsize=1)
+def _tokens(vocabulary: bytes) -> Tokens:
+    """One table per Python worker, kept over its tasks."""
+    return Tokens(vocabulary)
+
+
+def _encoded(it, vocabulary: bytes):
+    """(doc_ids, id arrays, pad) of slices of a partition, in row order."""
+    tokens = _tokens(vocabulary)
+    for batch in wh.batches(it, 8 << 20):
         ids = batch.column("doc_id").to_pylist()
-        yield [-1 if d is None else d for d in ids], tokens.encode(batch.column("text").to_pylist()), tokens.pad
+        yield [-1 if d is None else d for d in ids], tokens.slice(batch.column("text")), tokens.end
 
 
 def _count(rows: DataFrame, model, seq_len: int) -> dict[int, int]:
     """Sequences per scan partition."""
     def run(it):
-        n = sum(-(-len(x) // seq_len) for _, ids, _ in _encoded(it, model.value) for x in ids)
+        tokens = _tokens(model.value)
+        n = sum(-(-x // seq_len) for batch in wh.batches(it, 8 << 20)
+                for x in tokens.slice(batch.column("text"), count_only=True))
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
     return {r["part"]: r["n"] for r in rows.mapInArrow(run, "part long, n long").collect()}
 

@@ -20,6 +20,7 @@ _COMBINE = np.uint64(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.arange(256) == 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0]:o[-1]], o - o[0]
 
 
-def _cuts(buf: np.ndarray, offsets: np.ndarray):
+def _cuts(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray):
     a, total = 0, len(buf)
     while a < total:
         end = a + PIECE
@@ -68,7 +69,7 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray):
         else:
             b = int(offsets[np.searchsorted(offsets, end)])
             while b - a > 4 * PIECE and end < b:  # one very long document: cut after a word
-                gaps = np.flatnonzero(_SPACE[buf[end:min(end + PIECE, b)]])
+                gaps = np.flatnonzero(gap[buf[end:min(end + PIECE, b)]])
                 if len(gaps):
                     b = end + int(gaps[0])
                     break
@@ -77,13 +78,14 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray):
         a = b
 
 
-def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool):
+def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool, gap: np.ndarray = _SPACE):
     """(hashes, starts, ends, bounds): one hash and byte range per word of
-    the batch; document i has the words ``bounds[i]:bounds[i + 1]``."""
+    the batch; document i has the words ``bounds[i]:bounds[i + 1]``. ``gap``
+    marks the bytes between words."""
     values, hs, ss, es = _VALUES[lower], [], [], []
-    for a, b in _cuts(buf, offsets):
+    for a, b in _cuts(buf, offsets, gap):
         x = buf[a:b]
-        space = _SPACE[x]
+        space = gap[x]
         inner = offsets[(offsets > a) & (offsets < b)] - a
         before = np.empty(b - a, bool)
         before[0], before[1:] = True, space[:-1]
