@@ -39,17 +39,15 @@ def report_diff(first: DataFrame, later: DataFrame, changed_only: bool = True) -
 def capacity_vs_full(diff: DataFrame, full_first: DataFrame, full_later: DataFrame) -> DataFrame:
     """Per direction of capacity change: changed materials, and how many of
     them were full-month over-spaced in the first period / in both."""
-    ids_first = full_first.select(*KEYS).distinct().withColumn("_in_first", F.lit(True))
-    common = (full_first.select(*KEYS).intersect(full_later.select(*KEYS))
-              .withColumn("_in_both", F.lit(True)))
+    present = _presence(full_first, full_later)
     direction = (F.when(F.col("capacity_decreased"), F.lit("decreased"))
                   .when(F.col("capacity_increased"), F.lit("increased")))
     d = (diff.withColumn("direction", direction).where(F.col("direction").isNotNull())
-             .join(ids_first, KEYS, "left").join(common, KEYS, "left"))
+             .join(present, KEYS, "left"))
     return (d.groupBy("direction")
              .agg(F.count(F.lit(1)).alias("n_items"),
                   F.count_distinct(F.when(F.col("_in_first"), F.col("MatID"))).alias("n_full_month_first"),
-                  F.count_distinct(F.when(F.col("_in_both"), F.col("MatID"))).alias("n_full_month_both")))
+                  F.count_distinct(F.when(F.col("_in_first") & F.col("_in_later"), F.col("MatID"))).alias("n_full_month_both")))
 
 
 def persistent_items(full_first: DataFrame, full_later: DataFrame,
@@ -57,15 +55,28 @@ def persistent_items(full_first: DataFrame, full_later: DataFrame,
                      label_first: str = "first", label_later: str = "later") -> DataFrame:
     """Rows of both periods for materials full-month in both, with
     ``StdQty_to_AvgQty`` of each period (risk tables: one row per MatID)."""
-    common = full_first.select(*KEYS).intersect(full_later.select(*KEYS))
     both = (full_first.withColumn("period_label", F.lit(label_first))
-            .unionByName(full_later.withColumn("period_label", F.lit(label_later)))
-            .join(common, KEYS, "left_semi"))
-    rf = risk_first.select("MatID", F.col("StdQty_to_AvgQty").alias("StdQty_to_AvgQty_first")) \
-                   .dropDuplicates(["MatID"])
-    rl = risk_later.select("MatID", F.col("StdQty_to_AvgQty").alias("StdQty_to_AvgQty_later")) \
-                   .dropDuplicates(["MatID"])
-    return both.join(rf, "MatID", "left").join(rl, "MatID", "left")
+            .unionByName(full_later.withColumn("period_label", F.lit(label_later))))
+    common = _presence(full_first, full_later).where("_in_first AND _in_later").select(*KEYS)
+    both = both.join(common, KEYS, "left_semi")
+    return (both.join(_one_ratio(risk_first, "StdQty_to_AvgQty_first"), "MatID", "left")
+                .join(_one_ratio(risk_later, "StdQty_to_AvgQty_later"), "MatID", "left"))
+
+
+def _presence(first: DataFrame, later: DataFrame) -> DataFrame:
+    """One row per material with the periods it is in (one aggregate)."""
+    rows = first.select(*KEYS, F.lit(True).alias("_in_first"), F.lit(False).alias("_in_later")).unionByName(
+        later.select(*KEYS, F.lit(False).alias("_in_first"), F.lit(True).alias("_in_later")))
+    return rows.groupBy(*KEYS).agg(F.max("_in_first").alias("_in_first"), F.max("_in_later").alias("_in_later"))
+
+
+def _one_ratio(risk: DataFrame, name: str) -> DataFrame:
+    """MatID and its ratio; a material with two different ratios (a frame
+    that is keyed by store) is an error, not an arbitrary choice."""
+    x = F.col("StdQty_to_AvgQty")
+    return risk.groupBy("MatID").agg(
+        F.when(F.min(x).eqNullSafe(F.max(x)), F.max(x))
+         .otherwise(F.raise_error(F.lit("several ratios for one MatID"))).alias(name))
 
 
 def observation_check(persistent: DataFrame, expected: int = 6) -> DataFrame:

@@ -157,12 +157,24 @@ def split_periods(mart: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------ issue lists
-def check_items(mart: DataFrame, report: DataFrame) -> DataFrame:
+def check_items(mart: DataFrame, report: DataFrame, by: tuple[str, ...] = (),
+                every_store: bool = False) -> DataFrame:
     """Report rows with no gross sales: no mart row at all, or a month whose
-    average gross sales are 0."""
-    j = report.join(mart, "MatID", "left")
+    average gross sales are 0.
+
+    With ``by`` (the mart's own keys beside the material) an item is looked
+    for within its key. The report must carry these keys; with ``every_store``
+    a report without them stands for each key of the mart (the list of keys is
+    the store list: one row per store), which gives one report per store."""
+    missing = [k for k in by if k not in report.columns]
+    if missing:
+        if not every_store:
+            raise ValueError(f"the report has no {', '.join(missing)}: which stores does it apply to?")
+        keys = mart.select(F.array_sort(F.collect_set(F.struct(*missing)))).scalar()
+        report = report.withColumn("_key", F.explode(keys)).select("*", "_key.*").drop("_key")
+    j = report.join(mart, [*by, "MatID"], "left")
     return (j.where(F.coalesce(_c("totalMonthlyGrossSale"), F.lit(0.0)) == 0)
-             .select(*ISSUE_COLUMNS))
+             .select(*by, *ISSUE_COLUMNS))
 
 
 def _report_keys(report: DataFrame, by: tuple[str, ...]) -> list[str]:

@@ -3,7 +3,7 @@ original analysis' tables and charts).
 
 Every statistic is a grouped or global aggregate with partial aggregation on
 the map side; global totals enter other expressions as scalar subqueries
-(one row). Quartiles use ``percentile_approx`` (bounded memory per group);
+(one row). Quartiles are exact (counts of distinct values and prefix sums);
 no statistic collects a column into one task.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.plans.execution import rows_before
+
 SUMMARY_COLUMNS = ["Facings", "Capacity", "totalMonthlyQtySold", "SellMargin"]
 CLASS_COLUMNS = ["Price", "SellMargin"]
 
@@ -41,42 +43,59 @@ def describe(df: DataFrame, columns=None, by: list[str] | None = None) -> DataFr
     return _long(one, columns, ["count", "mean", "std", "min", "max"], by)
 
 
-def quartiles(df: DataFrame, columns=None, by: list[str] | None = None,
-              accuracy: int = 10000) -> DataFrame:
-    """25th, 50th and 75th percentiles per column (and group), approximate
-    with relative rank error 1/``accuracy``; exact for groups smaller than
-    ``accuracy`` rows."""
-    columns = columns or CLASS_COLUMNS
-    by = by or []
-    aggs = [F.percentile_approx(_c(c).cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q")
-            for c in columns]
-    one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    for c in columns:
-        one = (one.withColumn(f"{c}__p25", _c(f"{c}__q")[0])
-                  .withColumn(f"{c}__p50", _c(f"{c}__q")[1])
-                  .withColumn(f"{c}__p75", _c(f"{c}__q")[2]))
-    return _long(one, columns, ["p25", "p50", "p75"], by)
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
 
+def quartiles(df: DataFrame, columns=None, by: list[str] | None = None) -> DataFrame:
+    """25th, 50th and 75th percentiles per column (and group), exact and
+    linearly interpolated between neighbouring values.
 
-def eight_number_summary(df: DataFrame, columns=None, by: list[str] | None = None,
-                         accuracy: int = 10000) -> DataFrame:
-    """count, mean, sample std, min, quartiles (approximate, see
-    ``quartiles``) and max per column and group, from one aggregate."""
+    One aggregate counts each distinct (group, column, value); prefix sums
+    over range-partitioned values give the place of every value, and the two
+    neighbours of each quantile are picked by one more aggregate. Group size
+    plays no part in the method or the result."""
     columns = columns or CLASS_COLUMNS
     by = by or []
+    key = [*by, "column"]
+    long = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), _c(c).cast("double").alias("_v")) for c in columns])))
+    counts = long.where("_v IS NOT NULL").groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = rows_before(counts, key, F.col("_v").asc(), "_n", "_before")
+    total = placed.groupBy(*[_c(k).alias(f"_t_{k}") for k in key]).agg(F.sum("_n").alias("_total"))
+    placed = placed.join(total, [_c(k).eqNullSafe(_c(f"_t_{k}")) for k in key])
     aggs = []
-    for c in columns:
-        x = _c(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
-                 F.max(x).alias(f"{c}__max")]
-    one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    for c in columns:
-        one = (one.withColumn(f"{c}__p25", _c(f"{c}__q")[0])
-                  .withColumn(f"{c}__p50", _c(f"{c}__q")[1])
-                  .withColumn(f"{c}__p75", _c(f"{c}__q")[2]))
-    return _long(one, columns, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"], by)
+    for name, q in QUARTILES.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
+            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"{name}_{side}"))
+    aggs.append(F.max("_total").alias("_total"))
+    picked = placed.groupBy(*key).agg(*aggs)
+    out = [_c(k) for k in key]
+    for name, q in QUARTILES.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        out.append((F.col(f"{name}_lo") + (at - F.floor(at)) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name))
+    exact = picked.select(*out)
+    # a group without a value keeps its row, with NULL quartiles
+    groups = df.select(*by).distinct() if by else None
+    if groups is None:
+        return exact
+    every = groups.select(*[_c(b).alias(f"_b_{b}") for b in by], F.explode(F.array(*map(F.lit, columns))).alias("_c"))
+    match = [_c(b).eqNullSafe(_c(f"_b_{b}")) for b in by] + [_c("column") == _c("_c")]
+    return every.join(exact, match, "left").select(
+        *[_c(f"_b_{b}").alias(b) for b in by], _c("_c").alias("column"), *QUARTILES)
+
+
+def eight_number_summary(df: DataFrame, columns=None, by: list[str] | None = None) -> DataFrame:
+    """count, mean, sample std, min, quartiles (see ``quartiles``) and max
+    per column and group."""
+    columns = columns or CLASS_COLUMNS
+    by = by or []
+    basic = describe(df, columns, by)
+    q = quartiles(df, columns, by).select(*[_c(b).alias(f"_q_{b}") for b in by], _c("column").alias("_q_column"),
+                                          *QUARTILES)
+    match = [_c(b).eqNullSafe(_c(f"_q_{b}")) for b in [*by]] + [_c("column") == _c("_q_column")]
+    return basic.join(q, match, "left").select(*by, "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def correlations(df: DataFrame) -> DataFrame:

@@ -24,11 +24,11 @@ unique on the aggregate side, so no join fans out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double
-from shelfsight.plans.execution import materialize
+from shelfsight.plans.execution import materialize, rows_before
 from shelfsight.sources.schemas import RANK_WEEKLY_RENAME
 
 COLUMNS = ["Index", "Date", "Company", "BusinessUnit", "Concept_NEW", "Category",
@@ -52,52 +52,26 @@ def clean_rank(raw: DataFrame) -> DataFrame:
     ).select(*COLUMNS)
 
 
-# A window puts each group into one task; below this many rows per group
-# that is cheap and is used once the group sizes have been checked.
-WINDOW_MAX_GROUP_ROWS = 1_000_000
-
-
 def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
-              partitions: int | None = None,
-              window_below: int | None = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """Exact ``rank()`` of ``value`` (descending, NULLs last) within each
-    ``group``, without putting a large group into one task.
-
-    With ``window_below`` set, one aggregate first finds the largest group;
-    when it has at most ``window_below`` rows a plain window is used (one
-    task per group is then bounded). Otherwise, or with ``window_below=None``:
-
-    Rows are range-partitioned on (group, value desc), so every partition
-    holds a contiguous slice of one or more groups and equal keys never
-    straddle partitions. Each row's rank is its rank inside its
-    (group, partition) slice plus the number of rows of the same group in
-    earlier partitions (all of them rank higher). The offsets table has at
-    most ``partitions + number of groups`` rows; it is joined on
-    (group, partition), the key the slice ranks are already partitioned by,
-    so the large side is not shuffled again (AQE may broadcast the offsets
-    when their measured size is small).
+    ``group``, without putting a group, or the rows of one value, into one
+    task.
+
+    Rows are first counted per distinct (group, value), with partial sums
+    before the shuffle; the rank of a value is one plus the rows of the
+    group's higher values (``rows_before``: range-partitioned prefix sums).
+    The ranks are joined back on (group, value); a value that very many rows
+    share is a skewed key of a plain join, which AQE splits.
     """
-    spark = df.sparkSession
-    order = F.col(value).desc_nulls_last()
-    if window_below is not None:
-        largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-        if largest is None or largest <= window_below:
-            return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(order)))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds come from a sample, so two evaluations of the exchange may
-    # cut differently; the tagged rows are written once (``materialize``) and
-    # both the slice ranks and the slice sizes read that one copy.
-    keyed = materialize(df.repartitionByRange(n, *[F.col(g).asc() for g in group], order)
-                          .withColumn("_pid", F.spark_partition_id()))
-    local = keyed.withColumn("_local", F.rank().over(
-        Window.partitionBy(*group, "_pid").orderBy(order)))
-    sizes = keyed.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_pid",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = local.join(offsets, [*group, "_pid"], "inner")
-    return (ranked.withColumn(out, (_c("_off") + _c("_local")).cast("int"))
-                  .select(*df.columns, out))
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows"))
+    # written: the join below then has an exchange of its own on both sides
+    ranks = materialize(rows_before(counts, group, F.col(value).desc_nulls_last(), "_rows", "_above", partitions))
+    names = {g: f"_r{i}" for i, g in enumerate([*group, value])}
+    ranks = ranks.select(*[F.col(g).alias(a) for g, a in names.items()], "_above")
+    match = [df[g].eqNullSafe(F.col(a)) for g, a in names.items()]
+    ranked = df.join(ranks, match)
+    return ranked.select(*[df[c] for c in df.columns], (_c("_above") + 1).cast("int").alias(out))
 
 
 def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:
@@ -112,10 +86,11 @@ def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:
 def last_two_weeks(df: DataFrame) -> tuple[Column, Column]:
     """(W1, W2): the week before the latest, and the latest week.
 
-    One scalar subquery returns both keys (the distinct week keys it
-    gathers are bounded by the calendar, not by the data volume); every
-    reference to W1 or W2 reuses that one subquery."""
-    weeks = df.select(F.slice(F.sort_array(F.collect_set("Date"), asc=False), 1, 2)).scalar()
+    One scalar subquery returns both keys (distinct weeks, the top two kept
+    per task and then overall, so no task gathers all keys); every reference
+    to W1 or W2 reuses that one subquery."""
+    top = df.select("Date").distinct().orderBy(F.col("Date").desc()).limit(2)
+    weeks = top.agg(F.sort_array(F.collect_list("Date"), asc=False)).scalar()
     return F.get(weeks, 1), F.get(weeks, 0)
 
 

@@ -1,5 +1,4 @@
 from shelfsight.plans.execution import (  # noqa: F401
-    broadcast_if_small,
     cluster_settings,
     ensure_checkpoint_dir,
     local_session,

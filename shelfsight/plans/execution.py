@@ -1,19 +1,17 @@
-"""Execution helpers: session defaults, size-checked broadcast, lineage cuts."""
+"""Execution helpers: session defaults, lineage cuts, ordered prefix sums."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Largest row count a dimension may have and still be broadcast by an
-# explicit hint. Beyond it the join stays a shuffle join and AQE decides at
-# runtime from measured stage sizes.
-BROADCAST_MAX_ROWS = 200_000
-
 
 def session_defaults() -> dict[str, str]:
     """Settings every job here is written for (AQE on, UI off)."""
@@ -31,18 +29,19 @@ def session_defaults() -> dict[str, str]:
 
 
 def cluster_settings(input_bytes: float, total_cores: int,
-                     target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+                     target_partition_bytes: int = 256 * 1024 ** 2,
+                     shuffle_share: float = 0.05) -> dict[str, str]:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
     Scan splits of ``target_partition_bytes`` (``maxPartitionBytes``) keep a
     task's input well inside executor memory. The initial shuffle partition
-    count starts at one partition per target size of input (at least three
-    waves of the cluster's cores), so the widest shuffle (the first
-    aggregate over the facts, before its map-side combine shrinks it) has
-    partitions of about the target size; AQE then coalesces smaller
-    shuffles towards the advisory size and splits skewed join partitions.
+    count follows the bytes that are shuffled: the aggregates here combine on
+    the map side, which leaves ``shuffle_share`` of the input (a parameter:
+    measure it on a sample run), one partition per target size and at least
+    three waves of the cluster's cores. AQE coalesces smaller shuffles towards
+    the advisory size and splits skewed join partitions.
     """
-    by_size = int(input_bytes // target_partition_bytes) + 1
+    by_size = int(input_bytes * shuffle_share // target_partition_bytes) + 1
     partitions = max(by_size, 3 * total_cores)
     return {
         **session_defaults(),
@@ -68,29 +67,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: it stops reading once the
-    bound is exceeded, so it stays cheap even when the side turns out to be
-    large. Beyond the bound the frame is returned unhinted and the join is
-    planned as a shuffle join (AQE may still convert it from runtime sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 _LOCAL_ROOT: str | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: ``spark.checkpoint.dir``
-    from the session. Only when the session names none (tests, local runs)
-    is a local scratch folder created, once per process."""
+    """Shared folder for written intermediates: ``spark.checkpoint.dir`` or
+    the folder given to ``SparkContext.setCheckpointDir``. Where neither is
+    set, a local master gets a scratch folder (once per process) and any
+    other master an error: its executors do not share a local disk."""
     global _LOCAL_ROOT
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf:
         return conf
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_ROOT is None:
         _LOCAL_ROOT = tempfile.mkdtemp(prefix="shelfsight-ckpt-",
                                        dir=os.environ.get("TMPDIR") or "/tmp")
@@ -121,20 +112,38 @@ def materialize(df: DataFrame) -> DataFrame:
     if any(ch in _PARQUET_BAD for name in df.columns for ch in name):
         return _rdd_checkpoint(df, root)
     path = f"{root.rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)  # before the write: a failed one is cleaned up too
     df.write.mode("overwrite").parquet(path)
-    WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
-# Paths of the tables ``materialize`` wrote in this process, oldest first.
-WRITTEN: list[str] = []
+# Paths of the tables the running job wrote (one list per job and thread).
+_OWNED: ContextVar[list[str] | None] = ContextVar("shelfsight_owned_tables", default=None)
 
 
-def drop_written(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables ``materialize`` wrote from position ``since`` of
-    ``WRITTEN`` on; returns how many were deleted. Call it only once nothing
-    reads them any more (after the outputs are written)."""
-    paths = WRITTEN[since:]
+@contextmanager
+def owned_tables(spark: SparkSession, keep: bool = False):
+    """Tables that ``materialize`` writes inside the block belong to it and
+    are deleted at its end, also after an error; ``keep`` leaves them after
+    success (their reader deletes them with ``drop_tables``). Yields the list
+    of paths. Blocks of other threads keep their own lists."""
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    done = False
+    try:
+        yield paths
+        done = True
+    finally:
+        _OWNED.reset(token)
+        if not (done and keep):
+            drop_tables(spark, paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> int:
+    """Delete written tables once nothing reads them any more; returns how
+    many were there."""
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is None:
         return 0
@@ -142,7 +151,28 @@ def drop_written(spark: SparkSession, since: int = 0) -> int:
     done = 0
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(conf).delete(path, True):
-            done += 1
-    del WRITTEN[since:]
+        done += bool(path.getFileSystem(conf).delete(path, True))
     return done
+
+
+def rows_before(counts: DataFrame, group: list[str], order, n: str, out: str = "before",
+                partitions: int | None = None) -> DataFrame:
+    """``counts`` (one row per distinct value of a group, ``n`` rows each) with
+    ``out``: how many rows of the group come before the value in ``order``.
+
+    Values are range-partitioned on (group, order) and written once, so a
+    group with very many values spans several tasks; a value's result is the
+    sum inside its slice plus the totals of the group's earlier slices (one
+    row per slice). No group is ever put into one task."""
+    size = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = materialize(counts.repartitionByRange(size, *[F.col(g).asc() for g in group], order)
+                         .withColumn("_pid", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group, "_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sliced.withColumn("_in", F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    slices = sliced.groupBy(*group, "_pid").agg(F.sum(n).alias("_n"))
+    above = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_pid").alias("_p"),
+                           F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_off"))
+    match = [F.col("_pid") == F.col("_p")]
+    match += [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return inside.join(slices, match).select(*counts.columns, (F.col("_in") + F.col("_off")).alias(out))

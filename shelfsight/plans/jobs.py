@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.operators import inventory as inv
 from shelfsight.operators import oos, rank
-from shelfsight.plans import execution
-from shelfsight.plans.execution import broadcast_if_small, materialize
+from shelfsight.plans.execution import materialize, owned_tables
 from shelfsight.plans.params import InventoryParams
 from shelfsight.sources import readers as rd
 from shelfsight.sources import writers as wr
@@ -35,34 +34,29 @@ def _write(df: DataFrame, path: str | None, fmt: str, partition_by=None) -> None
 def run_oos_job(spark: SparkSession, stock_path: str, closed_path: str | None,
                 out_dir: str | None = None, fmt: str = "csv",
                 window_days: int = oos.WINDOW_DAYS, cleanup: bool = True) -> dict[str, DataFrame]:
-    mark = len(execution.WRITTEN)
-    raw = rd.read_stock_daily(spark, stock_path)
-    # the list file is small: broadcast it behind a row-count check
-    closed = broadcast_if_small(rd.read_closed_stores(spark, closed_path)) if closed_path else None
-    facts = materialize(oos.clean_stock(raw, closed))
-    report = materialize(oos.detect_oos(facts, window_days))
-    out = {
-        "oos_items": report,
-        "oos_7_days": oos.oos_7_days(report, window_days),
-        "store_summary": oos.store_summary(report),
-        "product_summary": oos.product_summary(report),
-    }
-    for name, df in out.items():
-        _write(df, f"{out_dir}/{name}" if out_dir else None, fmt)
-    if out_dir and cleanup:
-        execution.drop_written(spark, mark)
-    return out
+    with owned_tables(spark, keep=not (out_dir and cleanup)):
+        raw = rd.read_stock_daily(spark, stock_path)
+        closed = rd.read_closed_stores(spark, closed_path) if closed_path else None
+        facts = materialize(oos.clean_stock(raw, closed))
+        report = materialize(oos.detect_oos(facts, window_days))
+        out = {
+            "oos_items": report,
+            "oos_7_days": oos.oos_7_days(report, window_days),
+            "store_summary": oos.store_summary(report),
+            "product_summary": oos.product_summary(report),
+        }
+        for name, df in out.items():
+            _write(df, f"{out_dir}/{name}" if out_dir else None, fmt)
+        return out
 
 
 def run_rank_job(spark: SparkSession, rank_path: str, out_path: str | None = None,
                  fmt: str = "csv", cleanup: bool = True) -> DataFrame:
-    mark = len(execution.WRITTEN)
-    table = materialize(rank.clean_rank(rd.read_rank_weekly(spark, rank_path)))
-    report = rank.rank_report(table)
-    _write(report, out_path, fmt)
-    if out_path and cleanup:
-        execution.drop_written(spark, mark)
-    return report
+    with owned_tables(spark, keep=not (out_path and cleanup)):
+        table = materialize(rank.clean_rank(rd.read_rank_weekly(spark, rank_path)))
+        report = rank.rank_report(table)
+        _write(report, out_path, fmt)
+        return report
 
 
 def load_inventory(spark: SparkSession, sales_path: str, report_path: str,
@@ -90,31 +84,29 @@ def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
                       cleanup: bool = True, all_stores: bool = False) -> dict[str, DataFrame]:
     """Issue lists, analysis table, at-least-one-month and full-month
     over-spaced items for one store and window, or with ``all_stores`` for
-    every store in one job (outputs keyed by store; the check-item list
-    stays chain-wide)."""
-    mark = len(execution.WRITTEN)
-    by = ("Store",) if all_stores else ()
-    data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params,
-                          all_stores)
-    mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
-    base = inv.analysis_base(late, report, by)
-    enriched = materialize(inv.enrich(base, by))
-    res = inv.at_least_one_month(enriched, by)
-    out = {
-        "issued/checked": inv.check_items(mart, report),
-        "issued/removed": inv.removed_items(early, late, report, params.split, by),
-        "issued/new": inv.new_items(late, report, by),
-        "issued/incorrect_record": inv.bad_records(base, by=by),
-        "issued/depth_lt2": inv.shallow_items(base, by=by),
-        "analysis_table": enriched,
-        "at_least_one_month/all": res["items"],
-        "at_least_one_month/adjusted": res["adjusted"],
-        "at_least_one_month/unadjusted": inv.depth_buckets(res["unadjusted"]),
-        "full_month": inv.full_month(res["rows"], params.split, by=by),
-    }
-    for name, df in out.items():
-        part = ["bucket"] if name.endswith("unadjusted") else None
-        _write(df, f"{out_dir}/{name}" if out_dir else None, fmt, part)
-    if out_dir and cleanup:
-        execution.drop_written(spark, mark)
-    return out
+    every store in one job (outputs keyed by store; a report without a store
+    column is checked against every store of the mart)."""
+    with owned_tables(spark, keep=not (out_dir and cleanup)):
+        by = ("Store",) if all_stores else ()
+        data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params,
+                              all_stores)
+        mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
+        base = inv.analysis_base(late, report, by)
+        enriched = materialize(inv.enrich(base, by))
+        res = inv.at_least_one_month(enriched, by)
+        out = {
+            "issued/checked": inv.check_items(mart, report, by, every_store=all_stores),
+            "issued/removed": inv.removed_items(early, late, report, params.split, by),
+            "issued/new": inv.new_items(late, report, by),
+            "issued/incorrect_record": inv.bad_records(base, by=by),
+            "issued/depth_lt2": inv.shallow_items(base, by=by),
+            "analysis_table": enriched,
+            "at_least_one_month/all": res["items"],
+            "at_least_one_month/adjusted": res["adjusted"],
+            "at_least_one_month/unadjusted": inv.depth_buckets(res["unadjusted"]),
+            "full_month": inv.full_month(res["rows"], params.split, by=by),
+        }
+        for name, df in out.items():
+            part = ["bucket"] if name.endswith("unadjusted") else None
+            _write(df, f"{out_dir}/{name}" if out_dir else None, fmt, part)
+        return out

@@ -231,14 +231,14 @@ def inv_ctes(catalogue: str = "part", period=PERIOD_A, later: bool = False, tag:
     """CTEs sales{tag}, mart{tag}, report{tag}, late{tag}, base{tag}, enriched{tag}."""
     begin, end, split = period
     if catalogue == "group":
-        mid = "CAST(l_partkey % 200 AS INTEGER)"
+        mid = "CAST(l_partkey // 10 AS INTEGER)"
         groups = f"""
 groups{tag} AS (
-  SELECT CAST(p_partkey % 200 AS INTEGER) AS mid, min(p_type) AS p_type, min(p_brand) AS p_brand,
-         'Part ' || CAST(p_partkey % 200 AS VARCHAR) AS p_name
-  FROM part GROUP BY p_partkey % 200),"""
+  SELECT CAST(p_partkey // 10 AS INTEGER) AS mid, min(p_type) AS p_type, min(p_brand) AS p_brand,
+         'Part ' || CAST(p_partkey // 10 AS VARCHAR) AS p_name
+  FROM part GROUP BY p_partkey // 10),"""
         rep_from = f"groups{tag}"
-        facings = "CAST(1 + mid % 5 AS DOUBLE)"
+        facings = "CAST(1 + mid % 5 + CASE WHEN mid % 11 = 3 THEN 500 ELSE 0 END AS DOUBLE)"
         capacity = "CAST(1 + mid % 50 AS DOUBLE)"
         rep_where = "TRUE"
     else:
@@ -592,11 +592,9 @@ h AS (SELECT Price, CASE WHEN hi = lo THEN 1
                          ELSE least(10, CAST(floor({_div('Price - lo', 'hi - lo')} * 10) AS BIGINT) + 1) END AS bin
       FROM enriched, bnd WHERE Price IS NOT NULL)
 SELECT bin, count(*) AS n, {R('min(Price)')} AS bin_min, {R('max(Price)')} AS bin_max FROM h GROUP BY bin"""
-# percentile_approx is exact below ``accuracy`` rows per group, where it
-# returns the same element as quantile_disc.
 SQL["profile_quartiles"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
-    f"""SELECT Classification, '{c}' AS "column", {R(f'quantile_disc({c}, 0.25)')} AS p25,
-       {R(f'quantile_disc({c}, 0.5)')} AS p50, {R(f'quantile_disc({c}, 0.75)')} AS p75
+    f"""SELECT Classification, '{c}' AS "column", {R(f'quantile_cont({c}, 0.25)')} AS p25,
+       {R(f'quantile_cont({c}, 0.5)')} AS p50, {R(f'quantile_cont({c}, 0.75)')} AS p75
 FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))
 
 SQL["inv_adjusted"] = f"""WITH {_A},
@@ -614,8 +612,8 @@ SELECT {cols(OVER_COLS, DOUBLES)} FROM flag WHERE MatID IN (SELECT MatID FROM id
 SQL["profile_eight_number"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
     f"""SELECT Classification, '{c}' AS "column", count({c}) AS "count", {R(f'avg({c})')} AS mean,
        {R(f'stddev_samp({c})')} AS std, {R(f'min({c})')} AS "min",
-       {R(f'quantile_disc({c}, 0.25)')} AS p25, {R(f'quantile_disc({c}, 0.5)')} AS p50,
-       {R(f'quantile_disc({c}, 0.75)')} AS p75, {R(f'max({c})')} AS "max"
+       {R(f'quantile_cont({c}, 0.25)')} AS p25, {R(f'quantile_cont({c}, 0.5)')} AS p50,
+       {R(f'quantile_cont({c}, 0.75)')} AS p75, {R(f'max({c})')} AS "max"
 FROM enriched GROUP BY Classification""" for c in ("Price", "SellMargin"))
 
 # every supplier is a store; the report applies to all stores

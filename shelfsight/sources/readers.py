@@ -1,7 +1,7 @@
 """Readers for the exported CSV files and for columnar copies of them.
 
-Every CSV read uses an explicit schema: no inference pass, stable types, and
-the header row only names the columns. Paths may be any Hadoop URI
+Every CSV read uses an explicit schema (no inference pass, stable types) and
+finds its columns by header name. Paths may be any Hadoop URI
 (``s3a://``, ``abfss://``, ``hdfs://``); credentials come from the cluster's
 own configuration, never from this code.
 """
@@ -10,20 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfsight.sources import schemas as S
 
 
 def read_csv(spark: SparkSession, path: str, schema, *, columns=None) -> DataFrame:
-    """Header CSV with a fixed text schema; ``columns`` prunes early."""
-    df = (spark.read.schema(schema)
-          .option("header", True)
-          .option("encoding", "UTF-8")
-          .option("mode", "PERMISSIVE")
-          .csv(path))
-    if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return df
+    """Header CSV: the columns of ``schema`` (or the subset ``columns``) are
+    taken by header name, whatever their order and whatever other columns the
+    file has. A missing column is an error, and so is a file of the path whose
+    header differs from the first one's (``enforceSchema`` off)."""
+    def reader():
+        return (spark.read.option("header", True).option("encoding", "UTF-8")
+                .option("mode", "PERMISSIVE"))
+    header = reader().csv(path).columns
+    place = {h.strip("\ufeff ").strip(): h for h in reversed(header)}
+    wanted = [schema[c] for c in columns or schema.names]
+    missing = [f.name for f in wanted if f.name not in place]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header {header}")
+    text = StructType([StructField(h, StringType()) for h in header])
+    df = reader().schema(text).option("enforceSchema", False).csv(path)
+    return df.select(*[F.col(f"`{place[f.name]}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_stock_daily(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +70,12 @@ def read_vendor(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """Re-read an earlier output (parquet by default, CSV with header)."""
+    """Re-read an earlier output (parquet by default; CSV needs a schema)."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        return r.option("header", True).csv(path)
+        if schema is None:
+            raise ValueError("a CSV table needs a schema: without one its months would be text")
+        return r.option("header", True).option("enforceSchema", False).csv(path)
     return r.format(fmt).load(path)

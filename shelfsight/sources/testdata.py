@@ -24,9 +24,10 @@ Mappings (fixed values of the fixture design):
   Store = ``S<l_suppkey>``; Gross = extended price, Net = price after
   discount, COGS = -0.6 * price.
 * catalogue ``"part"`` uses ``l_partkey`` as material id; catalogue
-  ``"group"`` folds parts into 200 material groups (``partkey mod 200``) so
-  that items sell in every month, which the full-month and period-comparison
-  operators need.
+  ``"group"`` folds ten neighbouring parts into one material (``partkey div
+  10``; their number grows with the data) so that items sell in every month,
+  which the full-month and period-comparison operators need; every eleventh
+  of them has more facings than a month's quantity (the facings rule).
 * distribution report: one row per material; promotional part types are
   not on the planogram (they surface as new items).
 """
@@ -40,7 +41,8 @@ from shelfsight.functions.columns import iso_week
 from shelfsight.plans.execution import materialize
 
 # fixed values of the fixture design
-GROUPS = 200
+GROUP_SIZE = 10
+WIDE_EVERY, WIDE_AT, WIDE_FACINGS = 11, 3, 500
 ZERO_LINE = 7
 CLOSED_EVERY = 10
 
@@ -94,7 +96,7 @@ def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("n_name").alias("Store"),
                          F.col("r_name").alias("Concept_NEW"))
                 .agg(F.sum(sales).alias("NetSales")))
-    # written once: the group-size check and the rank both read it
+    # written once: the counts of the rank and the rows themselves read it
     ranked = add_ranks(materialize(weekly), store_rank=False)
     return ranked.select(
         F.concat_ws("/", "Date", "Store", "SKU").alias("Index"),
@@ -113,7 +115,7 @@ def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------- Inventory
 def _material(col: str, catalogue: str):
     c = F.col(col)
-    return c % GROUPS if catalogue == "group" else c
+    return F.expr(f"{col} div {GROUP_SIZE}") if catalogue == "group" else c
 
 
 def sales_monthly(spark: SparkSession, sf_dir: str, catalogue: str = "part") -> DataFrame:
@@ -138,7 +140,7 @@ def sales_monthly(spark: SparkSession, sf_dir: str, catalogue: str = "part") ->
 def _part_groups(spark: SparkSession, sf_dir: str, catalogue: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     if catalogue == "group":
-        return (part.groupBy((F.col("p_partkey") % GROUPS).alias("mid"))
+        return (part.groupBy(F.expr(f"p_partkey div {GROUP_SIZE}").alias("mid"))
                     .agg(F.min("p_type").alias("p_type"), F.min("p_brand").alias("p_brand"))
                     .withColumn("p_name", F.concat(F.lit("Part "), F.col("mid").cast("string"))))
     return part.withColumnRenamed("p_partkey", "mid")
@@ -170,7 +172,8 @@ def dist_report(spark: SparkSession, sf_dir: str, catalogue: str = "part",
     if catalogue == "group":
         p = _part_groups(spark, sf_dir, catalogue)
         mid = F.col("mid")
-        facings = (F.lit(1) + mid % 5).cast("double")
+        wide = F.when(mid % WIDE_EVERY == WIDE_AT, WIDE_FACINGS).otherwise(0)
+        facings = (F.lit(1) + mid % 5 + wide).cast("double")
         capacity = (F.lit(1) + mid % 50).cast("double")
         name = F.concat(mid.cast("string"), F.lit(" "), F.col("p_name"))
     else:

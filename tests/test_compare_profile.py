@@ -53,7 +53,24 @@ def test_profile_against_brute_force(spark):
         assert d[c]["std"] == pytest.approx(x.std(ddof=1))
         assert (d[c]["min"], d[c]["max"]) == (x.min(), x.max())
         for p, col in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-            # exact below `accuracy` rows: smallest value with at least p of the rows at or below it
-            assert q[c][col] == x[int(np.ceil(p * len(x))) - 1]
+            assert q[c][col] == pytest.approx(np.quantile(x, p))
     h = profile.histogram(df, "Price", 10).collect()
     assert sum(r["n"] for r in h) == 500 and max(r["bin"] for r in h) == 10
+
+
+def test_quartiles_of_a_group_beyond_any_sketch(spark):
+    """40,000 distinct values and a group without values."""
+    from pyspark.sql import functions as F
+    df = spark.range(0, 40000).select(F.lit("big").alias("k"), (F.col("id") * 1.5).alias("Price")).unionByName(
+        spark.createDataFrame([("none", None)], "k string, Price double"))
+    q = {r["k"]: r for r in profile.quartiles(df, ["Price"], by=["k"]).collect()}
+    x = np.arange(40000) * 1.5
+    assert [q["big"][c] for c in ("p25", "p50", "p75")] == pytest.approx(list(np.quantile(x, [.25, .5, .75])))
+    assert q["none"]["p50"] is None
+
+
+def test_two_ratios_for_one_material_are_refused(spark):
+    one = full(spark, [2])
+    risk = spark.createDataFrame([(2, 0.5), (2, 0.7)], "MatID int, StdQty_to_AvgQty double")
+    with pytest.raises(Exception, match="several ratios"):
+        cmp.persistent_items(one, one, risk, risk).collect()

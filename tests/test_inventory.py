@@ -226,3 +226,23 @@ def test_all_stores_in_one_job_equals_one_job_per_store(spark):
             part = finalize(whole.where(F.col("Store") == st).drop("Store"))
             single = finalize(single)
             assert part.exceptAll(single).count() == 0 and single.exceptAll(part).count() == 0
+
+
+def test_check_items_per_store(spark):
+    """An item sold in one store and not in another is reported for the
+    other; a report without stores is refused unless asked for."""
+    import pytest
+    mart = inv_mart_two_stores(spark)
+    rep = spark.createDataFrame([("1 A", 1, 1, 1.0, 5.0, "A")],
+                                "SKU string, MatID int, POGS int, Facings double, Capacity double, Classification string")
+    with pytest.raises(ValueError):
+        inv.check_items(mart, rep, ("Store",))
+    got = inv.check_items(mart, rep, ("Store",), every_store=True).collect()
+    assert [(r["Store"], r["MatID"], r["month"]) for r in got] == [("S2", 1, None)]
+
+
+def inv_mart_two_stores(spark):
+    return spark.createDataFrame(
+        [("S1", 1, 2000, 7, 1.0, "T", 5.0, 5.0, 2.0, 1.0), ("S2", 2, 2000, 7, 1.0, "T", 5.0, 5.0, 2.0, 1.0)],
+        "Store string, MatID int, year int, month int, Price double, SubCategory string, totalMonthlyNetSale double, "
+        "totalMonthlyGrossSale double, totalMonthlyQtySold double, SellMargin double")

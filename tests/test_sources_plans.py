@@ -83,9 +83,10 @@ def test_jobs_end_to_end(spark, tmp_path):
 
     # with clean-up (the default) the job leaves no intermediate behind
     from shelfsight.plans import execution
-    mark = len(execution.WRITTEN)
+    tables = os.path.join(execution.ensure_checkpoint_dir(spark).replace("file:", ""), "shelfsight-tables")
+    before = set(os.listdir(tables))
     run_inventory_job(spark, sales, dist, sub, ven, p, str(tmp_path / "inv2"))
-    assert len(execution.WRITTEN) == mark
+    assert set(os.listdir(tables)) == before
     back = spark.read.option("header", True).csv(str(tmp_path / "inv2" / "full_month")).collect()
     assert {r["MatID"] for r in back} == {"1"}
 
@@ -157,3 +158,24 @@ def test_command_line_inventory_all_stores(spark, tmp_path):
                  "--vendor", ven, "--start", "2019-04-01", "--out", out, "--all-stores"]) == 0
     full = spark.read.option("header", True).csv(f"{out}/full_month").collect()
     assert sorted({r["Store"] for r in full}) == ["NZDF.AKL108", "NZDF.AKL109"]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Extra and reordered columns do not shift values; a missing column and
+    a second file with another header are errors."""
+    from shelfsight.sources import readers
+    p = tmp_path / "sub"
+    p.mkdir()
+    (p / "a.csv").write_text("\ufeffregion,SubCategory,SKU\nnorth,Tea,NZDF1-A\n")
+    assert [tuple(r) for r in readers.read_subcategory(spark, str(p)).collect()] == [("NZDF1-A", "Tea")]
+    with pytest.raises(ValueError, match="Vendor"):
+        readers.read_vendor(spark, str(p))
+    (p / "b.csv").write_text("SKU,SubCategory,region\nNZDF2-B,Tea,north\n")
+    with pytest.raises(Exception):
+        readers.read_subcategory(spark, str(p)).collect()
+
+
+def test_csv_table_needs_a_schema(spark, tmp_path):
+    from shelfsight.sources import readers
+    with pytest.raises(ValueError):
+        readers.read_table(spark, str(tmp_path), "csv")
