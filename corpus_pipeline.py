@@ -25,10 +25,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet every rule. A row is judged by its own text."""
-    names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "text")
-    judged = quality.apply_rules(whole, carry=["row"])
-    return judged.where("kept").select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    return quality.good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ STOP_WORDS = (
     "al como con del el en es la las lo los no para por que se su un una y"
 ).split()
 
+# A filter on a column that is not deterministic is not pushed below the
+# projection that makes it: without it the optimizer would write out every
+# metric's expression again inside the filter, and again inside those.
+_STEP = "__metrics_step"
+
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -116,7 +121,7 @@ def metrics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("w"), F.col("n"), F.col("hashes")).cast("long").alias("n_repeat_words"),
-        "n_stop_words", F.col("n_upper").cast("long").alias("n_upper"), F.size("lines").cast("long").alias("n_lines"))
+        F.spark_partition_id().alias(_STEP), "n_stop_words", F.col("n_upper").cast("long").alias("n_upper"), F.size("lines").cast("long").alias("n_lines"))
 
 
 def apply_rules(docs: DataFrame, rules=RULES, carry: list[str] | None = None) -> DataFrame:
@@ -127,3 +132,11 @@ def apply_rules(docs: DataFrame, rules=RULES, carry: list[str] | None = None) ->
     broken = F.filter(F.array(*(F.when(r.broken(), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
     return m.select("*", base.alias("base_failed"), broken.alias("broken_rules")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+
+
+def good_documents(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``docs``, with their columns, that the rules keep."""
+    names = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "text")
+    judged = apply_rules(whole, rules, carry=["row"])
+    return judged.where(F.col("kept") & (F.col(_STEP) >= 0)).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
