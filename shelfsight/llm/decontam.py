@@ -266,8 +266,9 @@ def _combined(scans: list[DataFrame]) -> DataFrame:
         lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["end"]),
                             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
                                 F.element_at(a, -1)["start"].alias("start"),
-                                F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(a, F.array(x))))
+                                F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end")))
+                            .cast("array<struct<start:long,end:long>>")))
+        .otherwise(F.concat(a, F.array(x).cast("array<struct<start:long,end:long>>"))))
     return merged.select("doc_id", "n_words", joined.alias("spans"), "items",
                          F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 

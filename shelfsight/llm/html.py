@@ -12,9 +12,10 @@ Pass 1 decides a block from its surroundings and its text:
     sentence (stop words) or is a heading
   * long, or with enough stop words for its length: good
   * otherwise undecided (short or without stop words)
-Pass 2 gives an undecided block the label of its nearest decided neighbour in
-the same container (a tie goes to good); where a container has no decided
-block, blocks of an article are good and others bad.
+Pass 2 gives an undecided block the label of its nearest decided neighbour
+among the blocks that pass 1 judged by their text, in the same article or
+outside of any (a tie goes to good); without such a neighbour it is good:
+nothing speaks against it.
 
 Each page is one row and is read on its own, so nothing is shuffled.
 
@@ -235,23 +236,25 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the main text, in page order."""
     has_article = any(b.article and not b.boiler for b in blocks)
     label = [_first_pass(b, has_article) for b in blocks]
+    # surroundings decide a block but say nothing about its neighbours
+    votes = [x is not None and not b.boiler and bool(b.article) == has_article for x, b in zip(label, blocks, strict=True)]
     n = len(blocks)
     before, after, seen = [None] * n, [None] * n, {}
     for i in range(n):
         before[i] = seen.get(blocks[i].article)
-        if label[i] is not None:
+        if votes[i]:
             seen[blocks[i].article] = i
     seen = {}
     for i in reversed(range(n)):
         after[i] = seen.get(blocks[i].article)
-        if label[i] is not None:
+        if votes[i]:
             seen[blocks[i].article] = i
     out = []
     for i, b in enumerate(blocks):
         keep = label[i]
         if keep is None:
             near = [(abs(j - i), not label[j]) for j in (before[i], after[i]) if j is not None]
-            keep = not min(near)[1] if near else bool(b.article)
+            keep = not min(near)[1] if near else True
         if keep:
             out.append(b)
     return out

@@ -95,7 +95,8 @@ EQUIVALENTS = (
     (r"\bcopyright(?: copyright)+\b", "copyright"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STATEMENT = "^(?:copyright( |$)|all rights reserved$)"
+# Lines that only state a copyright (not those that go on about notices).
+STATEMENT = "^(?:copyright(?! (?:notices?|holders?|owners?|laws?)\\b)(?: |$)|all rights reserved$)"
 
 
 def canonical(line: Column) -> Column:

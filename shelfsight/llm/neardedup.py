@@ -260,6 +260,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
         "copies > 1 OR label IS NOT NULL").select("f1", "f2", F.coalesce("label", "id").alias("component"))
     return (sig.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.least(F.coalesce("component", "doc_id"), "doc_id"))
+                    F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.least(F.coalesce("component", "doc_id"), "doc_id"))
                      .otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

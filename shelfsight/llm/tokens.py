@@ -237,9 +237,12 @@ def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, per_shar
     """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids_sha256, ids)
     of the records from ``from_slot`` on; earlier shards are not opened."""
     size = stride(seq_len)
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
-             .schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
-             .where(F.col("shard") >= from_slot // per_shard).select("shard", "content"))
+    schema = ("slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens long, ids_sha256 string, "
+              "ids array<int>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:  # no shards: there were no sequences
+        return spark.createDataFrame([], schema)
+    files = files.where(F.col("shard") >= from_slot // per_shard).select(F.col("shard").cast("long"), "content")
 
     def run(it):
         kind = np.dtype([("doc", "<i8"), ("no", "<i4"), ("used", "<i4"), ("ids", "<u2", (seq_len,)), ("sep", "u1")])
@@ -261,5 +264,4 @@ def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, per_shar
                          pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                          pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))],
                         ["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "ids_sha256", "ids"])
-    return files.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no long, "
-                                 "n_tokens long, ids_sha256 string, ids array<int>")
+    return files.mapInArrow(run, schema)

@@ -102,7 +102,7 @@ def test_substrings(spark, docs, rows):
 
 
 def test_licenses(spark):
-    mit = dict((n, t) for n, _, t in licenses.LICENSES if len(t) > 800)["MIT"]
+    mit = next(t for n, _, t in licenses.LICENSES if n == "MIT" and t.startswith("Permission"))
     texts = ["x\nReleased under the MIT Licence!\ny", "MIT License\n\nCopyright (c) 2020 A B\n\n" + mit.upper(), "MIT", None, "",
              "Licensed under CC BY-NC 4.0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("digest", F.lit(1))
@@ -129,7 +129,7 @@ def test_template_language():
     t = Template('{% set a = "x" + "y" %}{% for m in ms %}{% if loop.first and not loop.last %}{{ a }}{% elif 1 == 2 %}no'
                  '{% else %}-{{ m["k"] | upper }}{% endif %}{%- if m.k in "ab" %} in{% endif %}{% endfor %}')
     assert "".join(p for p, _ in t.render(ms=[{"k": "a"}, {"k": "c"}])) == "xy in-C"
-    assert "no" not in repr(t.tree)  # the constant branch is folded away
+    assert "'no'" not in repr(t.tree)  # the constant branch is folded away
     for bad in ("{% for x %}", "{% if a %}", "{{ a.b( }}", "{% include x %}", "{{ a | nope }}"):
         with pytest.raises(TemplateError):
             Template(bad)
