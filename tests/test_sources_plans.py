@@ -4,7 +4,7 @@ import pytest
 
 from shelfsight.plans import params
 from shelfsight.plans.jobs import run_inventory_job, run_oos_job, run_rank_job
-from shelfsight.sources import readers, writers
+from shelfsight.sources import readers, schemas, writers
 
 
 def write(path, text):
@@ -140,7 +140,7 @@ def test_report_subset_and_reread(spark, tmp_path):
     writers.write_parquet(sub.withColumnRenamed("Mat ID", "MatID").withColumnRenamed("# POGs", "POGS"), out)
     back = readers.read_table(spark, out).collect()[0]
     assert (back["MatID"], back["Name"], back["Capacity"]) == ("1", "Tea", "12")
-    assert readers.read_table(spark, p, fmt="csv").count() == 1
+    assert readers.read_table(spark, p, fmt="csv", schema=schemas.DIST_REPORT_SCHEMA).count() == 1
 
 
 def test_command_line_inventory_all_stores(spark, tmp_path):
