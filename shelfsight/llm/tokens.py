@@ -35,6 +35,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +89,17 @@ class Tokens:
 
     A space before a non-space starts a new piece of the cutting pattern, so
     a text is encoded word by word. The words of a slice are told apart by
-    64-bit hashes, each distinct word is encoded once (a bounded table keeps
-    words over slices) and the ids are laid out by index arithmetic. Texts in
-    which spaces stand side by side or at the end are encoded as a whole:
-    there a cut could fall inside a piece."""
+    64-bit hashes and each distinct word is encoded once: the new ones of a
+    slice together, as one text, whose ids are cut apart where an id begins
+    with a space. A bounded sorted table keeps words over slices, and the ids
+    of a document are laid out by index arithmetic. Texts in which white space
+    meets a space, or that end with one, are encoded as a whole: there a cut
+    could fall inside a piece."""
 
     _FIRST = np.uint64(0x2545F4914F6CDD1D)  # marks a word without a space before it
+    # What may end or begin with white space: ASCII, or a byte of a longer character.
+    _MAY_BE_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
+    _MAY_END_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0xC0)])
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
@@ -102,55 +108,93 @@ class Tokens:
         if self.end >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._piece = self.model._encode_single_piece
-        self.known: dict[int, bytes] = {}  # ids as 16-bit numbers
-
-    def whole(self, text: bytes) -> list[int]:
-        return self.model.encode_ordinary(text.decode("utf-8", "replace"))
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word with its leading space. Letters with sentence marks
-        behind them are two pieces; anything else is cut by the pattern."""
-        letters = word.rstrip(".,;:!?")
-        if letters.removeprefix(" ").isalpha():
-            out = self._piece(letters.encode())
-            return out + self._piece(word[len(letters):].encode()) if len(letters) < len(word) else out
-        return self.model.encode_ordinary(word)
-
-    def _distinct(self, buf, hashes, starts, ends, first):
-        """Ids of the distinct words, and which of them each word is."""
-        known = self.known
-        if len(known) > MAX_KNOWN:
-            known.clear()
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        rows = []
-        for h, i in zip(distinct.tolist(), at.tolist(), strict=True):
-            ids = known.get(h)
-            if ids is None:
-                word = buf[starts[i]:ends[i]].tobytes().decode("utf-8", "replace")
-                ids = known[h] = np.array(self._word(word if first[i] else " " + word), np.uint16).tobytes()
-            rows.append(ids)
-        return rows, which
+        self._opens = np.zeros(self.end, bool)  # ids that begin with a space
+        self._opens[[r for w, r in ranks.items() if w.startswith(b" ")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """The table of known words: sorted hashes, where the ids of each
+        begin in ``flat``, and how many they are."""
+        self.known, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.model.encode_ordinary(text.decode("utf-8", "replace")), np.uint16)
+
+    def _encode(self, words: list[bytes], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their number per word. Words marked ``alone``
+        are texts of their own, each other one stands after a space."""
+        size = np.zeros(len(words), np.int64)
+        together = b"".join(b" " + w for w, a in zip(words, alone.tolist(), strict=True) if not a)
+        joint = self.whole(together)
+        at = np.flatnonzero(self._opens[joint])
+        if len(at) != len(words) - alone.sum():
+            raise ValueError("the vocabulary does not begin a piece at every space")
+        size[~alone] = np.diff(np.append(at, len(joint)))
+        singles = [self.whole(words[i]) for i in np.flatnonzero(alone)]
+        size[alone] = list(map(len, singles))
+        flat = np.empty(size.sum(), np.uint16)
+        single = np.repeat(alone, size)
+        flat[~single] = joint
+        if singles:
+            flat[single] = np.concatenate(singles)
+        return flat, size
+
+    def _learn(self, buf, hashes, starts, ends, first) -> None:
+        """Add words that are not in the table."""
+        odd = ~first & self._MAY_BE_SPACE[buf[starts]]
+        raw = buf.tobytes()
+        words = [(b" " if o else b"") + raw[a:b] for a, b, o in
+                 zip(starts.tolist(), ends.tolist(), odd.tolist(), strict=True)]
+        flat, size = self._encode(words, first | odd)
+        begin = np.cumsum(size) - size + len(self.flat)
+        known = np.append(self.known, hashes)
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.begin, self.size = np.append(self.begin, begin)[order], np.append(self.size, size)[order]
+        self.flat = np.append(self.flat, flat)
+
+    def _places(self, buf, hashes, starts, ends, first):
+        """Where the ids of every word begin in ``flat``, and their number."""
+        which, distinct = pd.factorize(hashes)
+        if len(self.known) > MAX_KNOWN:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        inside = at < len(self.known)
+        inside[inside] = self.known[at[inside]] == distinct[inside]
+        if not inside.all():
+            seen = np.empty(len(distinct), np.int64)
+            seen[which[::-1]] = np.arange(len(which))[::-1]
+            new = seen[~inside]
+            self._learn(buf, distinct[~inside], starts[new], ends[new], first[new])
+            at = np.searchsorted(self.known, distinct)
+        return self.begin[at][which], self.size[at][which]
+
+    def _uncut(self, buf, offsets) -> list[int]:
+        """Texts that cannot be taken word by word."""
+        blank = np.flatnonzero(buf == 0x20)
+        before, after = buf[np.maximum(blank - 1, 0)], buf[np.minimum(blank + 1, len(buf) - 1)]
+        doc = np.searchsorted(offsets, blank, side="right") - 1
+        last = blank + 1 == offsets[doc + 1]
+        odd = (after == 0x20) | (self._MAY_END_SPACE[before] & self._MAY_BE_SPACE[after])
+        return np.unique(doc[last | odd]).tolist()
 
     def slice(self, column: pa.Array, count_only: bool = False):
         """Per document of a slice its ids and the end token, or their number."""
         buf, offsets = wh.buffers(column)
         hashes, starts, ends, bounds = wh.hash_words(buf, offsets, lower=False, gap=wh.BLANK)
-        first = np.isin(starts, offsets)
-        rows, which = self._distinct(buf, hashes ^ np.where(first, self._FIRST, np.uint64(0)), starts, ends, first)
-        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 2
-        word_size = size[which]
-        word_end = np.concatenate([[0], np.cumsum(word_size)])
-        texts = column.to_pylist()
-        whole = {i: self.whole(t) for i, t in enumerate(texts) if b"  " in t or t.endswith(b" ")}
+        first = np.zeros(len(buf) + 1, bool)
+        first[offsets] = True
+        first = first[starts]
+        begin, size = self._places(buf, hashes ^ np.where(first, self._FIRST, np.uint64(0)), starts, ends, first)
+        word_end = np.concatenate([[0], np.cumsum(size)])
+        whole = {i: self.whole(column[i].as_py()) for i in self._uncut(buf, offsets)}
         if count_only:
             n = word_end[bounds[1:]] - word_end[bounds[:-1]]
             return [len(whole[i]) + 1 if i in whole else int(x) + 1 for i, x in enumerate(n)]
-        flat = np.frombuffer(b"".join(rows), np.uint16)
-        begin = (np.cumsum(size) - size)[which] - word_end[:-1]
-        ids = flat[np.arange(word_end[-1]) + np.repeat(begin, word_size)]
+        ids = self.flat[np.arange(word_end[-1]) + np.repeat(begin - word_end[:-1], size)]
         end = np.uint16(self.end)
-        return [np.append(np.array(whole[i], np.uint16) if i in whole else ids[word_end[a]:word_end[b]], end)
+        return [np.append(whole[i] if i in whole else ids[word_end[a]:word_end[b]], end)
                 for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
 
 
