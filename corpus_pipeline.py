@@ -17,10 +17,14 @@ from shelfsight.llm.common import written
 from shelfsight.plans.execution import ensure_checkpoint_dir
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids of ``dropped`` (a NULL doc_id stays)."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+# The number of a row in the written input of a stage: rows are judged one by
+# one, whatever their doc_ids.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, written, so that every reader sees the same numbers."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +33,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every near-duplicate group
-    (once, if its row repeats)."""
-    judged = neardedup.near_duplicates(docs)
-    return _without(docs, judged.where(~F.col("kept")))
+    """One row of every near-duplicate group: that with the smallest doc_id (a
+    NULL one last), and of its repeats the first. Rows are grouped by their
+    texts alone; a text without words is in a group with its id's like rows
+    only, and by itself without an id."""
+    rows = _numbered(docs)
+    judged = neardedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    group = judged.select(F.col("doc_id").alias(ROW), (F.col("n_shingles") > 0).alias("words"), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").alias("id"))
+    group = group.join(ids, ROW).select(
+        ROW, "id", "words", F.when(F.col("words") | F.col("id").isNull(), F.col("component_id")).otherwise(F.col("id")).alias("group"),
+        (~F.col("words") & F.col("id").isNull()).alias("alone"))
+    first = group.groupBy("group", "words", "alone").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    judged = decontam.find_contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    return _without(docs, judged.where("contaminated"))
+    """Rows that are not contaminated by the benchmark, each judged by its
+    own text."""
+    rows = _numbered(docs)
+    judged = decontam.find_contamination(rows.select(F.col(ROW).alias("doc_id"), "text"),
+                                         queries.table(spark, sf_dir, "benchmark"))
+    return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(
+        *(f"`{c}`" for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
