@@ -11,15 +11,13 @@ Weak candidates are parts that mean little alone:
 Their roles, with those of the base findings (access: identifier; assign and
 hex: secret), decide: a weak candidate is reported only when a part of a
 complementary role co-occurs in the same scope (a block without an empty
-line) at a distance of at most ``REACH`` characters. Complementary: identifier
-with secret, secret with identifier or endpoint, endpoint with secret.
+line, however long). Complementary: identifier with secret, secret with
+identifier or endpoint, endpoint with secret.
 
-Linking is an interval join: the parts of one document and scope are put into
-cells of REACH characters; a cell is reduced to the first and last position
-of each role, and a candidate meets its own and the two neighbouring cells by
-an equality join. So a candidate meets at most three rows however many parts
-a document holds. Everything is DataFrame expressions; only documents with
-candidates leave the scan, as positions without text.
+Linking is a join by scope: the parts of one document and scope are reduced to
+the roles the scope holds, and a candidate meets that one row however many
+parts a document holds. Everything is DataFrame expressions; only documents
+with candidates leave the scan, as positions without text.
 
 Spans are code points, end exclusive, over the whole match.
 
@@ -36,7 +34,6 @@ from pyspark.sql import Window as W
 
 from shelfsight.llm.common import text_column, written
 
-REACH = 200
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret",
          "login": "identifier", "short": "secret", "endpoint": "endpoint"}
 KINDS = ("assign", "access", "hex", "login", "short", "endpoint")  # also the order of ties
@@ -47,7 +44,7 @@ _VALUE = r"[A-Za-z0-9+/_.=-]+"
 ASSIGN = rf"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?({_VALUE})"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"       # 18 or more in all
 HEX = r"[0-9a-f]{16,}"
-LOGIN = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,64})"""
+LOGIN = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})"""
 ENDPOINT = r"""(?i:https?://[a-z0-9][a-z0-9.-]+(?::[0-9]+)?(?:/[^\s"'<>]*)?|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]{2,}(?::[0-9]+)?)"""
 BREAK = r"\n[\x20\t\r]*\n"
 
@@ -87,40 +84,35 @@ def _placed(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "kind", "value", (end - F.col("size")).alias("start"), end.alias("end"))
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
+def find_secrets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parts, linked): every part with its place, and the weak candidates
-    among them that a complementary part in reach makes reportable."""
+    among them that a complementary part of their scope makes reportable."""
     placed = _placed(docs)
     kind = (F.when(F.col("kind") != "assign", F.col("kind"))
              .when(F.col("value") >= 12, "assign").when(F.col("value") >= 6, "short"))
     scope = F.sum((F.col("kind") == "break").cast("int")).over(
         W.partitionBy("row").orderBy("start", "end").rowsBetween(W.unboundedPreceding, W.currentRow))
-    parts = placed.select("row", "doc_id", kind.alias("kind"), "start", "end", scope.alias("scope"),
-                          F.expr(f"start div {reach}").alias("cell"))
+    parts = placed.select("row", "doc_id", kind.alias("kind"), "start", "end", scope.alias("scope"))
     # one row per document stays, so that documents without findings are returned
     parts = parts.where("kind IS NULL OR kind <> 'break'")
     role = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[F.col("kind")]
     # positions only (no text): written once, read by both sides of the join
     parts = written(parts.withColumn("role", role))
-    cells = parts.where("role IS NOT NULL").groupBy("row", "scope", "cell", "role").agg(
-        F.min("start").alias("first"), F.max("start").alias("last"))
+    held = parts.where("role IS NOT NULL").groupBy("row", "scope").agg(
+        *(F.max(F.col("role") == r).alias(r) for r in NEEDS))
     weak = parts.where(F.col("kind").isin(*(k for k in KINDS if k not in BASE_KINDS)))
-    near = weak.select("row", "scope", "kind", "start", "role", F.explode(F.array(
-        F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     fits = F.lit(False)
     for r, others in NEEDS.items():
-        fits = fits | ((F.col("near.role") == r) & F.col("cells.role").isin(*others))
-    linked = near.alias("near").join(
-        cells.alias("cells"), [F.col(f"near.{c}") == F.col(f"cells.{c}") for c in ("row", "scope", "cell")]
-    ).where(fits & (F.col("first") <= F.col("near.start") + reach) & (F.col("last") >= F.col("near.start") - reach)
-            ).select("near.row", "near.kind", "near.start").distinct()
+        for o in others:
+            fits = fits | ((F.col("role") == r) & F.col(o))
+    linked = weak.join(held, ["row", "scope"]).where(fits).select("row", "kind", "start")
     return parts, linked
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id and ``spans``, an array of (start, order,
     kind, end) sorted by start and kind order."""
-    parts, linked = find_secrets(docs, reach)
+    parts, linked = find_secrets(docs)
     reported = parts.join(linked.withColumn("linked", F.lit(True)), ["row", "kind", "start"], "left")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     keep = F.col("kind").isin(*BASE_KINDS) | F.col("linked")
