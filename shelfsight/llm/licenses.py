@@ -6,11 +6,15 @@ space, equivalent spellings made one, and (for whole texts) lines that only
 state a copyright left out. The digest of that form is looked up by a hash
 join with the digests of the known texts, brought to the same form.
 
-Units of a document are its whole text and each of its lines, so a notice
-line in a longer document is found as well as a file that is a licence.
+Units of a document are its whole text, each of its lines and each block of
+several lines between empty ones (a line without a word is empty), so a notice
+in a longer document is found, reflowed or not, as well as a file that is a
+licence. A full licence text is also found inside a longer document: the
+document's canonical form is searched for those of the full texts.
 
-The known texts are a fixed list of this module (a few dozen rows): the only
-broadcast side. All work is DataFrame expressions.
+The known texts are a fixed list (a few dozen rows, the long ones in
+``license_texts``): the only broadcast side. All work is DataFrame
+expressions. Of CC-BY-NC-4.0 the list has notices only.
 
 Defined results for odd input: NULL text is empty and matches nothing; rows
 that repeat a doc_id (or share a NULL one) each show what any of them matched;
@@ -19,6 +23,8 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +59,67 @@ SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
 RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
 USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0}Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+
+{1}Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+{2}THIS SOFTWARE IS PROVIDED BY THE {3} AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE {4} OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_NAMES = """{0}Neither the name of {1} nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+
+"""
+# Who disclaims: in the first and in the second place.
+_BSD_PARTIES = (("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT OWNER"),
+                ("COPYRIGHT HOLDER", "COPYRIGHT HOLDER"), ("REGENTS", "REGENTS"))
+
+
+def _bsd():
+    for one, two, three in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        for a, b in _BSD_PARTIES:
+            for title in ("", "BSD 2-Clause License\n\n"):
+                yield "BSD-2-Clause", "permissive", title + _BSD.format(one, two, "", a, b)
+            for name in ("the copyright holder", "the copyright holders", "the University"):
+                for title in ("", "BSD 3-Clause License\n\n"):
+                    yield ("BSD-3-Clause", "permissive",
+                           title + _BSD.format(one, two, _BSD_NAMES.format(three, name), a, b))
+
+
+def _read(name: str) -> str:
+    return files(__package__).joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _long():
+    """The texts of ``license_texts``, whole and without what stands around
+    their terms (instructions for use, a notice about the publisher)."""
+    for name, kind in (("Apache-2.0", "permissive"), ("GPL-2.0", "copyleft"), ("GPL-3.0", "copyleft"),
+                       ("LGPL-3.0", "copyleft"), ("MPL-2.0", "copyleft"), ("CC0-1.0", "public-domain"),
+                       ("CC-BY-4.0", "attribution"), ("CC-BY-SA-4.0", "copyleft")):
+        text, end = _read(name), "END OF TERMS AND CONDITIONS"
+        yield name, kind, text
+        if end in text:
+            yield name, kind, text[:text.index(end)]
+            yield name, kind, text[:text.index(end)] + end
+        if name.startswith("CC-"):
+            yield name, kind, text.split("=" * 71)[2]
+
+
+FULL_TEXTS = (("MIT", "permissive", _MIT), ("ISC", "permissive", _ISC), *_bsd(), *_long())
 LICENSES = (
     ("MIT", "permissive", _MIT),
     ("MIT", "permissive", "MIT License\n\n" + _MIT),
@@ -80,6 +147,7 @@ LICENSES = (
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "public-domain", "Licensed under CC0 1.0."),
     ("proprietary", "restricted", "All rights reserved."),
+    *FULL_TEXTS[2:],
 )
 
 # Fixed values: (pattern, replacement) applied in this order to lower-cased lines.
@@ -111,33 +179,57 @@ def _whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: ~x.rlike(STATEMENT)), " ")
 
 
-def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
-    """digest, license, category of the fixed list (bounded by its length).
-    Several names for one digest keep the first in name order."""
+def _known(spark: SparkSession, licenses) -> DataFrame:
+    """license, category and canonical form of a fixed list."""
     rows = spark.createDataFrame([(n, c, t) for n, c, t in licenses], "license string, category string, t string")
     rows = rows.select("license", "category", F.filter(
         F.transform(F.split("t", "\n"), canonical), lambda x: x != "").alias("lines"))
     # a text that is a copyright statement throughout stays as it is
     form = F.when(_whole(F.col("lines")) == "", F.array_join("lines", " ")).otherwise(_whole(F.col("lines")))
-    return rows.select(F.sha2(form, 256).alias("digest"), F.struct("license", "category").alias("l")).groupBy(
-        "digest").agg(F.min("l").alias("l")).select("digest", "l.license", "l.category")
+    return rows.select("license", "category", form.alias("form"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, is_whole, digest) of the whole text and of every line."""
-    lines = docs.select("doc_id", F.filter(
-        F.transform(F.split(text_column(), "\n"), canonical), lambda x: x != "").alias("lines"))
-    each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("is_whole"), F.sha2(x, 256).alias("digest")))
-    whole = F.array(F.struct(F.lit(True).alias("is_whole"), F.sha2(_whole(F.col("lines")), 256).alias("digest")))
-    return lines.select("doc_id", F.explode(F.concat(whole, each)).alias("u")).select("doc_id", "u.*")
+def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
+    """digest, license, category of the fixed list (bounded by its length).
+    Several names for one digest keep the first in name order."""
+    return _known(spark, licenses).select(F.sha2("form", 256).alias("digest"), F.struct("license", "category").alias("l")).groupBy(
+        "digest").agg(F.min("l").alias("l")).select("digest", "l.license", "l.category")
 
 
-def scan_licenses(docs: DataFrame, licenses=LICENSES) -> DataFrame:
+def full_forms(spark: SparkSession, texts=FULL_TEXTS) -> list[str]:
+    """Distinct canonical forms of the full texts of the fixed list."""
+    return sorted({r.form for r in _known(spark, texts).select("form").collect()})
+
+
+def units(docs: DataFrame, full: list[str]) -> DataFrame:
+    """(doc_id, is_whole, digest) of the whole text, of every line, of every
+    block of several lines, and of every ``full`` form inside the text; a
+    block or form that is all of the text is not given twice."""
+    def unit(x, whole=False):
+        return F.struct(F.lit(whole).alias("is_whole"), F.sha2(x, 256).alias("digest"))
+    every = docs.select("doc_id", F.transform(F.split(text_column(), "\n"), canonical).alias("every"))
+    step = every.select("doc_id", F.filter("every", lambda x: x != "").alias("lines"),
+                        F.filter("every", lambda x: ~x.rlike(STATEMENT)).alias("own"))
+    step = step.select("doc_id", "lines", F.array_join(F.filter("own", lambda x: x != ""), " ").alias("form"),
+                       F.split(F.array_join("own", "\n"), "\n\n+").alias("blocks"))
+    blocks = F.transform(F.filter(F.transform("blocks", lambda b: F.btrim(b, F.lit("\n"))), lambda b: F.contains(b, F.lit("\n"))),
+                         lambda b: F.translate(b, "\n", " "))
+    step = step.select("doc_id", "lines", "form", F.concat(F.lit(" "), "form", F.lit(" ")).alias("padded"),
+                       F.filter(blocks, lambda b: b != F.col("form")).alias("blocks"))
+    inside = F.filter(F.array(*(F.when(F.contains("padded", F.lit(f" {t} ")) & (F.col("form") != t), F.lit(t))
+                                for t in full)).cast("array<string>"), lambda x: x.isNotNull())
+    found = F.concat(F.array(unit(F.col("form"), True)), F.transform("lines", lambda x: unit(x)),
+                     F.transform(F.array_distinct(F.concat("blocks", inside)), lambda x: unit(x)))
+    return step.select("doc_id", F.explode(found).alias("u")).select("doc_id", "u.*")
+
+
+def scan_licenses(docs: DataFrame, licenses=LICENSES, full=FULL_TEXTS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_units (matching units), licenses
     (sorted names, comma-joined), categories (likewise), is_license (the
-    whole text is a known text)."""
+    whole text is a known text). ``full`` are those of ``licenses`` that are
+    also looked for inside a text."""
     known = known_digests(docs.sparkSession, licenses)
-    hits = units(docs).join(F.broadcast(known), "digest")
+    hits = units(docs, full_forms(docs.sparkSession, full)).join(F.broadcast(known), "digest")
     found = hits.groupBy(F.col("doc_id").alias("id")).agg(
         F.count("*").alias("n_units"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
