@@ -6,10 +6,14 @@ decoded once). Scripts, styles, comments, markup and the head are left out.
 
 Pass 1 decides a block from its surroundings and its text:
   * inside navigation, page headers, footers, sidebars, adverts, notices,
-    forms or reader comments (by element, role or class/id word): bad
+    forms or reader comments (by element, role or class/id word): bad. A form
+    or class/id word may be that of a wrapper of the page ("sidebar-right"):
+    on a page without an article outside of such ones, it does not count if it
+    holds an article (or an element with an article's class/id word) or more
+    than half of the text, unless the word names comments, adverts and the like
   * outside the article element, on a page that has one: bad
-  * links hold more than half of its characters: bad, unless it reads like a
-    sentence (stop words) or is a heading
+  * outside of an article, links hold more than half of its characters: bad,
+    unless it reads like a sentence (stop words) or is a heading
   * long, or with enough stop words for its length: good
   * otherwise undecided (short or without stop words)
 Pass 2 gives an undecided block the label of its nearest decided neighbour
@@ -51,7 +55,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
          "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary",
          "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "tr", "ul", "button"} | SKIPPED
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BOILER_TAGS = {"nav", "aside", "footer", "form", "button", "select", "textarea", "dialog", "menu", "fieldset"}
+BOILER_TAGS = {"nav", "aside", "footer", "button", "select", "textarea", "dialog", "menu", "fieldset"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert",
                 "menu", "menubar", "toolbar", "form"}
 BOILER_WORDS = {
@@ -62,6 +66,12 @@ BOILER_WORDS = {
     "register", "related", "recommended", "recommendations", "share", "sharing", "social", "comment", "comments",
     "reply", "replies", "disqus", "respond", "footer", "masthead", "toolbar", "pager", "pagination", "widget",
     "widgets", "search", "copyright", "disclaimer"}
+# Of these, the ones that name what a container holds, never a page's layout.
+SIDE_WORDS = BOILER_WORDS & {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsbygoogle", "sponsor",
+    "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification",
+    "newsletter", "subscribe", "subscription", "related", "recommended", "recommendations", "share", "sharing",
+    "social", "comment", "comments", "reply", "replies", "disqus", "respond", "copyright", "disclaimer"}
 ARTICLE_WORDS = {"article", "post", "entry", "story"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -82,6 +92,7 @@ class Block:
     heading: bool
     boiler: bool
     article: int  # number of the article it stands in, 0 for none
+    wraps: tuple[int, ...] = ()  # numbers of the forms and class/id words it stands in
 
 
 @dataclass
@@ -91,6 +102,7 @@ class _Open:
     skipped: bool
     article: int
     link: bool = False
+    wraps: tuple[int, ...] = ()
 
 
 @dataclass
@@ -101,6 +113,9 @@ class _Page:
     links: int = 0
     heading: bool = False
     n_articles: int = 0
+    layout: list[bool] = field(default_factory=list)  # of a wrapper: may be one of the page
+    holds: set[int] = field(default_factory=set)      # wrappers around an article
+    free: bool = False                                # an article outside of wrappers
     count: dict[str, int] = field(default_factory=dict)
 
     def add(self, text: str) -> None:
@@ -116,7 +131,7 @@ class _Page:
         text = " ".join("".join(self.text).split())
         if text:
             top = self.stack[-1]
-            self.blocks.append(Block(text, self.links, self.heading or top.tag in HEADINGS, top.boiler, top.article))
+            self.blocks.append(Block(text, self.links, self.heading or top.tag in HEADINGS, top.boiler, top.article, top.wraps))
         self.text, self.links, self.heading = [], 0, False
 
     def open(self, tag: str, attrs: str) -> None:
@@ -130,11 +145,11 @@ class _Page:
         if tag in VOID:
             return
         top = self.stack[-1]
-        boiler, article = self._meaning(tag, attrs, top)
-        self.stack.append(_Open(tag, boiler, top.skipped or tag in SKIPPED, article, top.link or tag == "a"))
+        boiler, article, wraps = self._meaning(tag, attrs, top)
+        self.stack.append(_Open(tag, boiler, top.skipped or tag in SKIPPED, article, top.link or tag == "a", wraps))
         self.count[tag] = self.count.get(tag, 0) + 1
 
-    def _meaning(self, tag: str, attrs: str, top: _Open) -> tuple[bool, int]:
+    def _meaning(self, tag: str, attrs: str, top: _Open) -> tuple[bool, int, tuple[int, ...]]:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
         words = [w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")]
         role = found.get("role", "").lower()
@@ -142,14 +157,39 @@ class _Page:
         if found:
             boiler = boiler or found.get("aria-hidden", "").lower() == "true" or bool(
                 re.search(r"display\s*:\s*none", found.get("style", "").lower()))
+        named = set()
         if words and tag not in ("html", "body", "main") and not {"has", "with", "no", "without"} & set(words):
-            boiler = boiler or bool(BOILER_WORDS & set(words)) or "header" in words and not top.article
-        article = top.article
-        if not boiler and not article and (tag in ("article", "main") or role in ("main", "article")
-                                           or found.get("itemprop") == "articleBody"):
+            named = BOILER_WORDS & set(words) | ({"header"} & set(words) if not top.article else set())
+        article, wraps = top.article, top.wraps
+        if named or tag == "form":
+            wraps = (*wraps, len(self.layout))
+            # what stands inside an article is never a wrapper of the page
+            self.layout.append(not top.article and not SIDE_WORDS & named)
+        is_article = (tag in ("article", "main") or role in ("main", "article")
+                      or found.get("itemprop") == "articleBody")
+        if not boiler and not article and (is_article or not named and ARTICLE_WORDS & set(words)):
+            if wraps:
+                self.holds.update(wraps)
+            else:
+                self.free = True
+        if not boiler and not article and is_article:
             self.n_articles += 1
             article = self.n_articles
-        return boiler, article
+        return boiler, article, wraps
+
+    def finish(self) -> list[Block]:
+        """The blocks; those in a wrapper that is not the page's are boiler."""
+        self.flush()
+        rest = [b for b in self.blocks if not b.boiler]
+        size = [0] * len(self.layout)
+        for b in rest:
+            for w in b.wraps:
+                size[w] += len(b.text)
+        half = sum(len(b.text) for b in rest) / 2
+        wide = {w for w, ok in enumerate(self.layout) if ok and not self.free and (w in self.holds or size[w] > half)}
+        for b in rest:
+            b.boiler = not wide.issuperset(b.wraps)
+        return self.blocks
 
     def _close_near(self, tag: str) -> None:
         """Close an open ``tag`` unless a container stands in between."""
@@ -212,8 +252,7 @@ def blocks_of(html: str) -> list[Block]:
             if tag in RAW and not t[3].endswith("/"):
                 end = re.compile(rf"</{tag}\b", re.I).search(html, at)
                 at = n if not end else end.start()
-    page.flush()
-    return page.blocks
+    return page.finish()
 
 
 def _stop_share(text: str) -> float:
@@ -225,7 +264,7 @@ def _first_pass(b: Block, has_article: bool) -> bool | None:
     if b.boiler or has_article and not b.article:
         return False
     reads = _stop_share(b.text) >= STOP_SHARE
-    if b.link_chars > LINK_SHARE * len(b.text.replace(" ", "")):
+    if not b.article and b.link_chars > LINK_SHARE * len(b.text.replace(" ", "")):
         return None if b.heading or reads and len(b.text) >= LONG_CHARS else False
     if reads and len(b.text) >= LONG_CHARS:
         return True
