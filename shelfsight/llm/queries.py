@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import (chat, decontam, html, licenses, mixing, neardedup, quality, secrets, substring,
+from shelfsight.llm import (chat, decontam, html, licenses, mixing, neardedup, quality, repair, secrets, substring,
                             tokens)
 from shelfsight.plans.execution import ensure_checkpoint_dir
 
@@ -98,6 +98,12 @@ def op10_mix(spark, sf_dir):
                       mixing.n_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repaired(talks, repair.damage(talks))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_decontaminate, op3_licenses, op4_quality, op5_secrets,
-                            op6_substrings, op7_chat_format, op8_html_text, op9_token_shards, op10_mix)}
+                            op6_substrings, op7_chat_format, op8_html_text, op9_token_shards, op10_mix,
+                            op12_conversation_repair)}
