@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import (chat, decontam, html, licenses, mixing, neardedup, quality, repair, secrets, substring,
+from shelfsight.llm import (chat, decontam, html, licenses, mixing, neardedup, periodic, quality, repair, secrets, substring,
                             tokens)
 from shelfsight.plans.execution import ensure_checkpoint_dir
 
@@ -98,6 +98,20 @@ def op10_mix(spark, sf_dir):
                       mixing.n_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.find_runs(periodic.plant(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations")
     return repair.repaired(talks, repair.damage(talks))
@@ -105,5 +119,5 @@ def op12_conversation_repair(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_decontaminate, op3_licenses, op4_quality, op5_secrets,
-                            op6_substrings, op7_chat_format, op8_html_text, op9_token_shards, op10_mix,
+                            op6_substrings, op7_chat_format, op8_html_text, op9_token_shards, op10_mix, op11_periodic_runs,
                             op12_conversation_repair)}
