@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm import (chat, decontam, html, licenses, mixing, neardedup, periodic, quality, repair, secrets, substring,
-                            tokens)
+                            tokens, toxicity)
 from shelfsight.plans.execution import ensure_checkpoint_dir
 
 
@@ -117,7 +117,16 @@ def op12_conversation_repair(spark, sf_dir):
     return repair.repaired(talks, repair.damage(talks))
 
 
+def op13_toxicity(spark, sf_dir):
+    """A fifth of the ids is held out of the fit; rows without an id are too."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_decontaminate, op3_licenses, op4_quality, op5_secrets,
                             op6_substrings, op7_chat_format, op8_html_text, op9_token_shards, op10_mix, op11_periodic_runs,
-                            op12_conversation_repair)}
+                            op12_conversation_repair, op13_toxicity)}
