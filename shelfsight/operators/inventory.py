@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double, as_int, day_of, mat_id, name_of, ratio
+from shelfsight.plans.execution import materialize, rows_before
 from shelfsight.sources.schemas import DIST_REPORT_RENAME, MONTH_FORMAT, SALES_MONTHLY_RENAME
 
 MART_MEASURES = {
@@ -356,3 +357,49 @@ def demand_bands(enriched: DataFrame, column: str = "Capacity",
                     .where(_c("band").isNotNull())
                     .select(*by, *BAND_COLUMNS, "band")
                     .dropDuplicates())
+
+
+def check_items_by_store(mart: DataFrame, report: DataFrame, store: str = "Store") -> DataFrame:
+    """Per report item, the stores of the mart that did not sell it: ``n_absent``
+    stores without a mart row, ``n_unsold`` stores with a month of zero gross
+    sales, and the absent ones as ranges of their place in the sorted store
+    list (``absent``: "0-3,7" names the places 0 to 3 and 7; see
+    ``store_places``).
+
+    It is a complement of sets and not a product: the present places of an
+    item are gathered as one bitmap per 32,768 stores, and the gaps between
+    them are the absent ones. Work and result grow with the sales pairs, not
+    with stores times items."""
+    places = materialize(store_places(mart, store))
+    n_stores = places.agg(F.count(F.lit(1))).scalar()
+    zero = F.coalesce(_c("totalMonthlyGrossSale"), F.lit(0.0)) == 0
+    pairs = (mart.join(report.select("MatID").distinct(), "MatID", "left_semi")
+                 .groupBy("MatID", store).agg(F.max(zero).alias("unsold")).join(places, store))
+    pieces = pairs.groupBy("MatID", F.bitmap_bucket_number("place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"),
+        F.count(F.when(_c("unsold"), 1)).alias("n_unsold"), F.array_sort(F.collect_list("place")).alias("_places"))
+    items = pieces.groupBy("MatID").agg(
+        F.sum(F.bitmap_count("_bits")).alias("_present"), F.sum("n_unsold").alias("n_unsold"),
+        F.array_sort(F.collect_list(F.struct("_bucket", "_places"))).alias("_pieces"))
+    present = F.flatten(F.transform(F.coalesce("_pieces", F.array()), lambda p: p["_places"]))
+    none = F.lit(0).cast("long")
+    out = report.join(items, "MatID", "left").withColumn("_n", n_stores).withColumn(
+        "_edges", F.concat(F.array(F.lit(-1).cast("long")), present, F.array(_c("_n"))))
+    gaps = F.filter(F.arrays_zip(F.slice("_edges", F.lit(1), F.size("_edges") - 1).alias("a"),
+                                 F.slice("_edges", F.lit(2), F.size("_edges") - 1).alias("b")),
+                    lambda g: g["b"] - g["a"] > 1)
+
+    def text(g: Column) -> Column:
+        lo, hi = g["a"] + 1, g["b"] - 1
+        return F.when(lo == hi, lo.cast("string")).otherwise(F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")))
+    return out.select(
+        "MatID", "SKU", "Classification", (_c("_n") - F.coalesce("_present", none)).alias("n_absent"),
+        F.coalesce("n_unsold", none).alias("n_unsold"), F.array_join(F.transform(gaps, text), ",").alias("absent")
+    ).where((_c("n_absent") > 0) | (_c("n_unsold") > 0))
+
+
+def store_places(mart: DataFrame, store: str = "Store") -> DataFrame:
+    """(store, place): the place of every store in their sorted list, from 0."""
+    stores = mart.where(_c(store).isNotNull()).groupBy(store).agg(F.count(F.lit(1)).alias("_n"))
+    return rows_before(stores.select(store, F.lit(1).alias("_one")), [], _c(store).asc(), "_one", "place").select(
+        store, _c("place").cast("long").alias("place"))

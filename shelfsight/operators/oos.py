@@ -27,7 +27,9 @@ from ``array_except(sequence(start, last), present_days)``. The dense grid
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double, day_of, snap_to_zero
@@ -133,12 +135,15 @@ def clean_grid(facts: DataFrame) -> DataFrame:
                       *[F.coalesce(_col(m), F.lit(0.0)).alias(m) for m in MEASURES])
 
 
-def detect_oos(facts: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
+def detect_oos(facts: DataFrame, window_days: int = WINDOW_DAYS,
+               keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Out-of-stock report, one row per reported (SKU, Store).
 
-    The pair summary (about one row per pair) is written once: the period
-    bounds and the report both read it, so the facts are aggregated once."""
-    pairs = materialize(pair_summary(facts))
+    The pair summary (about one row per pair) is written once by ``keep``: the
+    period bounds and the report both read it, so the facts are aggregated
+    once. With facts and ``keep`` bucketed by the pair, nothing here is
+    shuffled by it."""
+    pairs = keep(pair_summary(facts))
     last = period_bounds(pairs).select("last_day").scalar()
     since = F.date_sub(last, window_days - 1)
 
@@ -224,3 +229,53 @@ def product_summary(report: DataFrame, min_stores: int = 2) -> DataFrame:
                        F.sum("total_loss_net_sale").alias("total_loss_net_sale"),
                        F.sum("total_loss_margin").alias("total_loss_margin"))
                   .where(_col("n_stores") >= min_stores))
+
+
+# Days of one range of the calendar in ``daily_state``.
+STATE_DAYS = 32
+
+
+def daily_state(facts: DataFrame, range_days: int = STATE_DAYS) -> DataFrame:
+    """Day-level evidence behind the report: for every day of the period and
+    every kept pair whether it had stock so far, its last day with stock, and
+    how many days in a row up to this one passed without stock and sales (0 on
+    a day with either).
+
+    The running state is carried in two steps. The calendar is cut into ranges
+    of ``range_days``; per (pair, range) one aggregate keeps the last day with
+    stock and the last active day, and a window over these few rows carries
+    them from range to range. Inside a range a framed window fills the days
+    in. So one pair's calendar, however long, spans many tasks, and only facts
+    (not the grid) are aggregated."""
+    summary = materialize(pair_summary(facts))
+    b = period_bounds(summary)
+    d0, d1 = b.select("first_day").scalar(), b.select("last_day").scalar()
+    stocked = F.coalesce(_col("StockQty"), F.lit(0.0)) != 0
+    active = stocked | (F.coalesce(_col("QtySold"), F.lit(0.0)) != 0)
+    days = materialize(
+        facts.where(_col("Date").isNotNull()).join(summary.select(*KEYS), KEYS, "left_semi")
+             .groupBy(*KEYS, "Date").agg(F.max(stocked).alias("stocked"), F.max(active).alias("active")))
+    at = F.floor(F.datediff("Date", "_first") / range_days).cast("int").alias("_range")
+    stock_day, active_day = F.when(_col("stocked"), _col("Date")), F.when(_col("active"), _col("Date"))
+
+    ends = (days.withColumn("_first", d0).groupBy(*KEYS, at)
+                .agg(F.max(stock_day).alias("_stock"), F.max(active_day).alias("_active")))
+    # every range of every pair, so that the state also passes ranges without facts
+    ranges = summary.select(*KEYS, F.explode(F.sequence(
+        F.lit(0), F.floor(F.datediff(d1, d0) / range_days).cast("int"))).alias("_range"))
+    earlier = Window.partitionBy(*KEYS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (ranges.join(ends, [*KEYS, "_range"], "left")
+               .select(*KEYS, "_range", F.max("_stock").over(earlier).alias("_stock"),
+                       F.max("_active").over(earlier).alias("_active")))
+
+    first = F.date_add(d0, _col("_range") * range_days)
+    grid = carried.withColumn("_first", d0).withColumn("_last", F.least(F.date_add(first, range_days - 1), d1))
+    grid = grid.select("*", F.explode(F.sequence(F.date_add(_col("_first"), _col("_range") * range_days), _col("_last"))).alias("Date"))
+    inside = Window.partitionBy(*KEYS, "_range").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
+    out = grid.join(days, [*KEYS, "Date"], "left").select(
+        *KEYS, "Date", "_first",
+        F.greatest("_stock", F.max(stock_day).over(inside)).alias("last_stock_day"),
+        F.greatest("_active", F.max(active_day).over(inside)).alias("_active"))
+    return out.select(
+        "SKU", "Store", "Date", _col("last_stock_day").isNotNull().alias("had_stock"), "last_stock_day",
+        F.datediff("Date", F.coalesce("_active", F.date_sub("_first", 1))).cast("int").alias("idle_run"))

@@ -180,3 +180,42 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
               .groupBy(b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("bin_min"),
                    F.max(column).alias("bin_max")))
+
+
+# Fences of a box plot: this many interquartile ranges beyond the quartiles.
+WHISKER_REACH = 1.5
+
+
+def _fenced(df: DataFrame, column: str, by: list[str], reach: float) -> DataFrame:
+    """Rows with a value, beside their group's quartiles and fences.
+
+    The quartiles come from prefix sums over range slices (``quartiles``), one
+    row per group; they are joined back to the rows, so a group of any size is
+    spread over tasks in both phases."""
+    q = quartiles(df, [column], by)
+    q = q.select(*[_c(b).alias(f"_b_{b}") for b in by], *[_c(n).alias(f"_{n}") for n in QUARTILES])
+    rows = df.where(_c(column).isNotNull()).withColumn("_x", _c(column).cast("double"))
+    rows = rows.join(q, [_c(b).eqNullSafe(_c(f"_b_{b}")) for b in by], "inner")
+    spread = F.lit(reach) * (_c("_p75") - _c("_p25"))
+    return rows.withColumn("_low", _c("_p25") - spread).withColumn("_high", _c("_p75") + spread)
+
+
+def _inside():
+    return (_c("_x") >= _c("_low")) & (_c("_x") <= _c("_high"))
+
+
+def box_plot(df: DataFrame, column: str, by: list[str], reach: float = WHISKER_REACH) -> DataFrame:
+    """What a box plot of ``column`` draws, one row per group with a value: n,
+    quartiles, both whiskers (the extreme values within ``reach``
+    interquartile ranges of the quartiles) and the number of outliers beyond
+    them. NULL keys are a group of their own."""
+    return _fenced(df, column, by, reach).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(f"_{n}").alias(n) for n in QUARTILES],
+        F.min(F.when(_inside(), _c("_x"))).alias("whisker_low"), F.max(F.when(_inside(), _c("_x"))).alias("whisker_high"),
+        F.count(F.when(_c("_x") < _c("_low"), 1)).alias("n_low"), F.count(F.when(_c("_x") > _c("_high"), 1)).alias("n_high"))
+
+
+def box_outliers(df: DataFrame, column: str, by: list[str], columns: list[str], reach: float = WHISKER_REACH) -> DataFrame:
+    """The rows beyond the whiskers: ``columns``, the value and its side."""
+    side = F.when(_c("_x") < _c("_low"), "low").otherwise("high")
+    return _fenced(df, column, by, reach).where(~_inside()).select(*columns, _c("_x").alias("value"), side.alias("side"))

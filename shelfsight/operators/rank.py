@@ -24,11 +24,12 @@ unique on the aggregate side, so no join fans out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.columns import as_double
-from shelfsight.plans.execution import materialize, rows_before
+from shelfsight.plans.copartition import sliced
+from shelfsight.plans.execution import materialize
 from shelfsight.sources.schemas import RANK_WEEKLY_RENAME
 
 COLUMNS = ["Index", "Date", "Company", "BusinessUnit", "Concept_NEW", "Category",
@@ -58,20 +59,58 @@ def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
     ``group``, without putting a group, or the rows of one value, into one
     task.
 
-    Rows are first counted per distinct (group, value), with partial sums
-    before the shuffle; the rank of a value is one plus the rows of the
-    group's higher values (``rows_before``: range-partitioned prefix sums).
-    The ranks are joined back on (group, value); a value that very many rows
-    share is a skewed key of a plain join, which AQE splits.
+    Rows are range-partitioned once on (group, value, row hash) and written
+    with their slice number. A window ranks inside (group, slice) without
+    another exchange; one row per (group, slice) carries the rows of the
+    group's earlier slices. Only a value on the border of two slices needs
+    more: it has the rank of the first slice that holds it.
     """
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows"))
-    # written: the join below then has an exchange of its own on both sides
-    ranks = materialize(rows_before(counts, group, F.col(value).desc_nulls_last(), "_rows", "_above", partitions))
-    names = {g: f"_r{i}" for i, g in enumerate([*group, value])}
-    ranks = ranks.select(*[F.col(g).alias(a) for g, a in names.items()], "_above")
-    match = [df[g].eqNullSafe(F.col(a)) for g, a in names.items()]
-    ranked = df.join(ranks, match)
-    return ranked.select(*[df[c] for c in df.columns], (_c("_above") + 1).cast("int").alias(out))
+    names = df.columns
+    order = [*[_c(g).asc() for g in group], _c(value).desc_nulls_last(), F.xxhash64(*names)]
+    rows = sliced(df, order, "_slice", partitions)
+    part = [*group, "_slice"]
+    rows = rows.withColumn("_in", F.rank().over(Window.partitionBy(*part).orderBy(_c(value).desc_nulls_last())))
+
+    # per slice: its rows, its first value and its last value with their ranks
+    ends = rows.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("_in", value)).alias("_lo"), F.max("_in").alias("_top"),
+        F.max_by(value, "_in").alias("_last"))
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = materialize(ends.select(*part, F.col(f"_lo.{value}").alias("_first"), "_last", "_top",
+                                   F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
+    border = ends.select(*group, _c("_first").alias("_v"), _c("_off").alias("_at")).union(
+        ends.select(*group, "_last", _c("_off") + _c("_top") - 1))
+    begin = border.groupBy(*group, "_v").agg(F.min("_at").alias("_begin"))
+    begin = begin.select(*[_c(g).alias(f"_b{i}") for i, g in enumerate(group)], "_v", "_begin")
+    ends = ends.join(begin, [_c(g).eqNullSafe(_c(f"_b{i}")) for i, g in enumerate(group)]
+                     + [_c("_first").eqNullSafe(_c("_v"))])
+    ends = ends.select(*[_c(g).alias(f"_e{i}") for i, g in enumerate(group)], _c("_slice").alias("_s"), "_first", "_off", "_begin")
+    match = [_c(g).eqNullSafe(_c(f"_e{i}")) for i, g in enumerate(group)] + [_c("_slice") == _c("_s")]
+    rank = F.when(_c(value).eqNullSafe(_c("_first")), _c("_begin") + 1).otherwise(_c("_off") + _c("_in"))
+    return rows.join(ends, match).select(*names, rank.cast("int").alias(out))
+
+
+def top_k(df: DataFrame, group: list[str], value: str, k: int, out: str = "rank") -> DataFrame:
+    """Rows of the ``k`` highest ranks of ``value`` in each group, ties
+    included. Every task first keeps the top of the groups it holds (the
+    optimizer's group limit), so no more than ``k`` rows (and ties) of a group
+    leave a task, and no group is sorted as a whole."""
+    order = Window.partitionBy(*group).orderBy(_c(value).desc_nulls_last())
+    return df.withColumn(out, F.rank().over(order)).where(_c(out) <= k)
+
+
+def top_lists(weekly: DataFrame, n: int = TOP_N) -> DataFrame:
+    """The top-n lists of W1 and W2 straight from the weekly sales, ranking
+    nothing else."""
+    w1, w2 = last_two_weeks(weekly)
+    two = weekly.where(_c("Date").isin(w1, w2)).withColumn("NetSales", F.coalesce("NetSales", F.lit(0.0)))
+    return top_k(two, ["Date"], "NetSales", n).select(
+        "SKU", "Store", "Date", "NetSales", _c("rank").cast("double").alias("rank"))
+
+
+def preview(df: DataFrame, n: int, order: list) -> DataFrame:
+    """The first ``n`` rows in ``order``: each task keeps its first n."""
+    return df.orderBy(*order).limit(n)
 
 
 def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:

@@ -111,12 +111,18 @@ def materialize(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     if any(ch in _PARQUET_BAD for name in df.columns for ch in name):
         return _rdd_checkpoint(df, root)
-    path = f"{root.rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new folder for a written table, owned by the running job."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfsight-tables/{uuid.uuid4().hex}"
     owned = _OWNED.get()
     if owned is not None:
         owned.append(path)  # before the write: a failed one is cleaned up too
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 # Paths of the tables the running job wrote (one list per job and thread).

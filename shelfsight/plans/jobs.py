@@ -90,23 +90,29 @@ def run_inventory_job(spark: SparkSession, sales_path: str, report_path: str,
         by = ("Store",) if all_stores else ()
         data = load_inventory(spark, sales_path, report_path, subcategory_path, vendor_path, params,
                               all_stores)
-        mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
-        base = inv.analysis_base(late, report, by)
-        enriched = materialize(inv.enrich(base, by))
-        res = inv.at_least_one_month(enriched, by)
-        out = {
-            "issued/checked": inv.check_items(mart, report, by, every_store=all_stores),
-            "issued/removed": inv.removed_items(early, late, report, params.split, by),
-            "issued/new": inv.new_items(late, report, by),
-            "issued/incorrect_record": inv.bad_records(base, by=by),
-            "issued/depth_lt2": inv.shallow_items(base, by=by),
-            "analysis_table": enriched,
-            "at_least_one_month/all": res["items"],
-            "at_least_one_month/adjusted": res["adjusted"],
-            "at_least_one_month/unadjusted": inv.depth_buckets(res["unadjusted"]),
-            "full_month": inv.full_month(res["rows"], params.split, by=by),
-        }
+        out = inventory_outputs(data, params.split, by)
         for name, df in out.items():
             part = ["bucket"] if name.endswith("unadjusted") else None
             _write(df, f"{out_dir}/{name}" if out_dir else None, fmt, part)
         return out
+
+
+def inventory_outputs(data: dict[str, DataFrame], split: str, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Every output of the inventory analysis from the mart, its early and late
+    months and the report, by output name."""
+    mart, early, late, report = data["mart"], data["early"], data["late"], data["report"]
+    base = inv.analysis_base(late, report, by)
+    enriched = materialize(inv.enrich(base, by))
+    res = inv.at_least_one_month(enriched, by)
+    return {
+        "issued/checked": inv.check_items(mart, report, by, every_store=bool(by)),
+        "issued/removed": inv.removed_items(early, late, report, split, by),
+        "issued/new": inv.new_items(late, report, by),
+        "issued/incorrect_record": inv.bad_records(base, by=by),
+        "issued/depth_lt2": inv.shallow_items(base, by=by),
+        "analysis_table": enriched,
+        "at_least_one_month/all": res["items"],
+        "at_least_one_month/adjusted": res["adjusted"],
+        "at_least_one_month/unadjusted": inv.depth_buckets(res["unadjusted"]),
+        "full_month": inv.full_month(res["rows"], split, by=by),
+    }

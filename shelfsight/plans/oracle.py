@@ -128,10 +128,9 @@ FROM report_full GROUP BY SKU HAVING count(DISTINCT Store) >= 2
 RANK_BASE = """
 weekly AS (
   SELECT strftime(l_shipdate, '%G') || 'W' || strftime(l_shipdate, '%V') AS Date,
-         p_brand AS SKU, n_name AS Store, r_name AS Concept_NEW,
+         'G' || CAST(l_partkey // 10 AS VARCHAR) AS SKU, n_name AS Store, r_name AS Concept_NEW,
          sum(CASE WHEN l_linenumber = 7 THEN 0.0 ELSE l_extendedprice END) AS NetSales
   FROM lineitem
-  JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
@@ -227,7 +226,8 @@ def _div(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
 
 
-def inv_ctes(catalogue: str = "part", period=PERIOD_A, later: bool = False, tag: str = "") -> str:
+def inv_ctes(catalogue: str = "part", period=PERIOD_A, later: bool = False, tag: str = "",
+             promo: bool = True) -> str:
     """CTEs sales{tag}, mart{tag}, report{tag}, late{tag}, base{tag}, enriched{tag}."""
     begin, end, split = period
     if catalogue == "group":
@@ -249,7 +249,7 @@ groups{tag} AS (
         rep_from = f"groups{tag}"
         facings = "CAST(1 + mid % 5 AS DOUBLE)"
         capacity = "CAST(p_size AS DOUBLE)"
-        rep_where = "NOT starts_with(p_type, 'PROMO')"
+        rep_where = "TRUE" if promo else "NOT starts_with(p_type, 'PROMO')"
     if later:
         capacity = (f"greatest(1.0, {capacity} + CASE WHEN mid % 7 = 0 THEN 3.0 "
                     f"WHEN mid % 7 = 1 THEN -1.0 ELSE 0.0 END)")
@@ -392,6 +392,7 @@ OVER_COLS = ["MatID", "SKU", "year", "month", "SubCategory", "Vendor", "Classifi
              "Facings", "Capacity", "totalMonthlyQtySold", "totalMonthlyNetSale"]
 
 _A = inv_ctes("part", PERIOD_A)
+_A_OFF = inv_ctes("part", PERIOD_A, promo=False)
 _G = inv_ctes("group", PERIOD_A)
 _SPLIT_A = PERIOD_A[2]
 
@@ -416,7 +417,7 @@ rem AS (SELECT r.SKU, r.MatID, m.year, m.month, m.Price, r.POGS, r.Facings, r.Ca
         FROM report r JOIN early m ON r.MatID = m.MatID
         WHERE r.MatID IN (SELECT MatID FROM act WHERE se AND NOT coalesce(sl, FALSE)))
 SELECT {cols(ISSUE_COLS, DOUBLES)} FROM rem"""
-SQL["inv_new"] = f"""WITH {_A}
+SQL["inv_new"] = f"""WITH {_A_OFF}
 SELECT {cols(["MatID", "year", "month", "SubCategory", "Vendor", "Price", "totalMonthlyNetSale",
               "totalMonthlyGrossSale", "totalMonthlyQtySold", "SellMargin"], DOUBLES)}
 FROM late
@@ -434,7 +435,7 @@ chk AS (SELECT r.MatID FROM report r LEFT JOIN mart m ON r.MatID = m.MatID
 rem AS (SELECT r.MatID FROM report r JOIN early m ON r.MatID = m.MatID
         WHERE r.MatID IN (SELECT MatID FROM act WHERE se AND NOT coalesce(sl, FALSE))),
 nw AS (SELECT MatID FROM late WHERE coalesce(totalMonthlyGrossSale, 0) <> 0
-         AND MatID NOT IN (SELECT MatID FROM report WHERE MatID IS NOT NULL))
+         AND MatID NOT IN (SELECT mid FROM groups WHERE NOT starts_with(p_type, 'PROMO')))
 SELECT 'check' AS issue, count(*) AS n_rows, count(DISTINCT MatID) AS n_items FROM chk
 UNION ALL SELECT 'removed', count(*), count(DISTINCT MatID) FROM rem
 UNION ALL SELECT 'new', count(*), count(DISTINCT MatID) FROM nw
@@ -640,7 +641,7 @@ report AS (
   SELECT mid AS MatID, CAST(mid AS VARCHAR) || ' ' || p_name AS SKU,
          CAST(1 + mid % 5 AS DOUBLE) AS Facings, CAST(p_size AS DOUBLE) AS Capacity,
          {_cls('CAST(p_size AS DOUBLE)')} AS Classification, CAST(1 + mid % 3 AS INTEGER) AS POGS
-  FROM parts WHERE NOT starts_with(p_type, 'PROMO')),
+  FROM parts),
 base AS (
   SELECT r.*, m.Store, m.year, m.month, m.SubCategory, m.Vendor, m.totalMonthlyNetSale,
          m.totalMonthlyQtySold, {_div('r.Capacity', 'r.Facings')} AS Depth
@@ -660,3 +661,84 @@ atl AS (
   FROM rows r LEFT JOIN per_item p
     ON r.Store = p.Store AND r.MatID = p.MatID AND r.SubCategory = p.SubCategory AND r.Vendor = p.Vendor)
 SELECT DISTINCT Store, {cols(ATL_COLS, DOUBLES)} FROM atl"""
+
+_BOX = f"""WITH {_A},
+quart AS (
+  SELECT Classification, year, month, quantile_cont(Price, 0.25) AS p25, quantile_cont(Price, 0.5) AS p50,
+         quantile_cont(Price, 0.75) AS p75
+  FROM enriched WHERE Price IS NOT NULL GROUP BY ALL),
+fenced AS (
+  SELECT e.Classification, e.year, e.month, e.MatID, e.Price, q.p25, q.p50, q.p75,
+         q.p25 - 1.5 * (q.p75 - q.p25) AS low, q.p75 + 1.5 * (q.p75 - q.p25) AS high
+  FROM enriched e JOIN quart q ON e.Classification = q.Classification AND e.year = q.year AND e.month = q.month
+  WHERE e.Price IS NOT NULL)
+"""
+
+SQL["profile_box_plot"] = _BOX + f"""
+SELECT Classification, year, month, count(*) AS n, {R('any_value(p25)')} AS p25, {R('any_value(p50)')} AS p50,
+       {R('any_value(p75)')} AS p75,
+       {R('min(Price) FILTER (WHERE Price BETWEEN low AND high)')} AS whisker_low,
+       {R('max(Price) FILTER (WHERE Price BETWEEN low AND high)')} AS whisker_high,
+       count(*) FILTER (WHERE Price < low) AS n_low, count(*) FILTER (WHERE Price > high) AS n_high
+FROM fenced GROUP BY Classification, year, month"""
+
+SQL["profile_box_outliers"] = _BOX + f"""
+SELECT Classification, year, month, MatID, {R('Price')} AS value,
+       CASE WHEN Price < low THEN 'low' ELSE 'high' END AS side
+FROM fenced WHERE Price < low OR Price > high"""
+
+# every day of every pair, by windows over the whole calendar
+SQL["oos_daily_state"] = "WITH " + STOCK_FACTS + f""",
+days AS (
+  SELECT SKU, Store, Date, bool_or(StockQty <> 0) AS stocked, bool_and(StockQty = 0 AND QtySold = 0) AS idle
+  FROM dense GROUP BY SKU, Store, Date),
+state AS (
+  SELECT *, max(CASE WHEN stocked THEN Date END) OVER o AS last_stock_day,
+         max(CASE WHEN NOT idle THEN Date END) OVER o AS last_active_day
+  FROM days WINDOW o AS (PARTITION BY SKU, Store ORDER BY Date))
+SELECT SKU, Store, strftime(Date, '%Y-%m-%d') AS Date, {B('last_stock_day IS NOT NULL')} AS had_stock,
+       strftime(last_stock_day, '%Y-%m-%d') AS last_stock_day,
+       CAST(Date - coalesce(last_active_day, d0 - 1) AS INTEGER) AS idle_run
+FROM state CROSS JOIN bounds"""
+
+# stores per item the long way: the gaps of the sorted places of its stores
+SQL["inv_check_by_store"] = f"""WITH {_A},
+pairs AS (
+  SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS Store, CAST(l_partkey AS INTEGER) AS MatID,
+         date_trunc('month', l_shipdate) AS m, avg(l_extendedprice) AS gross
+  FROM lineitem WHERE l_shipdate >= TIMESTAMP '{PERIOD_A[0]}' AND l_shipdate < TIMESTAMP '{PERIOD_A[1]}'
+    AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type IS NOT NULL AND p_brand IS NOT NULL)
+  GROUP BY 1, 2, 3),
+stores AS (SELECT Store, row_number() OVER (ORDER BY Store) - 1 AS place FROM (SELECT DISTINCT Store FROM pairs)),
+present AS (
+  SELECT MatID, place, max(CASE WHEN gross = 0 THEN 1 ELSE 0 END) AS unsold
+  FROM pairs JOIN stores USING (Store) GROUP BY 1, 2),
+edges AS (
+  SELECT MatID, place FROM present
+  UNION ALL SELECT MatID, -1 FROM report UNION ALL SELECT MatID, (SELECT count(*) FROM stores) FROM report),
+gaps AS (SELECT MatID, place + 1 AS lo, lead(place) OVER (PARTITION BY MatID ORDER BY place) - 1 AS hi FROM edges),
+absent AS (
+  SELECT MatID, sum(hi - lo + 1) AS n,
+         string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ',' ORDER BY lo) AS absent
+  FROM gaps WHERE hi >= lo GROUP BY MatID),
+unsold AS (SELECT MatID, sum(unsold) AS n FROM present GROUP BY MatID)
+SELECT r.MatID, r.SKU, r.Classification, CAST(coalesce(a.n, 0) AS BIGINT) AS n_absent,
+       CAST(coalesce(u.n, 0) AS BIGINT) AS n_unsold, coalesce(a.absent, '') AS absent
+FROM report r LEFT JOIN absent a USING (MatID) LEFT JOIN unsold u USING (MatID)
+WHERE coalesce(a.n, 0) > 0 OR coalesce(u.n, 0) > 0"""
+
+SQL["rank_top_weeks"] = "WITH " + RANK_BASE + f"""
+SELECT Date, SKU, Store, {R('NetSales')} AS NetSales, CAST(rank AS INTEGER) AS rank FROM rw
+WHERE NetSales > 0 AND rank <= 50"""
+
+SQL["rank_preview"] = "WITH " + RANK_BASE + f"""
+SELECT Date, SKU, Store, Concept_NEW, {R('NetSales')} AS NetSales FROM rw
+ORDER BY rw.NetSales DESC, Date, SKU, Store LIMIT 3"""
+
+SQL["sql_oos_7_days"] = SQL["oos_7_days"]
+SQL["sql_rank_newcomer"] = SQL["rank_newcomer"]
+SQL["sql_lists"] = "WITH " + RANK_BASE + """
+SELECT DISTINCT 'pair' AS list, SKU, Store, CAST(NULL AS VARCHAR) AS concept, CAST(NULL AS VARCHAR) AS week FROM rw
+UNION ALL SELECT DISTINCT 'triple', SKU, Store, Concept_NEW, NULL FROM rw
+UNION ALL SELECT DISTINCT 'week', NULL, NULL, NULL, Date FROM rw
+UNION ALL SELECT DISTINCT 'concept', NULL, NULL, Concept_NEW, NULL FROM rw"""

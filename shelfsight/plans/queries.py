@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from shelfsight.operators import inventory as inv
 from shelfsight.operators import compare as cmp
 from shelfsight.operators import oos, profile, rank
+from shelfsight.plans import sql_surface, storage_queries
 from shelfsight.plans.checked import finalize
 from shelfsight.plans.execution import materialize
 from shelfsight.sources import testdata as td
@@ -58,6 +59,10 @@ def q_oos_product_summary(spark, sf_dir):
     return finalize(oos.product_summary(oos_report(spark, sf_dir)))
 
 
+def q_oos_daily_state(spark, sf_dir):
+    return finalize(oos.daily_state(oos_facts(spark, sf_dir)))
+
+
 # ----------------------------------------------------------------- Rank
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(rank.clean_rank(td.rank_weekly(spark, sf_dir)))
@@ -79,7 +84,21 @@ def q_rank_concept_avg(spark, sf_dir):
 
 
 def q_rank_top50(spark, sf_dir):
-    return finalize(rank.top_n(rank_table(spark, sf_dir)))
+    """The weekly sales are ranked in the two weeks only, and there only as far
+    as the lists go."""
+    return finalize(rank.top_lists(materialize(td.weekly_sales(spark, sf_dir))))
+
+
+def q_rank_top_weeks(spark, sf_dir):
+    """The 50 best pairs of every week, and all that tie with the last one."""
+    weekly = td.weekly_sales(spark, sf_dir).where(F.col("NetSales") > 0)
+    return finalize(rank.top_k(weekly, ["Date"], "NetSales", rank.TOP_N).select("Date", "SKU", "Store", "NetSales", "rank"))
+
+
+def q_rank_preview(spark, sf_dir):
+    """Preview: the three best-selling rows of the whole table."""
+    weekly = td.weekly_sales(spark, sf_dir)
+    return finalize(rank.preview(weekly, 3, [F.desc("NetSales"), "Date", "SKU", "Store"]))
 
 
 def q_rank_range_expansion(spark, sf_dir):
@@ -113,8 +132,9 @@ PERIOD_B = {"begin": "2000-06-01", "end": "2000-12-01", "split": "2000-09-01"}
 
 
 def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
-               period: dict = PERIOD_A, later_report: bool = False, keep_mart: bool = True):
-    """(sales, mart, report) for one analysis window.
+               period: dict = PERIOD_A, later_report: bool = False, keep_mart: bool = True, promo: bool = True):
+    """(sales, mart, report) for one analysis window; ``promo=False`` leaves
+    promotional parts off the planogram.
 
     ``keep_mart`` writes the mart once when several branches read it (the
     branches prune it differently, so Spark could not share one exchange and
@@ -126,7 +146,7 @@ def inv_inputs(spark: SparkSession, sf_dir: str, catalogue: str = "part",
     mart = inv.monthly_mart(sales)
     if keep_mart:
         mart = materialize(mart)
-    report = inv.clean_report(td.dist_report(spark, sf_dir, catalogue, later=later_report))
+    report = inv.clean_report(td.dist_report(spark, sf_dir, catalogue, later=later_report, promo=promo))
     return sales, mart, report
 
 
@@ -156,6 +176,18 @@ def q_inv_check(spark, sf_dir):
                        .withColumn("month", F.col("month").cast("double")))
 
 
+def store_mart(spark, sf_dir):
+    """The monthly mart of period A keyed by store."""
+    sub = inv.clean_lookup(td.subcategory_info(spark, sf_dir), "SubCategory")
+    ven = inv.clean_lookup(td.vendor_info(spark, sf_dir), "Vendor")
+    sales = inv.clean_sales(td.sales_monthly(spark, sf_dir), sub, ven, begin=PERIOD_A["begin"], end=PERIOD_A["end"])
+    return materialize(inv.monthly_mart(sales, ("Store",)))
+
+
+def q_inv_check_by_store(spark, sf_dir):
+    return finalize(inv.check_items_by_store(store_mart(spark, sf_dir), inv.clean_report(td.dist_report(spark, sf_dir))))
+
+
 def q_inv_removed(spark, sf_dir):
     _, mart, report = inv_inputs(spark, sf_dir)
     early, late = inv.split_periods(mart, PERIOD_A["split"])
@@ -163,7 +195,7 @@ def q_inv_removed(spark, sf_dir):
 
 
 def q_inv_new(spark, sf_dir):
-    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False)
+    _, mart, report = inv_inputs(spark, sf_dir, keep_mart=False, promo=False)
     _, late = inv.split_periods(mart, PERIOD_A["split"])
     return finalize(inv.new_items(late, report))
 
@@ -188,7 +220,7 @@ def q_inv_issue_counts(spark, sf_dir):
     return finalize(inv.issue_counts({
         "check": inv.check_items(mart, report),
         "removed": inv.removed_items(early, late, report, split),
-        "new": inv.new_items(late, report),
+        "new": inv.new_items(late, inv.clean_report(td.dist_report(spark, sf_dir, promo=False))),
         "bad_record": inv.bad_records(base),
         "depth_lt2": inv.shallow_items(base),
     }))
@@ -215,11 +247,7 @@ def q_inv_store_at_least_one(spark, sf_dir):
     """At-least-one-month over-spaced items of every store in one job
     (stores keyed through mart, statistics and item averages)."""
     by = ("Store",)
-    sub = inv.clean_lookup(td.subcategory_info(spark, sf_dir), "SubCategory")
-    ven = inv.clean_lookup(td.vendor_info(spark, sf_dir), "Vendor")
-    sales = inv.clean_sales(td.sales_monthly(spark, sf_dir), sub, ven,
-                            begin=PERIOD_A["begin"], end=PERIOD_A["end"])
-    mart = materialize(inv.monthly_mart(sales, by))
+    mart = store_mart(spark, sf_dir)
     report = inv.clean_report(td.dist_report(spark, sf_dir))
     _, late = inv.split_periods(mart, PERIOD_A["split"])
     enriched = materialize(inv.enrich(inv.analysis_base(late, report, by), by))
@@ -373,16 +401,44 @@ def q_profile_histogram(spark, sf_dir):
     return finalize(profile.histogram(inv_enriched(spark, sf_dir), "Price", 10))
 
 
+BOX_KEYS = ["Classification", "year", "month"]
+
+
+def q_profile_box_plot(spark, sf_dir):
+    return finalize(profile.box_plot(inv_enriched(spark, sf_dir, keep=True), "Price", BOX_KEYS))
+
+
+def q_profile_box_outliers(spark, sf_dir):
+    enriched = inv_enriched(spark, sf_dir, keep=True)
+    return finalize(profile.box_outliers(enriched, "Price", BOX_KEYS, [*BOX_KEYS, "MatID"]))
+
+
+# ------------------------------------------------------------------ SQL
+def q_sql_oos_7_days(spark, sf_dir):
+    return finalize(sql_surface.oos_all_days(materialize(oos_report(spark, sf_dir)), oos.WINDOW_DAYS))
+
+
+def q_sql_rank_newcomer(spark, sf_dir):
+    return finalize(sql_surface.newcomers(rank_table(spark, sf_dir), rank.TOP_N))
+
+
+def q_sql_lists(spark, sf_dir):
+    return sql_surface.lists(materialize(td.weekly_sales(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "oos_clean_grid": q_oos_clean_grid,
     "oos_items": q_oos_items,
     "oos_7_days": q_oos_7_days,
     "oos_store_summary": q_oos_store_summary,
     "oos_product_summary": q_oos_product_summary,
+    "oos_daily_state": q_oos_daily_state,
     "rank_overall": q_rank_overall,
     "rank_store": q_rank_store,
     "rank_concept_avg": q_rank_concept_avg,
     "rank_top50": q_rank_top50,
+    "rank_top_weeks": q_rank_top_weeks,
+    "rank_preview": q_rank_preview,
     "rank_range_expansion": q_rank_range_expansion,
     "rank_lost": q_rank_lost,
     "rank_material_change": q_rank_material_change,
@@ -392,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "inv_sales_clean": q_inv_sales_clean,
     "inv_monthly": q_inv_monthly,
     "inv_check": q_inv_check,
+    "inv_check_by_store": q_inv_check_by_store,
     "inv_removed": q_inv_removed,
     "inv_new": q_inv_new,
     "inv_bad_record": q_inv_bad_record,
@@ -424,4 +481,10 @@ QUERIES: dict[str, Query] = {
     "profile_margin_bands": q_profile_margin_bands,
     "profile_selected_share": q_profile_selected_share,
     "profile_histogram": q_profile_histogram,
+    "profile_box_plot": q_profile_box_plot,
+    "profile_box_outliers": q_profile_box_outliers,
+    "sql_oos_7_days": q_sql_oos_7_days,
+    "sql_rank_newcomer": q_sql_rank_newcomer,
+    "sql_lists": q_sql_lists,
+    **storage_queries.QUERIES,
 }

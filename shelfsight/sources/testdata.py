@@ -15,10 +15,11 @@ Mappings (fixed values of the fixture design):
   whose event_id is not a multiple of 3.
 * closed stores: stores whose user id is a multiple of 10 form the
   closed-store list (a list table, joined away by the operator).
-* weekly ranked sales: ISO week of ``l_shipdate``; SKU = ``p_brand``;
-  Store = nation name of the supplier; Concept_NEW = region name; NetSales =
-  sum of ``l_extendedprice`` with line number 7 counted as 0 (gives
-  zero-sales rows); ranks computed by ``operators.rank.add_ranks``.
+* weekly ranked sales: ISO week of ``l_shipdate``; SKU = ten neighbouring
+  parts (``partkey div 10``: the table grows with the data); Store = nation
+  name of the supplier; Concept_NEW = region name; NetSales = sum of
+  ``l_extendedprice`` with line number 7 counted as 0 (gives zero-sales rows);
+  ranks computed by ``operators.rank.add_ranks``.
 * monthly sales: one row per line item dated by its ship day; item text
   ``NZDF<id>-Part <id>``,
   Store = ``S<l_suppkey>``; Gross = extended price, Net = price after
@@ -28,8 +29,8 @@ Mappings (fixed values of the fixture design):
   10``; their number grows with the data) so that items sell in every month,
   which the full-month and period-comparison operators need; every eleventh
   of them has more facings than a month's quantity (the facings rule).
-* distribution report: one row per material; promotional part types are
-  not on the planogram (they surface as new items).
+* distribution report: one row per material; ``promo=False`` leaves
+  promotional part types off the planogram (they surface as new items).
 """
 
 from __future__ import annotations
@@ -76,12 +77,10 @@ def closed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- Rank
-def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shelfsight.operators.rank import add_ranks
-
+def weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Date, SKU, Store, Concept_NEW, NetSales) of every ISO week."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -89,15 +88,18 @@ def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
                .join(region, nation.n_regionkey == region.r_regionkey)
                .select("s_suppkey", "n_name", "r_name"))
     sales = F.when(F.col("l_linenumber") == ZERO_LINE, F.lit(0.0)).otherwise(F.col("l_extendedprice"))
-    weekly = (li.join(part, li.l_partkey == part.p_partkey)
-                .join(geo, li.l_suppkey == geo.s_suppkey)
-                .groupBy(iso_week(F.to_date("l_shipdate")).alias("Date"),
-                         F.col("p_brand").alias("SKU"),
-                         F.col("n_name").alias("Store"),
-                         F.col("r_name").alias("Concept_NEW"))
-                .agg(F.sum(sales).alias("NetSales")))
-    # written once: the counts of the rank and the rows themselves read it
-    ranked = add_ranks(materialize(weekly), store_rank=False)
+    item = F.concat(F.lit("G"), F.expr(f"l_partkey div {GROUP_SIZE}").cast("string"))
+    return (li.join(geo, li.l_suppkey == geo.s_suppkey)
+              .groupBy(iso_week(F.to_date("l_shipdate")).alias("Date"), item.alias("SKU"),
+                       F.col("n_name").alias("Store"), F.col("r_name").alias("Concept_NEW"))
+              .agg(F.sum(sales).alias("NetSales")))
+
+
+def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfsight.operators.rank import add_ranks
+
+    # written once: the sampling of the range cut and the rows both read it
+    ranked = add_ranks(materialize(weekly_sales(spark, sf_dir)), store_rank=False)
     return ranked.select(
         F.concat_ws("/", "Date", "Store", "SKU").alias("Index"),
         F.col("Date").alias("Date Detail"),
@@ -166,9 +168,10 @@ def _classification(cap):
 
 
 def dist_report(spark: SparkSession, sf_dir: str, catalogue: str = "part",
-                later: bool = False) -> DataFrame:
+                later: bool = False, promo: bool = True) -> DataFrame:
     """Distribution report. ``later=True`` gives the next report, in which
-    some materials got a new capacity or an extra facing."""
+    some materials got a new capacity or an extra facing; ``promo=False`` one
+    without the promotional parts."""
     if catalogue == "group":
         p = _part_groups(spark, sf_dir, catalogue)
         mid = F.col("mid")
@@ -177,8 +180,9 @@ def dist_report(spark: SparkSession, sf_dir: str, catalogue: str = "part",
         capacity = (F.lit(1) + mid % 50).cast("double")
         name = F.concat(mid.cast("string"), F.lit(" "), F.col("p_name"))
     else:
-        p = (_part_groups(spark, sf_dir, catalogue)
-             .where(~F.col("p_type").startswith("PROMO")))
+        p = _part_groups(spark, sf_dir, catalogue)
+        if not promo:
+            p = p.where(~F.col("p_type").startswith("PROMO"))
         mid = F.col("mid")
         facings = (F.lit(1) + mid % 5).cast("double")
         capacity = F.col("p_size").cast("double")
@@ -196,3 +200,42 @@ def dist_report(spark: SparkSession, sf_dir: str, catalogue: str = "part",
         mid.cast("int").alias("Mat ID"),
         (F.lit(1) + mid % 3).cast("int").alias("# POGs"),
     )
+
+
+# ------------------------------------------------------------- text export
+# fixed values of the fixture design: rows of these order keys have a cell that
+# cannot be read, a cell with quotes and a line break, or a cell too few or too
+# many.
+NO_QUANTITY, NO_DATE, NO_GROSS, ODD_NAME, SHORT_ROW, LONG_ROW = 97, 89, 83, 79, 101, 103
+
+
+def sales_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, lines): the line items as cells of the monthly-sales export, all
+    text, and as raw lines those whose number of cells is wrong."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity", "l_shipdate")
+    price, part = F.col("l_extendedprice"), F.col("l_partkey").cast("string")
+
+    def every(n: int):
+        return F.col("l_orderkey") % n == 0
+    name = F.when(every(ODD_NAME), F.concat(F.lit('Part "'), part, F.lit('"\nnew pack'))).otherwise(F.concat(F.lit("Part "), part))
+    cells = {
+        "Date": F.when(every(NO_DATE), "2000-13").otherwise(F.date_format("l_shipdate", "yyyyMM")),
+        "Store": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
+        "item": F.concat(F.lit("NZDF"), part, F.lit("-"), name),
+        "POS Gross Sales": F.when(~every(NO_GROSS), F.format_number(price, 2)),
+        "POS Net Sales": F.format_number(price * (F.lit(1.0) - F.col("l_discount")), 4),
+        "POS Total Discount": F.format_number(price * F.col("l_discount"), 4),
+        "POS Qty Sold": F.when(every(NO_QUANTITY), "n/a").otherwise(F.format_number("l_quantity", 0)),
+        "POS COGS (INV)": F.format_number(F.lit(-0.6) * price, 3),
+    }
+    broken = every(SHORT_ROW) | every(LONG_ROW)
+    rows = li.select(*(c.alias(n) for n, c in cells.items()), broken.alias("broken"), every(SHORT_ROW).alias("short"))
+    names = list(cells)
+
+    def line(*columns):
+        return F.to_csv(F.struct(*columns), {"escape": '"'})
+    short = line(*(F.col(f"`{n}`") for n in names[:-1]))
+    long = line(*(F.col(f"`{n}`") for n in names), F.lit("x").alias("more"))
+    return (rows.where(~F.col("broken")).select(*names),
+            rows.where("broken").select(F.when(F.col("short"), short).otherwise(long).alias("line")))

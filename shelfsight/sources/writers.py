@@ -47,3 +47,12 @@ def write_buckets(df: DataFrame, path: str, bucket_col: str = "bucket", fmt: str
         write_csv(df, path, partition_by=[bucket_col])
     else:
         write_parquet(df, path, partition_by=[bucket_col])
+
+
+def write_partitions(df: DataFrame, path: str, partition_by: list[str], rows_per_file: int = 5_000_000) -> None:
+    """Parquet folders by ``partition_by``, of which only those that ``df``
+    has rows for are replaced; the others stay as they are. Rows are rebalanced
+    by the partition columns, so a folder gets few files, a large one several
+    of at most ``rows_per_file`` rows, and no task a whole large folder."""
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by).parquet(path))
