@@ -14,7 +14,9 @@ Pass 1 decides a block from its surroundings and its text:
   * outside the article element, on a page that has one: bad
   * outside of an article, links hold more than half of its characters: bad,
     unless it reads like a sentence (stop words) or is a heading
-  * long, or with enough stop words for its length: good
+  * long and with enough stop words for its length: good; without them, if it
+    has few links and is very long, or no block of the page has them (a page in
+    another language)
   * otherwise undecided (short or without stop words)
 Pass 2 gives an undecided block the label of its nearest decided neighbour
 among the blocks that pass 1 judged by their text, in the same article or
@@ -42,7 +44,9 @@ from pyspark.sql import functions as F
 from shelfsight.llm.quality import STOP_WORDS
 
 LONG_CHARS = 70        # a block of this length with stop words is text
+VERY_LONG_CHARS = 160  # one of this length and few links is text whatever its words
 STOP_SHARE = 0.10      # of its words
+FEW_LINKS = 0.25       # of its characters
 LINK_SHARE = 0.5       # of its characters
 
 # Elements by their meaning.
@@ -81,6 +85,8 @@ KEEPS = {"ul", "ol", "dl", "table", "menu", "select", "div", "section", "article
 _NEXT = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN = re.compile(r"(?<![^\s])hidden(?![^\s/])", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = frozenset(STOP_WORDS)
 
@@ -154,6 +160,8 @@ class _Page:
         words = [w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")]
         role = found.get("role", "").lower()
         boiler = top.boiler or tag in BOILER_TAGS or role in BOILER_ROLES or tag == "header" and not top.article
+        if "hidden" in attrs.lower() and ("hidden" in found or _HIDDEN.search(_QUOTED.sub("", attrs))):
+            boiler = True
         if found:
             boiler = boiler or found.get("aria-hidden", "").lower() == "true" or bool(
                 re.search(r"display\s*:\s*none", found.get("style", "").lower()))
@@ -260,13 +268,17 @@ def _stop_share(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in _STOPS for w in words) / max(1, len(words))
 
 
-def _first_pass(b: Block, has_article: bool) -> bool | None:
+def _first_pass(b: Block, has_article: bool, reads: bool, known: bool) -> bool | None:
+    """``reads``: the block has stop words; ``known``: some long block of the
+    page does, so that lacking them says something."""
     if b.boiler or has_article and not b.article:
         return False
-    reads = _stop_share(b.text) >= STOP_SHARE
-    if not b.article and b.link_chars > LINK_SHARE * len(b.text.replace(" ", "")):
+    size = len(b.text.replace(" ", ""))
+    if not b.article and b.link_chars > LINK_SHARE * size:
         return None if b.heading or reads and len(b.text) >= LONG_CHARS else False
-    if reads and len(b.text) >= LONG_CHARS:
+    if len(b.text) >= LONG_CHARS and reads:
+        return True
+    if len(b.text) >= (VERY_LONG_CHARS if known else LONG_CHARS) and b.link_chars <= FEW_LINKS * size:
         return True
     return None
 
@@ -274,7 +286,9 @@ def _first_pass(b: Block, has_article: bool) -> bool | None:
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks of the main text, in page order."""
     has_article = any(b.article and not b.boiler for b in blocks)
-    label = [_first_pass(b, has_article) for b in blocks]
+    reads = [not b.boiler and _stop_share(b.text) >= STOP_SHARE for b in blocks]
+    known = any(r and len(b.text) >= LONG_CHARS for r, b in zip(reads, blocks, strict=True))
+    label = [_first_pass(b, has_article, r, known) for r, b in zip(reads, blocks, strict=True)]
     # surroundings decide a block but say nothing about its neighbours
     votes = [x is not None and not b.boiler and bool(b.article) == has_article for x, b in zip(label, blocks, strict=True)]
     n = len(blocks)
