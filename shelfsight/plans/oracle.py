@@ -227,8 +227,8 @@ def _div(a: str, b: str) -> str:
 
 
 def inv_ctes(catalogue: str = "part", period=PERIOD_A, later: bool = False, tag: str = "",
-             promo: bool = True) -> str:
-    """CTEs sales{tag}, mart{tag}, report{tag}, late{tag}, base{tag}, enriched{tag}."""
+             promo: bool = True, only: str = "TRUE") -> str:
+    """``only`` filters the line items. CTEs sales{tag}, mart{tag}, report{tag}, late{tag}, base{tag}, enriched{tag}."""
     begin, end, split = period
     if catalogue == "group":
         mid = "CAST(l_partkey // 10 AS INTEGER)"
@@ -269,7 +269,7 @@ sales{tag} AS (
          l_extendedprice * (1.0 - l_discount) + (-0.6 * l_extendedprice) AS SellMargin,
          g.p_type AS SubCategory, g.p_brand AS Vendor
   FROM lineitem LEFT JOIN groups{tag} g ON g.mid = {mid}
-  WHERE l_shipdate >= TIMESTAMP '{begin}' AND l_shipdate < TIMESTAMP '{end}'),
+  WHERE l_shipdate >= TIMESTAMP '{begin}' AND l_shipdate < TIMESTAMP '{end}' AND {only}),
 mart{tag} AS (
   SELECT CAST(year(Date) AS INTEGER) AS year, CAST(month(Date) AS INTEGER) AS month,
          CAST(date_trunc('month', Date) AS DATE) AS period,

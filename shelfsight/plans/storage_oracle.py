@@ -54,3 +54,13 @@ AND MatID NOT IN (SELECT MatID FROM report)"""
 SQL["inv_published"] = "\nUNION ALL\n".join(
     f"""SELECT '{name}' AS list, count(*) AS n_rows, count(DISTINCT MatID) AS n_items FROM ({sql})"""
     for name, sql in [*((k, oracle.SQL[v]) for k, v in _OUTPUTS.items()), ("full_month", _FULL), ("issued/new", _NEW)])
+
+SQL["job_oos"] = oracle.SQL["oos_items"]
+SQL["job_rank"] = oracle.SQL["rank_report"]
+_EVEN = inv_ctes("part", PERIOD_A, only="l_suppkey % 2 = 0")
+SQL["job_inventory"] = f"WITH {_EVEN} SELECT DISTINCT {oracle.cols(oracle.ATL_COLS, oracle.DOUBLES)} FROM atl"
+SQL["text_report_diff"] = oracle.SQL["cmp_report_diff"]
+SQL["text_short_names"] = "WITH " + oracle.STOCK_FACTS + f"""
+SELECT SKU AS name, count(*) AS n_rows, count(*) FILTER (WHERE StockQty - 0.5 < 1) AS n_zero,
+       {R('sum(CASE WHEN abs(StockQty - 0.5) < 1 THEN 0.0 ELSE StockQty - 0.5 END)')} AS stock
+FROM facts GROUP BY SKU"""
