@@ -14,4 +14,4 @@ column-expression helpers; ``plans`` holds job-level compositions, run
 parameters and execution helpers (size-checked broadcast, checkpointing).
 """
 
-__all__ = ["operators", "sources", "functions", "plans", "streaming"]
+__all__ = ["operators", "sources", "functions", "plans"]

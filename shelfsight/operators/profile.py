@@ -144,6 +144,11 @@ def class_counts(df: DataFrame, by: str = "Classification") -> DataFrame:
                               F.count_distinct("MatID").alias("n_items"))
 
 
+def of_class(df: DataFrame, name: str, by: str = "Classification") -> DataFrame:
+    """The rows of one class."""
+    return df.where(_c(by) == F.lit(name))
+
+
 def margin_bands(df: DataFrame, high: float = 0.8, low: float = 0.4) -> DataFrame:
     """Rows whose margin ratio (sell margin / net sales) is at least
     ``high`` ('high') or below ``low`` ('low')."""

@@ -742,3 +742,7 @@ SELECT DISTINCT 'pair' AS list, SKU, Store, CAST(NULL AS VARCHAR) AS concept, CA
 UNION ALL SELECT DISTINCT 'triple', SKU, Store, Concept_NEW, NULL FROM rw
 UNION ALL SELECT DISTINCT 'week', NULL, NULL, NULL, Date FROM rw
 UNION ALL SELECT DISTINCT 'concept', NULL, NULL, Concept_NEW, NULL FROM rw"""
+
+SQL["profile_one_class"] = f"WITH {_A}\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", {R(f'avg({c})')} AS mean, {R(f'stddev_samp({c})')} AS std,
+       {R(f'min({c})')} AS "min", {R(f'max({c})')} AS "max" FROM enriched WHERE Classification = 'A'""" for c in ("Price", "SellMargin"))

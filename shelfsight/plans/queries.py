@@ -354,6 +354,10 @@ def q_profile_by_class(spark, sf_dir):
                                      by=["Classification"]))
 
 
+def q_profile_one_class(spark, sf_dir):
+    return finalize(profile.describe(profile.of_class(inv_enriched(spark, sf_dir), "A"), profile.CLASS_COLUMNS))
+
+
 def q_profile_quartiles(spark, sf_dir):
     return finalize(profile.quartiles(inv_enriched(spark, sf_dir), by=["Classification"]))
 
@@ -470,6 +474,7 @@ QUERIES: dict[str, Query] = {
     "cmp_only_one_period": q_cmp_only_one_period,
     "profile_summary": q_profile_summary,
     "profile_by_class": q_profile_by_class,
+    "profile_one_class": q_profile_one_class,
     "profile_quartiles": q_profile_quartiles,
     "profile_eight_number": q_profile_eight_number,
     "profile_corr": q_profile_corr,
