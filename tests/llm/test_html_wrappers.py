@@ -1,5 +1,7 @@
 """Forms and class words around a whole page, and links inside an article."""
 
+import random
+
 import pytest
 
 from shelfsight.llm import html
@@ -28,3 +30,24 @@ SIDE = "<nav><a href='/'>Home</a></nav>"
     (f"<body><p>{LONG}</p><p><a href=a>Source one</a></p></body>", LONG)])
 def test_wrappers(page, text):
     assert html.extract(page) == text
+
+
+PARTS = {"pl": "zażółć gęślą jaźń proszę bardzo dziękuję mówić pisać wiedzieć świat drzewo rzeka kamień chmura".split(),
+         "en": "river stone cloud mountain forest harbour lantern copper silver meadow orchard thunder granite".split()}
+
+
+@pytest.mark.parametrize("lang", ["pl", "en"])
+def test_generated_pages_without_an_article(lang):
+    """Long paragraphs in a language without a stop-word list, or with few stop
+    words, between menus and links: all of them are the text."""
+    rng = random.Random(lang)
+    for _ in range(60):
+        paragraphs = [" ".join(rng.choice(PARTS[lang]) for _ in range(rng.randint(30, 90))) + "." for _ in range(rng.randint(1, 6))]
+        link = "<div><a href='/x'>" + " ".join(rng.choice(PARTS[lang]) for _ in range(3)) + "</a></div>"
+        hidden = f"<div {rng.choice(['hidden', 'hidden=until-found', 'HIDDEN'])}><p>{paragraphs[0]} hidden</p></div>"
+        body = SIDE + link + "".join(f"<p>{p}</p>" + rng.choice(["", link, hidden]) for p in paragraphs) + "<footer>End</footer>"
+        assert html.extract(f"<html><body>{body}</body></html>") == "\n".join(paragraphs)
+
+
+def test_hidden_inside_a_value_hides_nothing():
+    assert html.extract(f"<body><p data-x='hidden' title=\"a hidden b\">{LONG}</p></body>") == LONG
