@@ -17,13 +17,22 @@ Method
      and every pair under the distance shares at least one key. A pair with
      similarity 0.75 shares none with probability 0.262 ** 10 = 1.5e-6.
   3. Candidates of a key are compared in a star: every member with the key's
-     smallest document, on full sets. Members of one star that are then still
-     in different components may be linked past the centre: ``unsettled``
-     names those pairs by exact bounds (shared part of the centre, shared
-     additions), and they too are confirmed on full sets. So no link between
-     components is lost, and no bucket emits all its pairs.
-  4. Components come from alternating large-star / small-star rounds over
-     tables in the checkpoint folder; only counts reach the driver.
+     smallest document, on full sets. No bucket emits all its pairs.
+  4. Stars whose members are then in different components may hold links past
+     their centre. Their documents (and only they) get sharp keys: ``BANDS``
+     picks of ``PICK`` out of ``WIDE`` further MinHash slots. Documents of
+     similarity 0.75 share one but for a chance of some 1e-4, those of 0.45
+     once in fifteen times. Sharp buckets are compared in stars first; what stays in
+     different components of one sharp bucket is compared pair by pair where
+     an exact bound from the star allows a link.
+  5. Components come from alternating large-star / small-star rounds over
+     tables in the checkpoint folder; later links join components, not
+     documents. Only flags reach the driver.
+Texts are read a second time for the sets of candidates: a bitmap of fixed
+size (``FILTER_BITS``) of their ids, broadcast, leaves the others out without a
+shuffle of texts. Ids that it lets through by chance are dropped by the joins.
+
+Words and shingles are compared by 64-bit hashes (see ``wordhash``).
 
 Defined results for odd input: NULL text is empty; every row is returned, and
 rows that repeat a doc_id each get the component of their own set; a NULL
@@ -34,19 +43,18 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from shelfsight.llm import wordhash as wh
-from shelfsight.llm.common import text_rows, written
+from shelfsight.llm.common import FILTER_BITS, settled, text_rows, with_ids_among, written
 
 CHUNKS, SLOTS, CHUNK_ERRORS = 10, 4, 1
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
+WIDE, PICK, BANDS = 512, 10, 200
 _CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
 
 
@@ -63,17 +71,22 @@ def _sets(words: np.ndarray, bounds: np.ndarray, shingle: int):
             yield np.zeros(0, np.uint64)
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(1, CHUNKS * SLOTS + 1, dtype=np.uint64)
+def _permutations(first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.arange(first + 1, first + count + 1, dtype=np.uint64)
     return wh.mix(k * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1), wh.mix(k * np.uint64(0x8EBC6AF09C88C6E3))
 
 
+def _minima(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    best = np.full(len(mul), np.uint64(0xFFFFFFFFFFFFFFFF))
+    step = max(1, 81920 // len(mul))
+    for i in range(0, len(s), step):
+        np.minimum(best, (s[i:i + step, None] * mul + add).min(axis=0), out=best)
+    return best
+
+
 def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """CHUNKS 64-bit chunks of SLOTS 16-bit MinHash slots."""
-    best = np.full(len(mul), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(s), 2048):
-        np.minimum(best, (s[i:i + 2048, None] * mul + add).min(axis=0), out=best)
-    slots = wh.mix(best) & np.uint64(0xFFFF)
+    slots = wh.mix(_minima(s, mul, add)) & np.uint64(0xFFFF)
     shift = np.arange(SLOTS, dtype=np.uint64) * np.uint64(16)
     return np.bitwise_or.reduce(slots.reshape(CHUNKS, SLOTS) << shift, axis=1).view(np.int64)
 
@@ -81,7 +94,7 @@ def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, a 128-bit set fingerprint (f1, f2) and the chunks."""
     def run(it):
-        mul, add = _permutations()
+        mul, add = _permutations(0, CHUNKS * SLOTS)
         for batch in wh.batches(it):
             words, _, _, bounds = wh.hash_words(*wh.buffers(batch.column("text")), lower=True)
             size, finger, chunks = [], [], []
@@ -112,6 +125,16 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def _sets_of(docs: DataFrame, sig: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the needed documents, rows that repeat one of them once."""
+    again = sig.groupBy("doc_id", "f1", "f2").agg(F.count("*").alias("n")).where("n > 1").join(needed, "doc_id", "left_semi")
+    rows = with_ids_among(docs.select("doc_id", "text"), needed, "doc_id", "_needed").where("_needed").drop("_needed")
+    rows = with_ids_among(rows, again.select("doc_id").distinct(), "doc_id", "_again", FILTER_BITS >> 4)
+    once = shingle_sets(rows.where("NOT _again"), shingle)
+    more = shingle_sets(rows.where("_again").dropDuplicates(["doc_id", "text"]), shingle)
+    return once.union(more)
+
+
 def bucket_keys(nodes: DataFrame) -> DataFrame:
     """(key, id): for every chunk, one key per blanked slot."""
     keys = []
@@ -123,78 +146,106 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, i, n, m): common shingles and both sizes of every pair."""
+def overlaps(pairs: DataFrame, sets: DataFrame, added: bool = False) -> DataFrame:
+    """(u, v, i, n, m): common shingles and both sizes of every pair; with
+    ``added`` also the shingles of u that v lacks."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
+    more = [F.array_except("su", "sv").alias("added")] if added else []
     return pairs.join(a, "u").join(b, "v").select(
         "u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"),
-        F.size("su").cast("long").alias("n"), F.size("sv").cast("long").alias("m"))
+        F.size("su").cast("long").alias("n"), F.size("sv").cast("long").alias("m"), *more)
 
 
 def _linked(percent: int):
     return 100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))
 
 
-def _band(n):
-    """Size band: sizes of one band differ by a tenth at most."""
-    return F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
-
-
-def unsettled(stars: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one star whose documents are in different components
-    and may still be linked.
-
-    A document x shares ``i`` shingles with the centre c and adds ``a`` of its
-    own. Two documents x, y of a star have at most min(i_x, i_y) common
-    shingles of the centre's, so they are linked only if
-      (1) that alone is enough for the similarity, or
-      (2) they share added shingles, at least ``a_x - (1 - s) * n_x`` of them.
-    (1) is a join on the centre and the size band; (2) a prefix-filter join on
-    single added shingles, rarest in the star first: of each document only
-    the first ``(1 - s) * n + 1`` are needed. Both bounds are exact."""
-    s, t = percent, 100 + percent
-    star = stars.select(F.col("v").alias("c"), F.col("u").alias("x"), "i", "n")
-    centre = stars.select(F.col("v").alias("c"), F.col("v").alias("x"), F.col("m").alias("i"), F.col("m").alias("n"))
-    star = star.union(centre.distinct())
-    star = star.join(label.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    mixed = star.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                  F.max(F.when(F.col("x") == F.col("c"), F.col("label"))).alias("home"))
-    mixed = written(mixed.where("lo < hi").select("c", "home"))
-    star = written(star.join(mixed, "c")
-                   .withColumn("astray", F.col("label") != F.col("home")))
-
-    y = star.select("c", F.col("x").alias("y"), F.col("i").alias("iy"), F.col("n").alias("ny"),
-                    F.col("label").alias("ly"), _band(F.col("n")).alias("band"))
-    top = F.least(F.floor(100 * F.col("n") / s), F.floor(t * F.col("i") / s) - F.col("n"))
-    low = F.ceil(s * F.col("n") / 100)
-    x = star.where("astray").withColumn("top", top).withColumn("low", low).where("top >= low AND low > 0")
-    by_size = (x.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("top"))))).join(y, ["c", "band"])
-               .where((F.col("label") != F.col("ly"))
-                      & (t * F.least("i", "iy") >= s * (F.col("n") + F.col("ny"))))
-               .select("x", "y"))
-
-    own = star.where("n > i").join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").join(
-        sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("sc")), "c")
-    added = written(own.select("c", "x", "n", "i", "label", "astray",
-                               F.explode(F.array_except("sx", "sc")).alias("sh")))
-    often = added.groupBy("c", "sh").agg(F.count("*").alias("f")).where("f > 1")
-    first = W.partitionBy("c", "x").orderBy("f", "sh")
-    # an unshared shingle (f = 1) cannot match, but it takes a prefix place
-    shared = added.join(often, ["c", "sh"]).withColumn("place", F.row_number().over(first)).withColumn(
-        "k", F.count("*").over(W.partitionBy("c", "x")))
-    # so the k shared ones of n - i added ones are at the end
-    shared = shared.withColumn("place", F.col("place") + F.col("n") - F.col("i") - F.col("k")).where(
-        F.col("place") <= F.floor((100 - s) * F.col("n") / 100) + 1)
-    shared = written(shared.select("c", "sh", "x", "n", "i", "label", "astray",
-                                   (F.col("n") - F.col("i") - F.col("place") + 1).alias("left")))
-    z = shared.select("c", "sh", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"),
-                      F.col("label").alias("ly"), F.col("left").alias("lefty"))
-    # at the first addition two documents share, no more than ``left`` follow
-    by_own = shared.where("astray").join(z, ["c", "sh"]).where(
-        (F.col("label") != F.col("ly")) & (100 * F.least("n", "ny") >= s * F.greatest("n", "ny"))
-        & (t * (F.least("i", "iy") + F.least("left", "lefty")) >= s * (F.col("n") + F.col("ny")))).select("x", "y")
-    return by_size.union(by_own).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+def sharp_keys(sets: DataFrame) -> DataFrame:
+    """(id, key): BANDS keys of every set, each of PICK of WIDE MinHash slots."""
+    def run(it):
+        mul, add = _permutations(CHUNKS * SLOTS, WIDE)
+        rng = np.random.default_rng(WIDE)
+        picks = np.stack([rng.choice(WIDE, PICK, replace=False) for _ in range(BANDS)])
+        for batch in it:
+            ids, keys = [], []
+            for d, shingles in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+                slots = _minima(np.asarray(shingles.values).view(np.uint64), mul, add)[picks]
+                key = np.arange(BANDS, dtype=np.uint64)
+                for j in range(PICK):
+                    key = wh.mix(key * np.uint64(0xD6E8FEB86659FD93) + slots[:, j])
+                ids.append(np.full(BANDS, d, np.int64))
+                keys.append(key.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["id", "key"])
+    return sets.mapInArrow(run, "id long, key long")
+
+
+def mixed_stars(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """(id): documents of stars that hold more than one component."""
+    star = stars.select(F.col("v").alias("c"), F.col("u").alias("id")).union(
+        stars.select("v", F.col("v")).distinct())
+    star = star.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = star.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c")
+    # written, so that a star of very many documents can be split in the join
+    return star.join(written(mixed), "c").select("id").distinct()
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after further links. Only the components they touch are
+    joined; documents without a link so far are their own component."""
+    def named(end: str) -> DataFrame:
+        return label.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(
+        "u", "v", F.coalesce("u_label", "u").alias("lu"), F.coalesce("v_label", "v").alias("lv"))
+    ends = written(ends)
+    joined = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    old = label.union(ends.select("u", "lu")).union(ends.select("v", "lv")).distinct()
+    new = joined.select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return written(old.join(new, "label", "left").select("id", F.coalesce("least", "label").alias("label")))
+
+
+def sharp_links(sets: DataFrame, stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """``label`` after the links past the centres of mixed stars.
+
+    Documents x, y of a sharp bucket with the smallest document p have at most
+    ``min(i_x, i_y) + min(e_x, e_y)`` common shingles: i are those shared with
+    p, e those that p lacks and another member of p's buckets has. Pairs whose
+    sizes need more are not compared; the bound is exact."""
+    ids = written(mixed_stars(stars, label))
+    if not ids.limit(1).count():
+        return label
+    keys = written(sharp_keys(sets.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).distinct())
+
+    def named(members: DataFrame, label: DataFrame) -> DataFrame:
+        return members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # buckets with several components
+    labelled = named(keys, label)
+    mixed = labelled.groupBy("key").agg(F.min("id").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")
+                                        ).where("lo < hi").select("key", "p")
+    members = written(keys.join(written(mixed), "key"))
+    pairs = members.where("id > p").select(F.col("id").alias("u"), F.col("p").alias("v")).distinct()
+    judged = written(overlaps(pairs, sets, added=True))
+    links = judged.where(_linked(percent)).select("u", "v")
+    if links.limit(1).count():
+        label = merged(label, links)
+
+    # what is still apart within one sharp bucket
+    added = judged.select("u", "v", F.explode("added").alias("sh"))
+    again = added.groupBy("v", "sh").agg(F.count("*").alias("f")).where("f > 1").select("v", "sh")
+    extra = added.join(written(again), ["v", "sh"]).groupBy("u", "v").agg(F.count("*").alias("e"))
+    known = written(judged.select("u", "v", "i", "n").join(extra, ["u", "v"], "left").select(
+        F.col("u").alias("id"), F.col("v").alias("p"), "i", "n", F.coalesce("e", F.lit(0)).alias("e")))
+    members = written(named(members.join(known, ["id", "p"]), label))
+
+    def side(end: str) -> DataFrame:
+        return members.select("key", F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("label", "i", "n", "e")))
+    bound = F.least("i_u", "i_v") + F.least("e_u", "e_v")
+    close = side("u").join(side("v"), "key").where(
+        (F.col("u") > F.col("v")) & (F.col("label_u") != F.col("label_v"))
+        & ((100 + percent) * bound >= percent * (F.col("n_u") + F.col("n_v"))))
+    judged = written(overlaps(close.select("u", "v").distinct(), sets).where(_linked(percent)).select("u", "v"))
+    return merged(label, judged) if judged.limit(1).count() else label
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,6 +279,10 @@ def _stars(e: DataFrame) -> bool:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, percent))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sig = written(signatures(docs, shingle))
     nodes = (sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2")
              .agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"),
@@ -243,18 +298,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
                    .groupBy(F.col("id").alias("u"), F.col("pivot").alias("v"))
                    .agg(F.count("*").alias("n_keys")).select("u", "v"))
 
-    needed = star.select(F.col("u").alias("doc_id")).union(star.select(F.col("v").alias("doc_id"))).distinct()
-    # repeated rows of one document are read once
-    wanted = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = written(shingle_sets(wanted, shingle))
+    needed = written(star.select(F.col("u").alias("doc_id")).union(star.select(F.col("v").alias("doc_id"))).distinct())
+    sets = written(_sets_of(docs, sig, needed, shingle))
     stars = written(overlaps(star, sets))
-    links = stars.where(_linked(percent)).select("u", "v")
-    label = components(links)
-    open_pairs = written(unsettled(stars, label, sets, percent).join(star, ["u", "v"], "left_anti"))
-    more = written(overlaps(open_pairs, sets).where(_linked(percent)).select("u", "v"))
-    if more.limit(1).count():
-        # components of the first round and the new links between them
-        label = components(links.union(more))
+    label = written(components(stars.where(_linked(percent)).select("u", "v")))
+    label = sharp_links(sets, stars, label, percent)
 
     named = nodes.select("f1", "f2", "id", "copies").join(label, "id", "left").where(
         "copies > 1 OR label IS NOT NULL").select("f1", "f2", F.coalesce("label", "id").alias("component"))

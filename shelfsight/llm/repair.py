@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import written
+from shelfsight.llm.common import settled, written
 
 BLOCK = 256
 # The characters between words.
@@ -299,6 +299,10 @@ def repair(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repaired(original: DataFrame, talks: DataFrame) -> DataFrame:
     """The report of ``talks`` for every conv_id of ``original``."""
+    return settled(talks.sparkSession, lambda: _repaired(original, talks))
+
+
+def _repaired(original: DataFrame, talks: DataFrame) -> DataFrame:
     report, _ = repair(talks)
     ids = original.select("conv_id").distinct().withColumn("cid", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.llm import wordhash as wh
-from shelfsight.llm.common import text_rows, written
+from shelfsight.llm.common import settled, text_rows, written
 
 LENGTH = 50
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -122,6 +122,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and for a
     document that lost some but not all words its ``kept`` text (binary) and
     removed word ``spans``."""
+    return settled(docs.sparkSession, lambda: _remove_repeats(docs, length))
+
+
+def _remove_repeats(docs: DataFrame, length: int) -> DataFrame:
     table = written(profile(docs, length))
     groups = (table.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= length)).groupBy("sha")
               .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("anchors").alias("anchors")))

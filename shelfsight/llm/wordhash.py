@@ -1,22 +1,25 @@
 """Vectorised word and word-window hashing over Arrow text columns.
 
-A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``. Words get a
-64-bit polynomial hash computed from prefix sums over whole byte buffers
-(no Python object per word), finished with an avalanche mix. Buffers are
-taken in pieces of about a megabyte cut between documents or words, so
-memory follows the piece size and the word count, not the batch size.
+A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D`` (or another set
+of gap bytes). Its 64-bit hash takes eight bytes at a time, each step a
+bijection of the state and of the block (words of up to eight bytes and one
+length never collide); words of over ``LONG`` bytes go through BLAKE2. No sums
+or products of positions occur, so there are no families of colliding words as
+polynomial hashes modulo a power of two have. No Python object is made per
+word.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+LONG = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _COMBINE = np.uint64(0xD6E8FEB86659FD93)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,24 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    if lower:
-        v[65:91] = v[97:123]
-    return v
-
-
-_VALUES = {False: _byte_values(False), True: _byte_values(True)}
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,69 +48,59 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0]:o[-1]], o - o[0]
 
 
-def _cuts(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray):
-    a, total = 0, len(buf)
-    while a < total:
-        end = a + PIECE
-        if end >= total:
-            b = total
-        else:
-            b = int(offsets[np.searchsorted(offsets, end)])
-            while b - a > 4 * PIECE and end < b:  # one very long document: cut after a word
-                gaps = np.flatnonzero(gap[buf[end:min(end + PIECE, b)]])
-                if len(gaps):
-                    b = end + int(gaps[0])
-                    break
-                end += PIECE
-        yield a, b
-        a = b
+def _edges(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; a document's end ends a word."""
+    space = gap[buf]
+    edge = np.empty(len(buf), bool)
+    edge[0], edge[1:] = True, space[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(buf))]
+    edge[inner] = True
+    starts = np.flatnonzero(edge & ~space)
+    edge[-1], edge[:-1] = True, space[1:]
+    edge[inner - 1] = True
+    return starts, np.flatnonzero(edge & ~space) + 1
 
 
 def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool, gap: np.ndarray = _SPACE):
     """(hashes, starts, ends, bounds): one hash and byte range per word of
     the batch; document i has the words ``bounds[i]:bounds[i + 1]``. ``gap``
     marks the bytes between words."""
-    values, hs, ss, es = _VALUES[lower], [], [], []
-    for a, b in _cuts(buf, offsets, gap):
-        x = buf[a:b]
-        space = gap[x]
-        inner = offsets[(offsets > a) & (offsets < b)] - a
-        before = np.empty(b - a, bool)
-        before[0], before[1:] = True, space[:-1]
-        before[inner] = True
-        after = np.empty(b - a, bool)
-        after[-1], after[:-1] = True, space[1:]
-        after[inner - 1] = True
-        s = np.flatnonzero(~space & before)
-        e = np.flatnonzero(~space & after) + 1
-        power, inverse = _powers(b - a + 1)
-        q = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(values[x] * power[:b - a], out=q[1:])
-        hs.append(mix((q[e] - q[s]) * inverse[s] + (e - s).astype(np.uint64)))
-        ss.append(s + a)
-        es.append(e + a)
-    if not hs:
+    if not len(buf):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    starts = np.concatenate(ss)
-    return np.concatenate(hs), starts, np.concatenate(es), np.searchsorted(starts, offsets)
+    starts, ends = _edges(buf, offsets, gap)
+    raw = np.zeros(len(buf) + 8, np.uint8)
+    raw[:-8] = _LOWER[buf] if lower else buf
+    eight = np.ndarray(len(buf) + 1, "<u8", raw.data, strides=(1,))  # the eight bytes from every place on
+    size = ends - starts
+    hashes = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _LENGTH))
+    for at in range(8, LONG, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        block = eight[starts[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]
+        hashes[more] = mix(hashes[more] * _COMBINE + block)
+    for i in np.flatnonzero(size > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive word hashes (length n - k + 1)."""
+    """Hash of every run of ``k`` consecutive word hashes (length n - k + 1),
+    put together from runs of 1, 2, 4, ... words."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(k))
-    if k <= 8:
-        for i in range(k):
-            out = out * _COMBINE + words[i:i + n]
-        return mix(out)
-    # long windows: prefix sums of hash * B^i, unshifted by B^-i
-    power, inverse = _powers(len(words) + 1)
-    q = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power[:len(words)], out=q[1:])
-    return mix((q[k:] - q[:n]) * inverse[:n] + np.uint64(k))
+    out, at, level, span = None, 0, words, 1
+    while True:
+        if k & span:
+            piece = level[at:at + n]
+            out = piece if out is None else mix(out * _COMBINE + piece)
+            at += span
+        if 2 * span > k:
+            return mix(out ^ np.uint64(k))
+        level = mix(level[:-span] * _COMBINE + level[span:])
+        span *= 2
 
 
 def batches(it, limit_bytes: int = 16 << 20):

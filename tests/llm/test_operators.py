@@ -211,3 +211,75 @@ def test_pipeline_stages_keep_the_columns(spark, docs, rows, tmp_path):
         if name == "near-duplicates":
             assert {30, 31} - after and (after & near or not before & near)
     assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() >= 0
+
+
+def test_mixing_without_ids_and_with_repeated_rows(spark):
+    """Half of the words are picked whatever the ids."""
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randint(5, 40)) for _ in range(40)]
+    same = [(7, "one two three four")] * 30
+    for rows in ([(None, t) for t in texts], [(1, t) for t in texts], same, [(None, t) for _, t in same],
+                 [(i, t) for i, t in enumerate(texts)] + same):
+        df = spark.createDataFrame([(d, t, "en", "src1", "x", 5, 1) for d, t in rows],
+                                   "doc_id long, text string, lang string, source string, l0 string, mix_epoch int, times int")
+        out = mixing.mix(df, ["lang", "source"], [{}, {}], F.expr("total div 2"), 3)
+        assert out.columns == ["doc_id", "text", "lang", "source", "l0", "times", "mix_epoch"]
+        got = [r.text for r in out.collect()]
+        total = sum(len(t.split()) for _, t in rows)
+        n, longest = sum(len(t.split()) for t in got), max(len(t.split()) for _, t in rows)
+        assert total // 2 - longest < n <= total // 2
+        left = [t for _, t in rows]
+        for t in got:
+            left.remove(t)
+
+
+def thue_morse(n):
+    """Two complementary texts that polynomial hashes modulo 2 ** 64 confuse."""
+    bits = "a"
+    while len(bits) < n:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    return bits, bits.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(1024)
+    rows = [(1, f"{a} " * 60), (2, f"{b} " * 60), (3, f"{a} x y z w"), (4, f"{b} x y z w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardedup.near_duplicates(docs).collect()} == {(i, 1, i, True) for i in range(1, 5)}
+    assert [r.n_removed for r in substring.remove_repeats(docs).collect()] == [0] * 4
+    tok = tokens.Tokens(open(tokens.TOKENIZER, "rb").read())
+    import pyarrow as pa
+    for text, ids in zip([a, b], tok.slice(pa.array([a.encode(), b.encode()], pa.binary())), strict=True):
+        assert ids[:-1].tolist() == tok.model.encode_ordinary(text)
+
+
+def test_many_documents_around_one(spark, monkeypatch):
+    """Random parts of one document: few pairs are compared, none is linked;
+    larger parts hang together past their centres."""
+    rng = random.Random(3)
+    lines = [f"s{i} a b c d" for i in range(1000)]
+    compared, plain = [], neardedup.overlaps
+
+    def counted(pairs, sets, added=False):
+        pairs = neardedup.written(pairs)
+        compared.append(pairs.count())
+        return plain(pairs, sets, added)
+    monkeypatch.setattr(neardedup, "overlaps", counted)
+    for share, n in ((0.62, 200), (0.93, 40)):
+        rows = [(i, " ".join(x for x in lines if rng.random() < share)) for i in range(n)]
+        rows.insert(n // 2, (1000, " ".join(lines)))
+        rows = [(i, t) for i, (_, t) in enumerate(rows)]
+        compared.clear()
+        got = {tuple(r) for r in neardedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == B.near_duplicates(rows)
+        if share < 0.7:
+            assert sum(compared[1:]) < n * 8 and compared[0] < n * neardedup.CHUNKS * neardedup.SLOTS
+
+
+def test_intermediate_tables_are_deleted(spark, docs):
+    from shelfsight.plans.execution import owned_tables
+    with owned_tables(spark) as paths:
+        for f in (neardedup.near_duplicates, substring.remove_repeats):
+            before = len(paths)
+            f(docs)
+            assert len(paths) == before + 1  # the result alone
