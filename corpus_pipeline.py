@@ -19,12 +19,19 @@ from shelfsight.plans.execution import ensure_checkpoint_dir
 
 # The number of a row in the written input of a stage: rows are judged one by
 # one, whatever their doc_ids.
-ROW = "__row"
+ROW = "no"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW, written, so that every reader sees the same numbers."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """(row, ROW): the rows of ``docs`` as one column, whatever theirs are
+    called, and their numbers; written, so that every reader sees the same."""
+    return written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                               F.monotonically_increasing_id().alias(ROW)))
+
+
+def _rows(numbered: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` again."""
+    return numbered.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,25 +45,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts alone; a text without words is in a group with its id's like rows
     only, and by itself without an id."""
     rows = _numbered(docs)
-    judged = neardedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    judged = neardedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "row.text"))
     group = judged.select(F.col("doc_id").alias(ROW), (F.col("n_shingles") > 0).alias("words"), "component_id")
-    ids = rows.select(ROW, F.col("doc_id").alias("id"))
+    ids = rows.select(ROW, F.col("row.doc_id").alias("id"))
     group = group.join(ids, ROW).select(
         ROW, "id", "words", F.when(F.col("words") | F.col("id").isNull(), F.col("component_id")).otherwise(F.col("id")).alias("group"),
         (~F.col("words") & F.col("id").isNull()).alias("alone"))
     first = group.groupBy("group", "words", "alone").agg(
         F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    return _rows(rows.join(first, ROW, "left_semi"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not contaminated by the benchmark, each judged by its
     own text."""
     rows = _numbered(docs)
-    judged = decontam.find_contamination(rows.select(F.col(ROW).alias("doc_id"), "text"),
+    judged = decontam.find_contamination(rows.select(F.col(ROW).alias("doc_id"), "row.text"),
                                          queries.table(spark, sf_dir, "benchmark"))
-    return rows.join(judged.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(
-        *(f"`{c}`" for c in docs.columns))
+    return _rows(rows.join(judged.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
