@@ -276,6 +276,26 @@ def test_many_documents_around_one(spark, monkeypatch):
             assert sum(compared[1:]) < n * 8 and compared[0] < n * neardedup.CHUNKS * neardedup.SLOTS
 
 
+def test_bound_of_pairs_past_a_centre(spark, monkeypatch):
+    """No table holds a row per shingle that a centre lacks, and the bitmaps
+    never say fewer common shingles than there are."""
+    rng = random.Random(5)
+    sets = [sorted({rng.randrange(-9000, 9000) for _ in range(n)}) for n in (0, 1, 40, 700, 5000)] + [[-5, 3, 3 + neardedup.ADDED_BITS]]
+    rows = neardedup.addition_bits(spark.createDataFrame(
+        [(k, 99, 0, len(s), s) for k, s in enumerate(sets)], "u long, v long, i long, n long, added array<long>")).collect()
+    for x in rows:
+        for y in rows:
+            both = sum((x[c] & y[c] & (1 << 64) - 1).bit_count() for c in neardedup._BIT_COLUMNS)
+            assert len({*sets[x.id]} & {*sets[y.id]}) <= both + min(x.rest, y.rest) <= min(x.n, y.n)
+    tables, plain = [], neardedup.written
+    monkeypatch.setattr(neardedup, "written", lambda df, *a: tables.append(df.columns) or plain(df, *a))
+    lines = [f"s{i} a b c d" for i in range(100)]
+    rows = [(i, " ".join(x if rng.random() < 0.85 else f"{x} n{rng.randrange(9)}" for x in lines)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardedup.near_duplicates(docs).collect()} == B.near_duplicates(rows)
+    assert ["id", "p", "i", "n", "rest", *neardedup._BIT_COLUMNS] in tables and not [t for t in tables if "sh" in t]
+
+
 def test_intermediate_tables_are_deleted(spark, docs):
     from shelfsight.plans.execution import owned_tables
     with owned_tables(spark) as paths:
