@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from shelfsight.functions.columns import as_double
 from shelfsight.plans.copartition import sliced
@@ -35,6 +36,10 @@ from shelfsight.sources.schemas import RANK_WEEKLY_RENAME
 COLUMNS = ["Index", "Date", "Company", "BusinessUnit", "Concept_NEW", "Category",
            "Store", "SKU", "NetSales", "rank"]
 TOP_N = 50
+# Rows of a slice of the ranked table, and the most row hashes that are looked
+# up rather than exchanging all rows.
+SLICE_ROWS = 250_000
+REPEATED = 1_000_000
 
 
 def _c(n: str) -> Column:
@@ -57,37 +62,56 @@ def rank_desc(df: DataFrame, group: list[str], value: str, out: str,
               partitions: int | None = None) -> DataFrame:
     """Exact ``rank()`` of ``value`` (descending, NULLs last) within each
     ``group``, without putting a group, or the rows of one value, into one
-    task.
-
-    Rows are range-partitioned once on (group, value, row hash) and written
-    with their slice number. A window ranks inside (group, slice) without
-    another exchange; one row per (group, slice) carries the rows of the
-    group's earlier slices. Only a value on the border of two slices needs
-    more: it has the rank of the first slice that holds it.
-    """
-    names = df.columns
-    order = [*[_c(g).asc() for g in group], _c(value).desc_nulls_last(), F.xxhash64(*names)]
-    rows = sliced(df, order, "_slice", partitions)
+    task: see ``value_slices`` and ``rank_slices``."""
+    return rank_slices(value_slices(df, group, value, partitions), group, value, out).drop("_slice")
+
+
+def value_slices(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned once on (group, value, row hash) and written
+    with its slice number in ``_slice``. Slices grow in number with the rows,
+    not in size."""
+    order = [*[_c(g).asc() for g in group], _c(value).desc_nulls_last(), F.xxhash64(*df.columns)]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sliced(df, order, "_slice", partitions or max(least, -(-df.count() // SLICE_ROWS)))
+
+
+def rank_slices(rows: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` of ``value_slices`` with the rank within ``group``, which
+    holds the group of the slices and maybe more columns.
+
+    A window ranks inside (group, slice) without another exchange; one row per
+    (group, slice) carries the rows of the group's earlier slices. Only a value
+    that goes on from one slice to the next needs more: it has the rank of the
+    first slice that holds it."""
     part = [*group, "_slice"]
-    rows = rows.withColumn("_in", F.rank().over(Window.partitionBy(*part).orderBy(_c(value).desc_nulls_last())))
 
-    # per slice: its rows, its first value and its last value with their ranks
+    def same(names: list[str], tag: str) -> list[Column]:
+        return [_c(n).eqNullSafe(_c(f"{tag}{i}")) for i, n in enumerate(names)]
+
+    def tagged(names: list[str], tag: str) -> list[Column]:
+        return [_c(n).alias(f"{tag}{i}") for i, n in enumerate(names)]
+    # per slice: its rows, its first and its last value
     ends = rows.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct("_in", value)).alias("_lo"), F.max("_in").alias("_top"),
-        F.max_by(value, "_in").alias("_last"))
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = materialize(ends.select(*part, F.col(f"_lo.{value}").alias("_first"), "_last", "_top",
-                                   F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
-    border = ends.select(*group, _c("_first").alias("_v"), _c("_off").alias("_at")).union(
-        ends.select(*group, "_last", _c("_off") + _c("_top") - 1))
-    begin = border.groupBy(*group, "_v").agg(F.min("_at").alias("_begin"))
-    begin = begin.select(*[_c(g).alias(f"_b{i}") for i, g in enumerate(group)], "_v", "_begin")
-    ends = ends.join(begin, [_c(g).eqNullSafe(_c(f"_b{i}")) for i, g in enumerate(group)]
-                     + [_c("_first").eqNullSafe(_c("_v"))])
-    ends = ends.select(*[_c(g).alias(f"_e{i}") for i, g in enumerate(group)], _c("_slice").alias("_s"), "_first", "_off", "_begin")
-    match = [_c(g).eqNullSafe(_c(f"_e{i}")) for i, g in enumerate(group)] + [_c("_slice") == _c("_s")]
+        F.count(F.lit(1)).alias("_n"), F.max(value).alias("_first"), F.min(value).alias("_last"), F.count(value).alias("_set"))
+    ends = ends.withColumn("_last", F.when(_c("_set") == _c("_n"), _c("_last")))
+    ordered = Window.partitionBy(*group).orderBy("_slice")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    following = F.lead(F.struct("_first")).over(ordered)
+    ends = materialize(ends.select(
+        *part, "_n", "_first", "_last", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+        (following.isNotNull() & _c("_last").eqNullSafe(following["_first"])).alias("_goes_on")))
+
+    # where the values that go on begin
+    open_ends = materialize(ends.where("_goes_on").select(*tagged(part, "_o"), _c("_last").alias("_v"), (_c("_off") + _c("_n")).alias("_to")))
+    held = rows.join(open_ends, [*same(part, "_o"), _c(value).eqNullSafe(_c("_v"))])
+    held = held.groupBy(*part, "_v", "_to").agg(F.count(F.lit(1)).alias("_held"))
+    begin = held.groupBy(*group, "_v").agg(F.min(_c("_to") - _c("_held")).alias("_begin")).select(*tagged(group, "_b"), "_v", "_begin")
+    ends = ends.join(begin, [*same(group, "_b"), _c("_first").eqNullSafe(_c("_v"))], "left")
+    # written, so that Spark knows how small it is: the rows are not exchanged
+    ends = materialize(ends.select(*tagged(part, "_e"), "_first", "_off", F.coalesce("_begin", "_off").alias("_begin")))
+    inside = rows.withColumn("_in", F.rank().over(Window.partitionBy(*part).orderBy(_c(value).desc_nulls_last())))
     rank = F.when(_c(value).eqNullSafe(_c("_first")), _c("_begin") + 1).otherwise(_c("_off") + _c("_in"))
-    return rows.join(ends, match).select(*names, rank.cast("int").alias(out))
+    return inside.join(ends, same(part, "_e")).select(*rows.columns, rank.cast("int").alias(out))
 
 
 def top_k(df: DataFrame, group: list[str], value: str, k: int, out: str = "rank") -> DataFrame:
@@ -116,19 +140,20 @@ def preview(df: DataFrame, n: int, order: list) -> DataFrame:
 def add_ranks(df: DataFrame, store_rank: bool = True) -> DataFrame:
     """Overall rank of each row within its week by sales (ties share a rank),
     and optionally the rank within (week, store)."""
-    out = rank_desc(df, ["Date"], "NetSales", "rank")
+    # slices of (week, sales) are in order of sales for each store of the week too
+    out = rank_slices(value_slices(df, ["Date"], "NetSales"), ["Date"], "NetSales", "rank")
     if store_rank:
-        out = rank_desc(out, ["Date", "Store"], "NetSales", "store_rank")
-    return out
+        out = rank_slices(out, ["Date", "Store"], "NetSales", "store_rank")
+    return out.drop("_slice")
 
 
 def last_two_weeks(df: DataFrame) -> tuple[Column, Column]:
     """(W1, W2): the week before the latest, and the latest week.
 
-    One scalar subquery returns both keys (distinct weeks, the top two kept
-    per task and then overall, so no task gathers all keys); every reference
-    to W1 or W2 reuses that one subquery."""
-    top = df.select("Date").distinct().orderBy(F.col("Date").desc()).limit(2)
+    The two weeks (distinct weeks, the top two kept per task and then overall,
+    so no task gathers all keys) are written once; a scalar subquery over them
+    returns both keys."""
+    top = materialize(df.select("Date").distinct().orderBy(F.col("Date").desc()).limit(2))
     weeks = top.agg(F.sort_array(F.collect_list("Date"), asc=False)).scalar()
     return F.get(weeks, 1), F.get(weeks, 0)
 
@@ -158,13 +183,16 @@ def concept_average(df: DataFrame, w2: Column) -> DataFrame:
               .agg(F.avg("NetSales").alias("avgSales_lastWeek")))
 
 
-def assortment_flags(df: DataFrame, keep_helpers: bool = False) -> DataFrame:
+def assortment_flags(df: DataFrame, keep_helpers: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """All five flags in one pass (plus, with ``keep_helpers``, the two
-    sales figures behind ``material_change`` and ``in_W1_not_W2``)."""
+    sales figures behind ``material_change`` and ``in_W1_not_W2``). With
+    ``rows`` (of ``df``) only those are flagged."""
     w1, w2 = last_two_weeks(df)
-    pairs = pair_weeks(df, w1, w2)
-    concept = concept_average(df, w2)
-    j = (df.join(pairs, ["SKU", "Store"], "left")
+    # written, so that Spark knows how small they are: the rows of the other
+    # weeks are not exchanged to meet them
+    pairs = materialize(pair_weeks(df, w1, w2))
+    concept = materialize(concept_average(df, w2))
+    j = ((df if rows is None else rows).join(pairs, ["SKU", "Store"], "left")
            .join(concept, ["SKU", "Concept_NEW"], "left"))
     # the period keys enter as columns, once
     j = j.withColumn("_w1", w1).withColumn("_w2", w2)
@@ -232,8 +260,25 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
               .where(_c("n_rows") > 1))
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``df`` without repeated rows. Row hashes are exchanged, and whole rows
+    only where a hash comes more than once."""
+    def plain(f) -> Column:  # -0.0 equals 0.0
+        return _c(f.name) + F.lit(0.0) if isinstance(f.dataType, (DoubleType, FloatType)) else _c(f.name)
+    rows = df.withColumn("_hash", F.xxhash64(*[plain(f) for f in df.schema.fields]))
+    again = materialize(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
+    some = again.limit(REPEATED + 1).count()
+    if not some:
+        return df
+    if some > REPEATED:
+        return df.dropDuplicates()
+    once = rows.join(again, "_hash", "left_anti")
+    more = rows.join(again, "_hash", "left_semi").dropDuplicates(df.columns)
+    return once.union(more).select(*df.columns)
+
+
 def rank_report(df: DataFrame, distinct: bool = True) -> DataFrame:
     """The published report: the ten columns and four flags, without the
     helper columns; exact duplicate rows removed."""
-    out = assortment_flags(df).drop("in_W1_not_W2")
-    return out.dropDuplicates() if distinct else out
+    # the flags follow from a row's columns: equal rows have equal flags
+    return assortment_flags(df, rows=distinct_rows(df) if distinct else None).drop("in_W1_not_W2")

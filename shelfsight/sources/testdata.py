@@ -87,12 +87,20 @@ def weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (supp.join(nation, supp.s_nationkey == nation.n_nationkey)
                .join(region, nation.n_regionkey == region.r_regionkey)
                .select("s_suppkey", "n_name", "r_name"))
+    # rows are grouped by short keys: week begin, item number, number of the place
+    names = [geo.n_name, geo.r_name]
+    places = materialize(geo.select(*names).distinct().select(
+        F.monotonically_increasing_id().alias("place"), F.col("n_name").alias("Store"), F.col("r_name").alias("Concept_NEW")))
+    place = F.col("n_name").eqNullSafe(F.col("Store")) & F.col("r_name").eqNullSafe(F.col("Concept_NEW"))
+    geo = geo.join(F.broadcast(places), place).select("s_suppkey", "place")
     sales = F.when(F.col("l_linenumber") == ZERO_LINE, F.lit(0.0)).otherwise(F.col("l_extendedprice"))
-    item = F.concat(F.lit("G"), F.expr(f"l_partkey div {GROUP_SIZE}").cast("string"))
-    return (li.join(geo, li.l_suppkey == geo.s_suppkey)
-              .groupBy(iso_week(F.to_date("l_shipdate")).alias("Date"), item.alias("SKU"),
-                       F.col("n_name").alias("Store"), F.col("r_name").alias("Concept_NEW"))
-              .agg(F.sum(sales).alias("NetSales")))
+    weeks = (li.join(geo, li.l_suppkey == geo.s_suppkey)
+               .groupBy(F.trunc(F.to_date("l_shipdate"), "week").alias("week"),
+                        F.expr(f"l_partkey div {GROUP_SIZE}").alias("item"), "place")
+               .agg(F.sum(sales).alias("NetSales")))
+    return weeks.join(F.broadcast(places), "place").select(
+        iso_week(F.col("week")).alias("Date"), F.concat(F.lit("G"), F.col("item").cast("string")).alias("SKU"),
+        "Store", "Concept_NEW", "NetSales")
 
 
 def rank_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

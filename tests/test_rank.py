@@ -212,3 +212,64 @@ def test_rank_of_a_week_that_is_mostly_ties(spark):
     got = rank.rank_desc(df, ["Date"], "NetSales", "r", partitions=8)
     want = df.withColumn("r", F.rank().over(Window.partitionBy("Date").orderBy(F.desc("NetSales"))))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_both_ranks_come_from_one_range_partition(spark, monkeypatch):
+    """The rows are cut by value once for both ranks, into more slices the
+    more rows there are; values that go on over slices keep exact ranks."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    cuts, plain = [], rank.sliced
+    monkeypatch.setattr(rank, "sliced", lambda df, order, out, n: cuts.append(n) or plain(df, order, out, n))
+    monkeypatch.setattr(rank, "SLICE_ROWS", 300)
+    df = spark.range(0, 6000).select(
+        "id", F.when(F.col("id") % 7 > 0, "2019W02").alias("Date"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("S"), F.col("id") % 3)).alias("Store"),
+        F.when(F.col("id") % 13 == 0, None).when(F.col("id") % 3 == 0, 0.0).otherwise((F.col("id") % 97).cast("double")).alias("NetSales"))
+    got = rank.add_ranks(df)
+
+    def over(*group):
+        return F.rank().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("NetSales")))
+    want = df.withColumn("rank", over("Date")).withColumn("store_rank", over("Date", "Store"))
+    assert cuts == [20] and got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_report_exchanges_whole_rows_only_where_they_repeat(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    whole, plain = [], type(spark.range(1)).dropDuplicates
+    monkeypatch.setattr(type(spark.range(1)), "dropDuplicates", lambda df, *a: whole.append(df.count()) or plain(df, *a))
+    rows = [(str(i), f"2019W0{i % 3}", "C", "B", "K", "", f"S{i % 5}", "A", float(i % 4), i) for i in range(40)]
+    rows[7] = (*rows[7][:8], 0.0, 7)
+    twice = [*rows, (*rows[7][:8], -0.0, 7), rows[9], rows[9]]
+    once = rank.rank_report(frame(spark, rows))
+    assert whole == [] and isinstance(once, DataFrame)
+    out = rank.rank_report(frame(spark, twice))
+    assert out.count() == 40 and whole == [5]
+    monkeypatch.setattr(rank, "REPEATED", 1)
+    assert rank.rank_report(frame(spark, twice)).count() == 40 and whole == [5, 43]
+
+
+def test_weekly_sales_of_places_with_and_without_names(spark, tmp_path):
+    """Grouped by short keys, the rows are those of the names: places of one
+    name are one, nameless ones too, and repeated suppliers count again."""
+    import datetime as dt
+
+    from shelfsight.sources import testdata as td
+    tables = {
+        "lineitem": ("l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp",
+                     [(p, s, n, 1.0, dt.datetime(2018, 12, d) if d else None)
+                      for p in (3, 8, 12, None) for s in (1, 2, 3, 4) for n in (1, 7) for d in (30, 31, None)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "X", 1), (2, "X", 1), (3, None, 2), (4, "Y", 2)]),
+        "region": ("r_regionkey int, r_name string", [(1, "R"), (2, None)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    weekly = td.weekly_sales(spark, str(tmp_path))
+    got = sorted((str(tuple(r)) for r in weekly.collect()))
+    dates = {"2018W52": 1, "2019W01": 1, None: 1}
+    places = {("X", "R"): 2, (None, None): 2, ("Y", None): 1}
+    want = [(d, sku, n, r, float(k * m * c)) for d, k in dates.items() for sku, m in (("G0", 2), ("G1", 1), (None, 1))
+            for (n, r), c in places.items()]
+    assert got == sorted(map(str, want))
+    assert "n_name" not in "".join(x for x in weekly._jdf.queryExecution().toString().splitlines() if "Exchange hashpartitioning" in x and "week" in x)
